@@ -1,3 +1,10 @@
 """Dataset profiling, cleaning, forecasting and supervised learning on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions run inside Spark tasks travel by value, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

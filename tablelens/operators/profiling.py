@@ -19,7 +19,7 @@ from tablelens.operators.columns import (
 )
 from tablelens.session import small_table
 
-EXPAND_LIMIT = 8  # distinct counts computed inside one aggregation; beyond it the cells are unpivoted
+EXPAND_LIMIT = 16  # distinct counts computed inside one aggregation; beyond it the cells are unpivoted
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no")  # fixed values
 DATE_SHAPE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 

@@ -58,30 +58,48 @@ def values_at_ranks(
     for search in pending:
         buffers.setdefault((search.column, search.low, search.high), []).append(search)
     if buffers:
-        sorted_values = df.agg(*[
-            F.sort_array(F.collect_list(members[0].window())).alias(f"b{i}")
-            for i, members in enumerate(buffers.values())
-        ])
-        places = [
-            F.array(*[F.element_at(f"b{i}", F.lit(s.rank - s.below + 1)) for s in members]).alias(f"v{i}")
-            for i, members in enumerate(buffers.values())
-        ]
-        row = sorted_values.select(*places).first()
-        for i, members in enumerate(buffers.values()):
-            for search, value in zip(members, row[f"v{i}"]):
+        groups = list(buffers.values())
+        cells = df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("slot"), members[0].window().alias("value")) for i, members in enumerate(groups)
+        ]))).filter(F.col("value").isNotNull())
+        # one task per column sorts its bounded buffer
+        ordered = cells.groupBy("slot").agg(F.sort_array(F.collect_list("value")).alias("ordered"))
+        # plain element reads beside each other: inside a lambda the sort would be repeated per element
+        found = ordered.select("slot", F.array(*[
+            F.try_element_at("ordered", _place(groups, at)) for at in range(max(map(len, groups)))
+        ]).alias("found"))
+        for row in found.collect():
+            for search, value in zip(groups[row["slot"]], row["found"]):
                 search.value = value
     return {(s.column, s.rank): s.value for s in searches}
 
 
+def _place(groups: list[list[_Search]], at: int) -> Column:
+    """The array position of each slot's ``at``-th wanted rank."""
+    place = F.lit(None).cast("int")
+    for slot, members in enumerate(groups):
+        if at < len(members):
+            place = F.when(F.col("slot") == slot, members[at].rank - members[at].below + 1).otherwise(place)
+    return place
+
+
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
+    # ranks of one column and interval share a sketch
+    sketches: dict[tuple, list[_Search]] = {}
+    for search in searches:
+        sketches.setdefault((search.column, search.low, search.high), []).append(search)
+    margin = 2.0 / SKETCH_ACCURACY
     proposals = []
-    for i, search in enumerate(searches):
-        share = (search.rank - search.below + 0.5) / search.inside
-        margin = 2.0 / SKETCH_ACCURACY
-        points = [max(0.0, share - margin), min(1.0, share + margin)]
-        proposals.append(F.percentile_approx(search.window(), points, SKETCH_ACCURACY).alias(f"p{i}"))
+    for i, members in enumerate(sketches.values()):
+        shares = [(s.rank - s.below + 0.5) / s.inside for s in members]
+        points = [p for share in shares for p in (max(0.0, share - margin), min(1.0, share + margin))]
+        proposals.append(F.percentile_approx(members[0].window(), points, SKETCH_ACCURACY).alias(f"p{i}"))
     row = df.agg(*proposals).first()
-    brackets = [tuple(row[f"p{i}"]) for i in range(len(searches))]
+    proposed = {}
+    for i, members in enumerate(sketches.values()):
+        for place, search in enumerate(members):
+            proposed[id(search)] = (row[f"p{i}"][2 * place], row[f"p{i}"][2 * place + 1])
+    brackets = [proposed[id(search)] for search in searches]
     counts = []
     for i, (search, (low, high)) in enumerate(zip(searches, brackets)):
         value = search.window()
@@ -118,12 +136,16 @@ def quantiles(
     df: DataFrame,
     columns: Sequence[str],
     shares: Sequence[float],
-    method: str = "linear",
+    method: str | Sequence[str] = "linear",
     counts: Mapping[str, int] | None = None,
     buffer_limit: int = EXACT_BUFFER,
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles of double columns, interpolated (``linear``) or the lower element (``lower``)."""
-    if method not in ("linear", "lower"):
+    """Exact quantiles of double columns, interpolated (``linear``) or the lower element (``lower``).
+
+    ``method`` is one for all shares or one per share.
+    """
+    methods = [method] * len(shares) if isinstance(method, str) else list(method)
+    if set(methods) - {"linear", "lower"}:
         raise ValueError("method must be 'linear' or 'lower'")
     counts = counts or column_counts(df, columns)
     wanted = {}
@@ -139,11 +161,11 @@ def quantiles(
             result[column] = [None] * len(shares)
             continue
         found = []
-        for share in shares:
+        for share, how in zip(shares, methods):
             position = last * share
             rank = int(position)
             low = values[(column, rank)]
-            if method == "lower" or position == rank:
+            if how == "lower" or position == rank:
                 found.append(low)
             else:
                 high = values[(column, min(rank + 1, last))]
