@@ -50,4 +50,4 @@ def scratch(spark: SparkSession) -> str:
 
 
 def load() -> None:
-    from workbook import cleaning, columns, profiles, series, sources, statistics  # noqa: F401
+    from workbook import cleaning, columns, learning, profiles, series, sources, statistics  # noqa: F401
