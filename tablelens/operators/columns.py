@@ -170,7 +170,12 @@ def to_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def finite_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named numeric columns, as doubles without NaN and infinities."""
-    return df.select(*[finite(ref(name)).alias(name) for name in columns])
+    types = field_types(df)
+    floating = (T.DoubleType, T.FloatType)
+    return df.select(*[
+        (finite(ref(name)) if isinstance(types[name], floating) else ref(name).cast("double")).alias(name)
+        for name in columns
+    ])
 
 
 def json_safe(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from tablelens.operators.columns import (
 )
 from tablelens.session import small_table
 
-EXPAND_LIMIT = 16  # distinct counts computed inside one aggregation; beyond it the cells are unpivoted
+EXPAND_LIMIT = 4  # distinct counts computed inside one aggregation; beyond it the cells are unpivoted
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no")  # fixed values
 DATE_SHAPE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 
@@ -40,21 +40,39 @@ def one_row_per_column(stats: DataFrame, columns: Sequence[str], metrics: dict[s
 def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """``(name, uniqueCount)`` of each column, nulls left out.
 
-    Exact counts deduplicate ``(column, value)`` pairs before the shuffle and spread them by
-    value, so no column and no value becomes one task's load.
+    Exact counts turn the cells into narrow ``(column, value)`` pairs, deduplicate them
+    before the shuffle and spread them by value, so no column and no value becomes one
+    task's load and the shuffled rows stay small however wide the table is.
     """
+    if not columns:
+        return small_table(df.sparkSession, [], "name string, uniqueCount long")
     types = field_types(df)
     value = {name: F.when(~missing(df, name), ref(name)) for name in columns}
     if approx or len(columns) <= EXPAND_LIMIT:
         count = F.approx_count_distinct if approx else F.count_distinct
         stats = df.agg(*[count(value[name]).alias(f"uniqueCount_{i}") for i, name in enumerate(columns)])
         return one_row_per_column(stats, columns, {"uniqueCount": "long"}).select("name", "uniqueCount")
-    floating = [n for n in columns if isinstance(types[n], (T.DoubleType, T.FloatType))]
-    cells = long_form(df.withColumns({n: value[n] for n in floating}) if floating else df, columns)
-    pairs = cells.filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.lit(1).alias("one"))
-    counted = pairs.groupBy("name").agg(F.count("one").alias("uniqueCount"))
-    every = small_table(df.sparkSession, [(name,) for name in columns], "name string")
-    return every.join(counted, "name", "left").select("name", F.coalesce("uniqueCount", F.lit(0)).alias("uniqueCount"))
+    records = []
+    for i, name in enumerate(columns):
+        whole, real, text = _typed(value[name], types[name])
+        records.append(F.struct(F.lit(i).alias("slot"), whole.alias("whole"), real.alias("real"), text.alias("text")))
+    cells = df.select(F.inline(F.array(*records))).filter("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL")
+    counted = cells.distinct().groupBy("slot").agg(F.count(F.lit(1)).alias("uniqueCount"))
+    every = small_table(df.sparkSession, list(enumerate(columns)), "slot int, name string")
+    joined = every.join(F.broadcast(counted), "slot", "left")
+    return joined.select("name", F.coalesce("uniqueCount", F.lit(0)).alias("uniqueCount"))
+
+
+def _typed(value: Column, dtype: T.DataType) -> tuple[Column, Column, Column]:
+    """A cell as (whole number, real number, text), two of them null, so equal cells stay equal."""
+    whole, real, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return value.cast("long"), real, text
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return whole, value.cast("double") + 0.0, text
+    if isinstance(dtype, TEMPORAL):
+        return F.unix_micros(value.cast("timestamp")), real, text
+    return whole, real, value.cast("string")
 
 
 def role_of(dtype: T.DataType) -> str | None:

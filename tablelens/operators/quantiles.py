@@ -2,129 +2,139 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-EXACT_BUFFER = 1_000_000  # values one aggregation buffer may hold
-SKETCH_ACCURACY = 20_000
+BUFFER_VALUES = 4_000_000  # values, over all intervals, that may be sorted in one task (32 MB)
+BINS = 1_024
 
 
 @dataclass
 class _Search:
-    """One wanted rank: the values still in question and the count known to lie below them."""
+    """One wanted rank: the interval its value lies in and the count of values below it."""
 
     column: str
     rank: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
+    low: float
+    high: float
+    below: int
+    inside: int
     value: float | None = None
 
-    def window(self) -> Column:
-        value = F.col(self.column)
-        if self.low is None:
-            return value
-        return F.when((value >= self.low) & (value <= self.high), value)
+    @property
+    def interval(self) -> tuple[str, float, float]:
+        return self.column, self.low, self.high
 
 
 def values_at_ranks(
-    df: DataFrame,
-    wanted: Mapping[str, Sequence[int]],
-    counts: Mapping[str, int],
-    buffer_limit: int = EXACT_BUFFER,
+    df: DataFrame, wanted: Mapping[str, Sequence[int]], buffer_values: int = BUFFER_VALUES
 ) -> dict[tuple[str, int], float]:
     """The value at each 0-based rank of each double column (nulls left out).
 
-    Columns of up to ``buffer_limit`` values are sorted in one aggregation. Larger ones are
-    narrowed first: a quantile sketch proposes an interval around the rank, exact counts
-    confirm or correct it, and the search goes on inside until few enough values are left.
-    Every pass is one aggregation with map-side partials and a one-row result.
+    The interval around each rank is narrowed by counting values in equal-width bins until
+    few enough are left to sort. A pass is one aggregation whose map-side partials are at
+    most ``BINS`` rows per column and task, so no task ever holds a column. Every pass splits
+    the interval between its smallest and largest value, which bounds their number; on usual
+    data two passes suffice for billions of rows.
     """
+    columns = [c for c, ranks in wanted.items() if len(ranks)]
+    if not columns:
+        return {}
+    row = df.agg(*[
+        part.alias(f"{name}{i}")
+        for i, c in enumerate(columns)
+        for name, part in (("n", F.count(F.col(c))), ("low", F.min(c)), ("high", F.max(c)))
+    ]).first()
     searches = [
-        _Search(column, rank, inside=counts[column]) for column, ranks in wanted.items() for rank in sorted(set(ranks))
+        _Search(c, rank, row[f"low{i}"], row[f"high{i}"], 0, row[f"n{i}"])
+        for i, c in enumerate(columns) for rank in sorted(set(wanted[c]))
     ]
-    open_searches = [s for s in searches if s.inside > 0]
-    while True:
-        large = [s for s in open_searches if s.inside > buffer_limit and s.value is None]
+    open_searches = [s for s in searches if not _settled(s)]
+    while open_searches:
+        share = buffer_values // len(_slots(open_searches))
+        large = [s for s in open_searches if s.inside > max(share, 1)]
         if not large:
             break
         _narrow(df, large)
-    pending = [s for s in open_searches if s.value is None]
-    # one sorted buffer per column and interval; ranks that share it are read together
-    buffers: dict[tuple, list[_Search]] = {}
-    for search in pending:
-        buffers.setdefault((search.column, search.low, search.high), []).append(search)
-    if buffers:
-        groups = list(buffers.values())
-        cells = df.select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("slot"), members[0].window().alias("value")) for i, members in enumerate(groups)
-        ]))).filter(F.col("value").isNotNull())
-        # one task per column sorts its bounded buffer
-        ordered = cells.groupBy("slot").agg(F.sort_array(F.collect_list("value")).alias("ordered"))
-        # plain element reads beside each other: inside a lambda the sort would be repeated per element
-        found = ordered.select("slot", F.array(*[
-            F.try_element_at("ordered", _place(groups, at)) for at in range(max(map(len, groups)))
-        ]).alias("found"))
-        for row in found.collect():
-            for search, value in zip(groups[row["slot"]], row["found"]):
-                search.value = value
+        open_searches = [s for s in open_searches if not _settled(s)]
+    if open_searches:
+        _read(df, open_searches)
     return {(s.column, s.rank): s.value for s in searches}
 
 
-def _place(groups: list[list[_Search]], at: int) -> Column:
-    """The array position of each slot's ``at``-th wanted rank."""
-    place = F.lit(None).cast("int")
-    for slot, members in enumerate(groups):
-        if at < len(members):
-            place = F.when(F.col("slot") == slot, members[at].rank - members[at].below + 1).otherwise(place)
-    return place
+def _settled(search: _Search) -> bool:
+    # halves keep the width finite; it is 0 only between neighbouring subnormal numbers
+    if search.high / 2 - search.low / 2 == 0:
+        search.value = search.low
+        return True
+    return False
 
 
-def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    # ranks of one column and interval share a sketch
-    sketches: dict[tuple, list[_Search]] = {}
+def _slots(searches: Sequence[_Search]) -> list[list[_Search]]:
+    groups: dict[tuple, list[_Search]] = {}
     for search in searches:
-        sketches.setdefault((search.column, search.low, search.high), []).append(search)
-    margin = 2.0 / SKETCH_ACCURACY
-    proposals = []
-    for i, members in enumerate(sketches.values()):
-        shares = [(s.rank - s.below + 0.5) / s.inside for s in members]
-        points = [p for share in shares for p in (max(0.0, share - margin), min(1.0, share + margin))]
-        proposals.append(F.percentile_approx(members[0].window(), points, SKETCH_ACCURACY).alias(f"p{i}"))
-    row = df.agg(*proposals).first()
-    proposed = {}
-    for i, members in enumerate(sketches.values()):
-        for place, search in enumerate(members):
-            proposed[id(search)] = (row[f"p{i}"][2 * place], row[f"p{i}"][2 * place + 1])
-    brackets = [proposed[id(search)] for search in searches]
-    counts = []
-    for i, (search, (low, high)) in enumerate(zip(searches, brackets)):
-        value = search.window()
-        counts += [
-            F.count_if(value < low).alias(f"l{i}"),
-            F.count_if((value >= low) & (value <= high)).alias(f"m{i}"),
-            F.min(F.when(value > high, value)).alias(f"n{i}"),
-            F.max(F.when(value < low, value)).alias(f"x{i}"),
-            F.min(value).alias(f"a{i}"),
-            F.max(value).alias(f"z{i}"),
-        ]
-    row = df.agg(*counts).first()
-    for i, (search, (low, high)) in enumerate(zip(searches, brackets)):
-        lower, middle = row[f"l{i}"], row[f"m{i}"]
-        if search.rank < search.below + lower:  # the sketch proposed too high
-            search.low, search.high, search.inside = row[f"a{i}"], row[f"x{i}"], lower
-        elif search.rank >= search.below + lower + middle:  # too low
-            search.low, search.high = row[f"n{i}"], row[f"z{i}"]
-            search.below += lower + middle
-            search.inside -= lower + middle
+        groups.setdefault(search.interval, []).append(search)
+    return list(groups.values())
+
+
+def _inside(slot: Sequence[_Search]) -> Column:
+    column, low, high = slot[0].interval
+    return (F.col(column) >= low) & (F.col(column) <= high)
+
+
+def _narrow(df: DataFrame, searches: Sequence[_Search]) -> None:
+    slots, records = _slots(searches), []
+    for i, members in enumerate(slots):
+        column, low, high = members[0].interval
+        value = F.col(column)
+        if math.isfinite(high - low):
+            place = (value - low) / F.lit(high - low) * BINS
         else:
-            search.low, search.high, search.inside = low, high, middle
-            search.below += lower
-        if search.low == search.high:
-            search.value = search.low
+            place = (value / 2 - low / 2) / F.lit(high / 2 - low / 2) * BINS
+        records.append(F.struct(
+            F.lit(i).alias("slot"),
+            F.when(_inside(members), value).alias("value"),
+            F.least(F.floor(place), F.lit(BINS - 1)).cast("int").alias("bin"),
+        ))
+    # rows outside every interval go before cells are made of the rest
+    touched = df.filter(reduce(or_, map(_inside, slots)))
+    cells = touched.select(F.inline(F.array(*records))).filter(F.col("value").isNotNull())
+    bins = cells.groupBy("slot", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    counted: dict[int, list] = {}
+    for row in bins.collect():  # at most BINS rows per interval
+        counted.setdefault(row["slot"], []).append(row)
+    for i, members in enumerate(slots):
+        for search in members:
+            below = search.below
+            for row in sorted(counted[i], key=lambda r: r["bin"]):
+                if search.rank < below + row["n"]:
+                    search.low, search.high, search.inside = row["low"], row["high"], row["n"]
+                    break
+                below += row["n"]
+            search.below = below
+
+
+def _read(df: DataFrame, searches: Sequence[_Search]) -> None:
+    slots = _slots(searches)
+    ordered = df.filter(reduce(or_, map(_inside, slots))).agg(*[
+        F.sort_array(F.collect_list(F.when(_inside(members), F.col(members[0].column)))).alias(f"s{i}")
+        for i, members in enumerate(slots)
+    ])
+    # plain element reads beside each other: inside a lambda the sort would be repeated per element
+    row = ordered.select(*[
+        F.array(*[F.element_at(f"s{i}", F.lit(s.rank - s.below + 1)) for s in members]).alias(f"v{i}")
+        for i, members in enumerate(slots)
+    ]).first()
+    for i, members in enumerate(slots):
+        for search, value in zip(members, row[f"v{i}"]):
+            search.value = value
 
 
 def column_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
@@ -138,7 +148,7 @@ def quantiles(
     shares: Sequence[float],
     method: str | Sequence[str] = "linear",
     counts: Mapping[str, int] | None = None,
-    buffer_limit: int = EXACT_BUFFER,
+    buffer_values: int = BUFFER_VALUES,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of double columns, interpolated (``linear``) or the lower element (``lower``).
 
@@ -153,7 +163,7 @@ def quantiles(
         last = counts[column] - 1
         ranks = [int(last * share) for share in shares] if last >= 0 else []
         wanted[column] = [r for rank in ranks for r in (rank, min(rank + 1, last))]
-    values = values_at_ranks(df, wanted, counts, buffer_limit)
+    values = values_at_ranks(df, wanted, buffer_values)
     result: dict[str, list[float | None]] = {}
     for column in columns:
         last = counts[column] - 1
