@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablelens.functions import blank_to_null, quote_name, safe_numeric
-from tablelens.operators.cleaning import column_modes
 from tablelens.operators.columns import TEMPORAL, field_types, is_numeric, long_form, ref
 from tablelens.operators.quantiles import medians
 
@@ -95,11 +94,20 @@ def fit_preparation(df: DataFrame, features: Sequence[str], output: str = "featu
             assembled.append(f"__n{i}")
     vocabularies = []
     if other:
-        modes = column_modes(df, other)
-        counts = long_form(df, other).select("name", F.coalesce("value", _mode_of(modes)).alias("value"))
-        counts = counts.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        counts = long_form(df, other).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        # the leading values of each column and its missing cells; tasks forward only their own leaders
+        place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value"))
+        leading = counts.filter("value IS NOT NULL").withColumn("place", place).filter(F.col("place") <= MAX_CATEGORIES + 1)
+        gaps = counts.filter("value IS NULL").withColumn("place", F.lit(0))
+        found = leading.unionByName(gaps).orderBy("name", "place").collect()
+        modes: dict[str, str | None] = {}
         for i, name in enumerate(other):
-            ranked = counts.filter(F.col("name") == name).orderBy(F.desc("n"), "value").limit(MAX_CATEGORIES + 1).collect()
+            present = [r for r in found if r["name"] == name and r["value"] is not None]
+            missing = sum(r["n"] for r in found if r["name"] == name and r["value"] is None)
+            modes[name] = present[0]["value"] if present else None
+            ranked = [
+                {"value": r["value"], "n": r["n"] + (missing if at == 0 else 0)} for at, r in enumerate(present)
+            ] or [{"value": RARE, "n": missing}]
             kept = [r["value"] for r in ranked if r["n"] >= MIN_FREQUENCY]
             kept = kept[:MAX_CATEGORIES - 1] if len(ranked) > MAX_CATEGORIES else kept
             rare = len(kept) < len(ranked)
@@ -121,13 +129,6 @@ def fit_preparation(df: DataFrame, features: Sequence[str], output: str = "featu
     return PipelineModel(stages)
 
 
-def _mode_of(modes: dict[str, str | None]):
-    mode = F.lit(None).cast("string")
-    for name, value in modes.items():
-        mode = F.when(F.col("name") == name, value if value is not None else RARE).otherwise(mode)
-    return mode
-
-
 def feature_names(prepared: DataFrame, output: str = "features") -> list[str]:
     """Names of the assembled vector's slots, from the column metadata."""
     groups = prepared.schema[output].metadata["ml_attr"]["attrs"]

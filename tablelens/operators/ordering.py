@@ -119,3 +119,37 @@ def hash_rank(
         condition = condition & match
     joined = ranked.join(shifts, condition).withColumn(name, F.col("__shift") + F.col("__local"))
     return joined.select(*[ranked[c] for c in df.columns if c != "__all"], F.col(name))
+
+
+def mark_lowest(
+    df: DataFrame, key: Sequence[str], seed: int, quotas: DataFrame, by: str | None, name: str
+) -> DataFrame:
+    """Flag exactly ``quota`` rows of each group: the first ones in pseudo-random order.
+
+    ``quotas`` holds ``(__class, __quota)``, one row per group (``by=None``: one row). Only
+    the sort key of the last wanted row is looked up, by counting rows per leading hash
+    digits and ranking those of one cut; the table itself is then flagged by comparison,
+    without being shuffled.
+    """
+    group = ref(by) if by else F.lit(0)
+    order = F.struct(hash_order(key, seed).alias("hash"), *[ref(c).alias(f"k{i}") for i, c in enumerate(key)])
+    keyed = df.select(group.alias("__class"), order.alias("__order"))
+    keyed = keyed.withColumn("__cut", F.substring("__order.hash", 1, HASH_PREFIX))
+    counts = keyed.groupBy("__class", "__cut").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("__class").orderBy("__cut"))
+    reached = counts.withColumn("__upto", upto)
+    wanted = quotas.select(F.col("__class").alias("__wanted"), "__quota")
+    edge = reached.join(wanted, F.col("__class").eqNullSafe(F.col("__wanted"))).filter(
+        (F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("__n") < F.col("__quota"))
+    ).select(
+        F.col("__class").alias("__edge_class"), F.col("__cut").alias("__edge_cut"),
+        (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__left"),
+    )
+    same = F.col("__class").eqNullSafe(F.col("__edge_class")) & (F.col("__cut") == F.col("__edge_cut"))
+    candidates = keyed.join(edge, same).select("__class", "__order", "__left")
+    place = F.row_number().over(Window.partitionBy("__class").orderBy("__order"))
+    last = candidates.withColumn("__place", place).filter(F.col("__place") == F.col("__left")).select(
+        F.col("__class").alias("__group"), F.col("__order").alias("__last")
+    )
+    joined = df.join(last, group.eqNullSafe(F.col("__group")), "left")
+    return joined.withColumn(name, F.coalesce(order <= F.col("__last"), F.lit(False))).drop("__group", "__last")

@@ -14,6 +14,15 @@ BUFFER_VALUES = 4_000_000  # values, over all intervals, that may be sorted in o
 BINS = 1_024
 
 
+@dataclass(frozen=True)
+class Span:
+    """Number of values of a column and its extremes."""
+
+    count: int
+    low: float | None
+    high: float | None
+
+
 @dataclass
 class _Search:
     """One wanted rank: the interval its value lies in and the count of values below it."""
@@ -32,7 +41,7 @@ class _Search:
 
 
 def values_at_ranks(
-    df: DataFrame, wanted: Mapping[str, Sequence[int]], buffer_values: int = BUFFER_VALUES
+    df: DataFrame, wanted: Mapping[str, Sequence[int]], spans: Mapping[str, Span], buffer_values: int = BUFFER_VALUES
 ) -> dict[tuple[str, int], float]:
     """The value at each 0-based rank of each double column (nulls left out).
 
@@ -42,17 +51,9 @@ def values_at_ranks(
     the interval between its smallest and largest value, which bounds their number; on usual
     data two passes suffice for billions of rows.
     """
-    columns = [c for c, ranks in wanted.items() if len(ranks)]
-    if not columns:
-        return {}
-    row = df.agg(*[
-        part.alias(f"{name}{i}")
-        for i, c in enumerate(columns)
-        for name, part in (("n", F.count(F.col(c))), ("low", F.min(c)), ("high", F.max(c)))
-    ]).first()
     searches = [
-        _Search(c, rank, row[f"low{i}"], row[f"high{i}"], 0, row[f"n{i}"])
-        for i, c in enumerate(columns) for rank in sorted(set(wanted[c]))
+        _Search(c, rank, spans[c].low, spans[c].high, 0, spans[c].count)
+        for c, ranks in wanted.items() for rank in sorted(set(ranks))
     ]
     open_searches = [s for s in searches if not _settled(s)]
     while open_searches:
@@ -137,9 +138,16 @@ def _read(df: DataFrame, searches: Sequence[_Search]) -> None:
             search.value = value
 
 
-def column_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
+def column_spans(df: DataFrame, columns: Sequence[str]) -> dict[str, Span]:
+    """Count and extremes of each column, from one aggregation."""
+    if not columns:
+        return {}
+    row = df.agg(*[
+        part.alias(f"{name}{i}")
+        for i, c in enumerate(columns)
+        for name, part in (("n", F.count(F.col(c))), ("low", F.min(c)), ("high", F.max(c)))
+    ]).first()
+    return {c: Span(row[f"n{i}"], row[f"low{i}"], row[f"high{i}"]) for i, c in enumerate(columns)}
 
 
 def quantiles(
@@ -147,26 +155,26 @@ def quantiles(
     columns: Sequence[str],
     shares: Sequence[float],
     method: str | Sequence[str] = "linear",
-    counts: Mapping[str, int] | None = None,
+    spans: Mapping[str, Span] | None = None,
     buffer_values: int = BUFFER_VALUES,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of double columns, interpolated (``linear``) or the lower element (``lower``).
 
-    ``method`` is one for all shares or one per share.
+    ``method`` is one for all shares or one per share; ``spans`` saves a pass where they are known.
     """
     methods = [method] * len(shares) if isinstance(method, str) else list(method)
     if set(methods) - {"linear", "lower"}:
         raise ValueError("method must be 'linear' or 'lower'")
-    counts = counts or column_counts(df, columns)
+    spans = spans or column_spans(df, columns)
     wanted = {}
     for column in columns:
-        last = counts[column] - 1
+        last = spans[column].count - 1
         ranks = [int(last * share) for share in shares] if last >= 0 else []
         wanted[column] = [r for rank in ranks for r in (rank, min(rank + 1, last))]
-    values = values_at_ranks(df, wanted, buffer_values)
+    values = values_at_ranks(df, wanted, spans, buffer_values)
     result: dict[str, list[float | None]] = {}
     for column in columns:
-        last = counts[column] - 1
+        last = spans[column].count - 1
         if last < 0:
             result[column] = [None] * len(shares)
             continue
@@ -184,5 +192,5 @@ def quantiles(
     return result
 
 
-def medians(df: DataFrame, columns: Sequence[str], counts: Mapping[str, int] | None = None) -> dict[str, float | None]:
-    return {column: values[0] for column, values in quantiles(df, columns, [0.5], counts=counts).items()}
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    return {column: values[0] for column, values in quantiles(df, columns, [0.5]).items()}

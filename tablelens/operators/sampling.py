@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.operators.columns import ref
-from tablelens.operators.ordering import hash_rank
+from tablelens.operators.ordering import hash_rank, mark_lowest
 
 
 def _quotas(df: DataFrame, label: str, share: Column, wanted: Column) -> DataFrame:
@@ -32,15 +32,14 @@ def stratified_sample(df: DataFrame, n: int, key: Sequence[str], label: str | No
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    if label is None:
-        return hash_rank(df, key, seed).filter(F.col("hash_rank") < n).drop("hash_rank")
-    ranked = hash_rank(df, key, seed, [label])
     total = df.count()
     if total <= n:
         return df
-    quotas = _quotas(df, label, None, F.lit(n))
-    kept = ranked.join(quotas, ranked[label].eqNullSafe(quotas["__class"])).filter(F.col("hash_rank") < F.col("__quota"))
-    return kept.select(*[ranked[c] for c in df.columns])
+    if label is None:
+        quotas = df.sparkSession.range(1).select(F.lit(0).alias("__class"), F.lit(n).alias("__quota"))
+    else:
+        quotas = _quotas(df, label, None, F.lit(n))
+    return mark_lowest(df, key, seed, quotas, label, "__kept").filter("__kept").drop("__kept")
 
 
 def mark_test_rows(
@@ -54,13 +53,10 @@ def mark_test_rows(
         if smallest is None or smallest < 2:
             label = None
     if label is None:
-        total = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-        ranked = hash_rank(df, key, seed)
-        return ranked.withColumn("is_test", F.col("hash_rank") < F.ceil(total * test_size)).drop("hash_rank")
-    ranked = hash_rank(df, key, seed, [label])
-    quotas = _quotas(df, label, F.lit(test_size), F.lit(0))
-    joined = ranked.join(quotas, ranked[label].eqNullSafe(quotas["__class"]))
-    return joined.select(*[ranked[c] for c in df.columns], (F.col("hash_rank") < F.col("__quota")).alias("is_test"))
+        quotas = df.agg(F.lit(0).alias("__class"), F.ceil(F.count(F.lit(1)) * test_size).alias("__quota"))
+    else:
+        quotas = _quotas(df, label, F.lit(test_size), F.lit(0))
+    return mark_lowest(df, key, seed, quotas, label, "is_test")
 
 
 def train_test_split(

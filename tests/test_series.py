@@ -140,7 +140,7 @@ def test_ridge_forecast_equals_closed_form(spark):
     series, _ = Se.prepare_series(monthly(spark, values), "at", "v", freq="month")
     points = Mf.ml_forecast(series, 1, model_type="ridge_regression", groups=["trend", "lags"])["points"]
     found = points.filter("part = 'future'").first().prediction
-    x = np.array([[i + 1, *values[i - 1:i - 4:-1]] for i in range(3, 36)], dtype=float)
+    x = np.array([[i + 1, values[i - 1], values[i - 2], values[i - 3]] for i in range(3, 36)], dtype=float)
     y = np.array(values[3:], dtype=float)
     centre = x.mean(axis=0)
     weights = np.linalg.solve((x - centre).T @ (x - centre) + np.eye(4), (x - centre).T @ (y - y.mean()))
