@@ -16,6 +16,7 @@ MIN_FREQUENCY = 10
 MAX_CATEGORIES = 100
 RARE = "__infrequent__"
 MIN_ROWS = 10
+MAX_CLASSES = 10_000
 
 
 def prepare_training(df: DataFrame, features: Sequence[str], target: str, problem_type: str) -> DataFrame:
@@ -59,7 +60,10 @@ def normal_form(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def encode_labels(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
     """Add ``label``: the place of the target text in sorted order; the list decodes it."""
-    labels = [row[0] for row in df.select(ref(target).cast("string")).distinct().orderBy(ref(target).cast("string")).collect()]
+    text = ref(target).cast("string")
+    labels = [row[0] for row in df.select(text).distinct().orderBy(text).limit(MAX_CLASSES + 1).collect()]
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"the target has more than {MAX_CLASSES} classes")
     indexer = StringIndexerModel.from_labels(labels, inputCol="__target", outputCol="label", handleInvalid="error")
     return indexer.transform(df.withColumn("__target", ref(target).cast("string"))).drop("__target"), labels
 

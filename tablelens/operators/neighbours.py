@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablelens.operators.columns import field_types, ref
 from tablelens.operators.ordering import hash_order
+from tablelens.session import reliable_checkpoint
 
 BROADCAST_VALUES = 4_000_000  # largest training matrix sent to every task (32 MB)
 BLOCK_ROWS = 20_000  # rows of one side in one comparison block
@@ -111,7 +112,7 @@ def _partitioned_search(points: DataFrame, queries: DataFrame, n: int, k: int, b
 
     fields = points.schema.fields
     celled_schema = T.StructType([*fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
-    celled = points.mapInPandas(to_cell, celled_schema)
+    celled = reliable_checkpoint(points.mapInPandas(to_cell, celled_schema))
     cells = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).toPandas()
     index = cells["cell"].to_numpy()
     counts, radii = cells["n"].to_numpy(), cells["radius"].to_numpy()
@@ -130,14 +131,15 @@ def _partitioned_search(points: DataFrame, queries: DataFrame, n: int, k: int, b
                     order = np.argsort(ceiling, kind="stable")
                     enough = np.searchsorted(np.cumsum(counts[order]), k)
                     bound = ceiling[order[min(enough, len(order) - 1)]]
-                    possible = np.flatnonzero(distances - radii <= bound * (1 + 1e-9))
+                    slack = 1e-9 * (bound + distances)  # rounding of the distances themselves
+                    possible = np.flatnonzero(distances - radii <= bound + slack)
                     rows.append(np.full(len(possible), start + row))
                     targets.append(index[possible])
             picked = batch.iloc[np.concatenate(rows)]
             yield pd.DataFrame({"key": picked["key"].to_numpy(), "vector": picked["vector"].to_numpy(),
                                 "cell": np.concatenate(targets).astype(np.int32)})
 
-    asked = queries.mapInPandas(to_candidates, "key long, vector array<double>, cell int")
+    asked = reliable_checkpoint(queries.mapInPandas(to_candidates, "key long, vector array<double>, cell int"))
     load = asked.groupBy("cell").count().collect()
     slices = {row["cell"]: int(-(-row["count"] // block_rows)) for row in load}
 

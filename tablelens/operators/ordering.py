@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tablelens.operators.columns import ref
 from tablelens.session import reliable_checkpoint, small_table
 
+BROADCAST_GROUPS = 10_000
 HASH_PREFIX = 4  # hexadecimal digits: 65,536 buckets per group
 
 
@@ -103,34 +104,32 @@ def hash_rank(
     each cut and shifted by the counts before it, so a group holding most of the table is
     spread over 65,536 windows.
     """
-    order, cut = "__order", "__cut"
-    groups = list(by)
-    if not groups:
-        df, groups = df.withColumn("__all", F.lit(0)), ["__all"]
-    keyed = df.withColumn(order, hash_order(key, seed)).withColumn(cut, F.substring(order, 1, HASH_PREFIX))
-    counts = keyed.groupBy(*groups, cut).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*groups).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*groups, cut, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    inside = Window.partitionBy(*groups, cut).orderBy(order, *[ref(c) for c in key])
+    # one never-null group column: window and join then share one partitioning of the table
+    group = F.to_json(F.struct(*[ref(c) for c in by])) if by else F.lit("all")
+    keyed = df.withColumn("__order", hash_order(key, seed)).withColumns({
+        "__group": group, "__cut": F.substring("__order", 1, HASH_PREFIX),
+    })
+    counts = keyed.groupBy("__group", "__cut").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__group").orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("__group", "__cut", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    inside = Window.partitionBy("__group", "__cut").orderBy("__order", *[ref(c) for c in key])
     ranked = keyed.withColumn("__local", F.row_number().over(inside) - 1)
-    matches = [ranked[g].eqNullSafe(shifts[g]) for g in groups] + [ranked[cut] == shifts[cut]]
-    condition = matches[0]
-    for match in matches[1:]:
-        condition = condition & match
-    joined = ranked.join(shifts, condition).withColumn(name, F.col("__shift") + F.col("__local"))
-    return joined.select(*[ranked[c] for c in df.columns if c != "__all"], F.col(name))
+    joined = ranked.join(shifts, ["__group", "__cut"])
+    return joined.select(*[ref(c) for c in df.columns], (F.col("__shift") + F.col("__local")).alias(name))
 
 
 def mark_lowest(
-    df: DataFrame, key: Sequence[str], seed: int, quotas: DataFrame, by: str | None, name: str
+    df: DataFrame, key: Sequence[str], seed: int, quotas: DataFrame, by: str | None, groups: int, name: str
 ) -> DataFrame:
     """Flag exactly ``quota`` rows of each group: the first ones in pseudo-random order.
 
     ``quotas`` holds ``(__class, __quota)``, one row per group (``by=None``: one row). Only
     the sort key of the last wanted row is looked up, by counting rows per leading hash
     digits and ranking those of one cut; the table itself is then flagged by comparison,
-    without being shuffled.
+    without being shuffled. ``groups`` is the counted number of groups; up to 10,000 their
+    thresholds are broadcast, beyond that they are joined.
     """
+    small = F.broadcast if groups <= BROADCAST_GROUPS else (lambda table: table)
     group = ref(by) if by else F.lit(0)
     order = F.struct(hash_order(key, seed).alias("hash"), *[ref(c).alias(f"k{i}") for i, c in enumerate(key)])
     keyed = df.select(group.alias("__class"), order.alias("__order"))
@@ -146,10 +145,10 @@ def mark_lowest(
         (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__left"),
     )
     same = F.col("__class").eqNullSafe(F.col("__edge_class")) & (F.col("__cut") == F.col("__edge_cut"))
-    candidates = keyed.join(edge, same).select("__class", "__order", "__left")
+    candidates = keyed.join(small(edge), same).select("__class", "__order", "__left")
     place = F.row_number().over(Window.partitionBy("__class").orderBy("__order"))
     last = candidates.withColumn("__place", place).filter(F.col("__place") == F.col("__left")).select(
         F.col("__class").alias("__group"), F.col("__order").alias("__last")
     )
-    joined = df.join(last, group.eqNullSafe(F.col("__group")), "left")
+    joined = df.join(small(last), group.eqNullSafe(F.col("__group")), "left")
     return joined.withColumn(name, F.coalesce(order <= F.col("__last"), F.lit(False))).drop("__group", "__last")

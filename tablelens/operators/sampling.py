@@ -25,6 +25,13 @@ def _quotas(df: DataFrame, label: str, share: Column, wanted: Column) -> DataFra
     return sized.select("__class", (F.col("__whole") + extra).alias("__quota"))
 
 
+def _class_facts(df: DataFrame, label: str | None) -> tuple[int, int, int]:
+    """Number of rows, number of classes and size of the smallest class."""
+    counts = df.groupBy(*([ref(label)] if label else [])).agg(F.count(F.lit(1)).alias("n"))
+    row = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"), F.min("n").alias("least")).first()
+    return row["total"] or 0, row["groups"], row["least"] or 0
+
+
 def stratified_sample(df: DataFrame, n: int, key: Sequence[str], label: str | None = None, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all if fewer) in reproducible pseudo-random choice, class shares kept.
 
@@ -32,14 +39,14 @@ def stratified_sample(df: DataFrame, n: int, key: Sequence[str], label: str | No
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    total = df.count()
+    total, groups, _ = _class_facts(df, label)
     if total <= n:
         return df
     if label is None:
         quotas = df.sparkSession.range(1).select(F.lit(0).alias("__class"), F.lit(n).alias("__quota"))
     else:
         quotas = _quotas(df, label, None, F.lit(n))
-    return mark_lowest(df, key, seed, quotas, label, "__kept").filter("__kept").drop("__kept")
+    return mark_lowest(df, key, seed, quotas, label, groups, "__kept").filter("__kept").drop("__kept")
 
 
 def mark_test_rows(
@@ -48,15 +55,14 @@ def mark_test_rows(
     """Add ``is_test``: ``ceil(test_size * N)`` rows, stratified when every class has two rows."""
     if not 0.1 <= test_size <= 0.4:
         raise ValueError("test_size must be between 0.1 and 0.4")
-    if label is not None:
-        smallest = df.groupBy(ref(label)).count().agg(F.min("count").alias("n")).first()["n"]
-        if smallest is None or smallest < 2:
-            label = None
+    _, groups, smallest = _class_facts(df, label)
+    if label is not None and smallest < 2:
+        label, groups = None, 1
     if label is None:
         quotas = df.agg(F.lit(0).alias("__class"), F.ceil(F.count(F.lit(1)) * test_size).alias("__quota"))
     else:
         quotas = _quotas(df, label, F.lit(test_size), F.lit(0))
-    return mark_lowest(df, key, seed, quotas, label, "is_test")
+    return mark_lowest(df, key, seed, quotas, label, groups, "is_test")
 
 
 def train_test_split(
