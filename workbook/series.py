@@ -220,10 +220,10 @@ BOUNDS = (
 
 
 def _register_backtest(model: str) -> None:
-    @query(f"stat_backtest_{model}", f"WITH {DAILY}, {SPLIT}, {_backtest_cte(model, 7)} SELECT event_type, position, round(prediction, 4) AS prediction FROM b")
+    @query(f"stat_backtest_{model}", f"WITH {DAILY}, {SPLIT}, {_backtest_cte(model, 7)} SELECT event_type, position, round(prediction, 6) AS prediction FROM b")
     def _(tables):
         rows = Fc.stat_backtest(Se.holdout_split(daily(tables)), model, KEYS)
-        return rows.select("event_type", "position", F.round("prediction", 4).alias("prediction"))
+        return rows.select("event_type", "position", F.round("prediction", 6).alias("prediction"))
 
 
 for _model in Fc.STEP_WEIGHTS:
@@ -242,11 +242,11 @@ def _future_sql(model: str, horizon: int, season: int, series: str, key: str | N
 def _register_future(model: str) -> None:
     @query(
         f"stat_forecast_{model}",
-        f"WITH RECURSIVE {DAILY}, {_future_sql(model, 6, 7, 's', 'event_type')} SELECT event_type, step, round(h[len(h)], 4) AS prediction FROM f WHERE step > 0",
+        f"WITH RECURSIVE {DAILY}, {_future_sql(model, 6, 7, 's', 'event_type')} SELECT event_type, step, round(h[len(h)], 6) AS prediction FROM f WHERE step > 0",
     )
     def _(tables):
         rows = Fc.stat_future(daily(tables), 6, model, KEYS)
-        return rows.select("event_type", "step", F.round("prediction", 4).alias("prediction"))
+        return rows.select("event_type", "step", F.round("prediction", 6).alias("prediction"))
 
 
 for _model in Fc.STEP_WEIGHTS:
