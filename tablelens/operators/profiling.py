@@ -13,7 +13,6 @@ from tablelens.operators.columns import (
     field_types,
     first_values,
     is_numeric,
-    long_form,
     missing,
     ref,
 )
