@@ -2,27 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tablelens.llm.common import written
+from tablelens.llm import passages, severity
+from tablelens.llm.chosen_path import similarity_classes
+from tablelens.llm.common import pin_batches, written
+from tablelens.llm.mixing import mix_sources
 from tablelens.llm.packing import pack
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # SQL cannot express the learned stages
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity stays below 0.5."""
+    scored = severity.score_severity(docs, severity.train(docs, _labels(spark, sf_dir)))
+    return scored.where(F.col("severity") < severity.REJECT).select(*docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of at least 0.7."""
+    scored = passages.score_quality(docs, passages.train(docs, _labels(spark, sf_dir)), name="quality_score")
+    return scored.where(F.col("quality_score") >= passages.KEEP).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of linked documents the one with the smallest id; of its repeated rows, one."""
+    classes = similarity_classes(docs)
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
+        F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")
+    ).distinct()
+    keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["kept_id"]) & (keyed["text_key"] == first["kept_key"]), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("source"))
+    return kept.withColumn("turn", turn).where("turn = 1").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents replicated to tempered source weights, in a global random order."""
+    return mix_sources(docs).select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: every document in sequences of 2048 tokens."""
+    """Every document in sequences of 2048 tokens."""
     return pack(docs)
 
 
-STAGES = [("packing", pack_documents)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", one_of_each),
+    ("mixing sources", mix),
+    ("packing", pack_documents),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = pin_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for place, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place + 1 < len(STAGES):
-            docs = written(docs, f"stage-{name}")
+            docs = written(docs, f"stage-{place}")
     return docs
