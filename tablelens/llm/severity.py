@@ -54,7 +54,7 @@ def counted(texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int,
-        rate: float = 2e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+        rate: float = 2e-4, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by accelerated proximal gradient with an L1 penalty on the weights."""
     n = max(len(grades), 1)
     above = (grades[:, None] > np.arange(GRADES - 1)[None, :]).astype(float)
