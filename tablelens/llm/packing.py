@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,31 +32,69 @@ PIECE = (
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+# How the tokenizer normalises and cuts; words of these characters can be cut here
+NORMALISES = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]*")  # no apostrophes, no <, no character that NFC or lower case would lengthen
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it prints, else the next one from 256 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [byte for byte in range(256) if byte not in printed]
+    return {byte: chr(byte) for byte in printed} | {byte: chr(256 + place) for place, byte in enumerate(others)}
+
+
 class Encoder:
     """Ids of texts from the ids of their words.
 
     The tokenizer drops white space and never merges over it, so the ids of a text are those
-    of its runs without blanks, tabs and line ends, in order; each distinct run is encoded once.
+    of its runs without blanks, tabs and line ends, in order; each distinct run is encoded once. With the
+    rules above, a run of plain characters is its lower-case letter, digit and other parts, in order.
     """
 
     def __init__(self, path: str):
-        self.path = path
+        self.whole, self.letters = _tokenizer(path), _byte_letters()
+        rules = json.loads(self.whole.to_str())
+        before = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.cuts = (rules.get("normalizer") or {}).get("normalizers") == NORMALISES and [
+            before[0].get("pattern"), *[one.get("type") for one in before[1:]]
+        ] == [{"Regex": CUTS}, "ByteLevel"]
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.sizes = [], []
+        self.parts: dict[str, list[int]] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def _add(self, word: str, ids: list[int]) -> None:
+        self.place[word] = len(self.ends) - 1
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
 
     def _learn(self, new: list[str]) -> None:
-        for word, one in zip(new, _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)):
-            self.place[word] = len(self.sizes)
-            self.ids.append(np.array(one.ids, np.uint32))
-            self.sizes.append(len(one.ids))
+        rest, parts, model, letters = [], self.parts, self.whole.model, self.letters
+        for word in new:
+            if not self.cuts or not _PLAIN.fullmatch(word):
+                rest.append(word)
+                continue
+            ids: list[int] = []
+            for part in _PARTS.findall(word.lower()):
+                known = parts.get(part)
+                if known is None:
+                    known = [one.id for one in model.tokenize("".join([letters[byte] for byte in part.encode()]))]
+                    parts[part] = known
+                ids += known
+            self._add(word, ids)
+        for word, one in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+            self._add(word, one.ids)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
@@ -63,15 +105,13 @@ class Encoder:
         if len(self.place) + len(distinct) > REMEMBERED:
             self.forget()
         self._learn([word for word in distinct if word not in self.place])
-        known = [self.place[word] for word in distinct]
-        sizes = np.array([self.sizes[k] for k in known], np.int64)
-        flat = np.concatenate([self.ids[k] for k in known]) if known else np.zeros(0, np.uint32)
-        begins = np.cumsum(sizes) - sizes
-        code = coded.indices.to_numpy().astype(np.int64)
-        lengths = sizes[code]
+        known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        bounds = np.array(self.ends)
+        code = known[coded.indices.to_numpy()]
+        begins, lengths = bounds[code], bounds[code + 1] - bounds[code]
         ends = np.cumsum(lengths)
-        source = np.repeat(begins[code] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        ids = flat[source]
+        source = np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ids = np.array(self.ids, np.uint32)[source]
         cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
