@@ -17,7 +17,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 12000  # labelled rows that the model is fitt
 TERMS = 4096  # terms with a weight, at most
 LEAST_ROWS = 3  # sample rows that a term must occur in
 GRADES = 3  # 0 clean, 1 mild, 2 severe
-REJECT = 0.5  # expected severity from which a document goes
+REJECT = 0.25  # expected severity from which a document goes
 
 
 @dataclass
@@ -54,27 +54,30 @@ def counted(texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int,
-        rate: float = 2e-4, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by accelerated proximal gradient with an L1 penalty on the weights."""
+        rate: float = 2e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of at least 0 and ordered thresholds, by accelerated proximal gradient with an L1 penalty.
+
+    No term makes a text milder, so a long clean part cannot hide a toxic one.
+    """
     n = max(len(grades), 1)
     above = (grades[:, None] > np.arange(GRADES - 1)[None, :]).astype(float)
     share = np.clip(above.mean(0) if len(grades) else np.full(GRADES - 1, 0.5), 1e-3, 1 - 1e-3)
     theta = -np.log(share / (1 - share))
     weights, look, back = np.zeros(width), np.zeros(width), 1.0
-    # a bound of the curvature: half the largest sum over a row times the largest over a column
-    row_sum = np.bincount(rows, values, n).max(initial=1.0)
-    column_sum = np.bincount(columns, values, max(width, 1)).max(initial=1.0)
-    step = n / (0.25 * (GRADES - 1) * row_sum * column_sum + 1e-9)
+    # a bound of the curvature for each weight: a quarter per boundary times the row sums of its rows
+    row_sums = np.bincount(rows, values, n)
+    curve = 0.25 * (GRADES - 1) * np.bincount(columns, values * row_sums[rows], max(width, 1))[:width] / n
+    step = 1 / np.maximum(curve, 1e-6)
     for _ in range(steps):
         line = np.bincount(rows, values * look[columns], n)
-        # each grade's probability is a difference of neighbouring boundaries; its gradient sums over them
+        # logistic loss at every boundary, with one line for all of them
         wrong = _s(line[:, None] - theta[None, :])[: len(grades)] - above
         slope = np.bincount(columns, values * wrong.sum(1)[rows], max(width, 1))[:width] / n
         new = look - step * slope
-        new = np.sign(new) * np.maximum(np.abs(new) - step * rate, 0)
+        new = np.maximum(new - step * rate, 0)
         ahead = (1 + np.sqrt(1 + 4 * back * back)) / 2
         look, weights, back = new + (back - 1) / ahead * (new - weights), new, ahead
-        theta = np.maximum.accumulate(theta + 2.0 * wrong.mean(0) if len(grades) else theta)
+        theta = np.maximum.accumulate(theta + 4.0 * wrong.mean(0) if len(grades) else theta)
     return weights, theta
 
 
@@ -96,7 +99,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sparse_rows(keys: np.ndarray):
     kind = pa.schema([
-        ("label", pa.int64()), ("words", pa.int64()), ("terms", pa.list_(pa.int32())), ("times", pa.list_(pa.float64()))
+        ("label", pa.int64()), ("terms", pa.list_(pa.int32())), ("times", pa.list_(pa.float64()))
     ])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +107,8 @@ def _sparse_rows(keys: np.ndarray):
             for first, part in in_pieces(batch.column(1)):
                 row, column, times = counted(part, keys)
                 cut = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
-                size = np.bincount(terms(part)[0], minlength=len(part))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, len(part)).cast(pa.int64()), pa.array(size),
+                    batch.column(0).slice(first, len(part)).cast(pa.int64()),
                     pa.ListArray.from_arrays(pa.array(cut), pa.array(column.astype(np.int32))),
                     pa.ListArray.from_arrays(pa.array(cut), pa.array(times)),
                 ], schema=kind)
@@ -117,9 +119,9 @@ def _sparse_rows(keys: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame) -> SeverityModel:
     """Fit on at most 4,000 toxic and 12,000 clean labelled rows that are not held out.
 
-    Terms are words and word beginnings that differ most between toxic and clean sample rows,
-    counted by Spark. ``labels.toxic`` knows no grades: toxic rows with more marker terms per word than the
-    median toxic row are severe, the others mild.
+    Terms are the words and word beginnings that toxic sample rows hold more often than clean ones,
+    counted by Spark. ``labels.toxic`` knows no grades: toxic rows with more marker terms than the median toxic
+    row are severe, the others mild.
     """
     spark = docs.sparkSession
     toxic, _ = labelled_sample(labels, "toxic", SAMPLE_TOXIC)
@@ -136,21 +138,21 @@ def train(docs: DataFrame, labels: DataFrame) -> SeverityModel:
     in_bad, in_good = F.col("toxic") + 0.5, F.col("rows") - F.col("toxic") + 0.5
     odds = F.log(in_bad / (bad + 1)) - F.log(in_good / (good + 1))
     strength = odds / F.sqrt(1 / in_bad + 1 / in_good)
-    ranked = counts.select("term", strength.alias("z"), odds.alias("odds")).orderBy(F.desc(F.abs("z")), "term").limit(TERMS)
+    ranked = counts.select("term", strength.alias("z"), odds.alias("odds")).where("z > 2.5").orderBy(F.desc("z"), "term").limit(TERMS)
     table = ranked.toArrow().to_pandas()
     keys = table["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, markers = keys[order], ((table["z"] > 3) & (table["odds"] > 1)).to_numpy()[order]
     sparse, schema = _sparse_rows(keys)
     got = rows.mapInArrow(sparse, schema).toArrow().combine_chunks()
-    label, size = got["label"].to_numpy(), got["words"].to_numpy()
+    label = got["label"].to_numpy()
     cells, times = got["terms"].to_pylist(), got["times"].to_pylist()
     rows_at = np.repeat(np.arange(len(label)), [len(one) for one in cells]).astype(np.int64)
     columns = np.array([c for one in cells for c in one], np.int64)
     values = np.array([t for one in times for t in one], float)
-    density = np.bincount(rows_at, values * markers[columns], len(label)) / np.maximum(size, 1)
-    middle = np.median(density[label == 1]) if (label == 1).any() else 0.0
-    grades = np.where(label == 1, np.where(density > middle, 2, 1), 0)
+    amount = np.bincount(rows_at, np.log1p(values) * markers[columns], len(label))
+    middle = np.median(amount[label == 1]) if (label == 1).any() else 0.0
+    grades = np.where(label == 1, np.where(amount > middle, 2, 1), 0)
     weights, theta = fit(rows_at, columns, np.log1p(values), grades, len(keys))
     used = weights != 0
     return SeverityModel(keys[used], weights[used], theta)
