@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions import add_periods, half_even
 from tablelens.ml.estimators import FOREST_DEPTH, importance
-from tablelens.operators.columns import field_types, ref
+from tablelens.operators.columns import field_types, join_null_safe, ref
 from tablelens.operators.forecast import forecast_metrics, forecast_points
 from tablelens.operators.series import (
     FEATURE_GROUPS,
     check_bounds,
-    effective_lags,
     holdout_split,
+    lag_features,
     ml_feature_names,
     ml_features,
     series_history,
@@ -34,33 +34,73 @@ FORECAST_MODELS = ("gradient_boosting", "random_forest", "ridge_regression")
 # ---------------------------------------------------------------- least squares per series
 
 
-def _regression_row(history: np.ndarray, period: pd.Timestamp, lags: int) -> list[float]:
-    month, quarter = period.month, period.quarter
-    return [
-        len(history) + 1.0, month, quarter, period.day, period.dayofweek,
-        np.sin(2 * np.pi * month / 12), np.cos(2 * np.pi * month / 12),
-        np.sin(2 * np.pi * quarter / 4), np.cos(2 * np.pi * quarter / 4),
-        history[-lags:].mean(), history[-3:].mean(), *history[-1:-lags - 1:-1],
-    ]
+def _split_usable(split: DataFrame, lags: int, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Series with at least 3 training rows after lagging, and the others (``keys…, periods``).
 
+    Without keys a series that is too short is an error.
+    """
+    check_bounds("lag_periods", lags, 1, 12)
+    enough = F.col("train_periods") - lags >= 3
+    if not keys and not split.filter(enough).limit(1).count():
+        raise ValueError("not enough history is available to train the forecasting model")
+    short = split.filter(~enough).groupBy(*[ref(k) for k in keys]).agg(F.max("periods").alias("periods"))
+    return split.filter(enough), short
+
+
+def _lines(rows: DataFrame, lags: int, keys: Sequence[str]) -> DataFrame:
+    """``(keys…, weights, level)``: the least-squares line of each series through its lag features."""
+    types = field_types(rows)
+    table = lag_features(rows, lags, keys)
+    names = [c for c in table.columns if c not in rows.columns]
+    named = "".join(f"`{k}` {types[k].simpleString()}, " for k in keys)
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        design = frame[names].to_numpy(dtype=float)
+        target, centre = frame["value"].to_numpy(dtype=float), design.mean(axis=0)
+        weights = np.linalg.lstsq(design - centre, target - target.mean(), rcond=None)[0]
+        line = {"weights": [weights.tolist()], "level": [float(target.mean() - centre @ weights)]}
+        return pd.DataFrame({k: [frame[k].iloc[0]] for k in keys} | line)
 
-def _fit_line(values: np.ndarray, periods: Sequence[pd.Timestamp], lags: int):
-    rows = np.array([_regression_row(values[:i], periods[i], lags) for i in range(lags, len(values))], dtype=float)
-    target = values[lags:]
-    centre = rows.mean(axis=0)
-    weights, *_ = np.linalg.lstsq(rows - centre, target - target.mean(), rcond=None)
-    return centre, weights, target.mean()
+    by = [ref(k) for k in keys] or [F.lit("all").alias("__one")]
+    return table.groupBy(*by).applyInPandas(solve, f"{named}weights array<double>, level double")
 
 
-def _roll(line, history: np.ndarray, periods: Sequence[pd.Timestamp], lags: int) -> list[float]:
-    centre, weights, level = line
-    found = []
-    for period in periods:
-        row = np.array(_regression_row(history, period, lags), dtype=float)
-        value = max(float((row - centre) @ weights + level), 0.0)
-        found.append(value)
-        history = np.append(history, value)
-    return found
+def _lag_vector(past: Column, period: Column, position: Column, lags: int) -> Column:
+    """The features of the period after ``past``, in the order of ``lag_features``."""
+    month, quarter = F.month(period).cast("double"), F.quarter(period).cast("double")
+
+    def mean(n: int) -> Column:
+        cells = F.slice(past, F.greatest(F.size(past) - n + 1, F.lit(1)), n)
+        return F.aggregate(cells, F.lit(0.0), lambda total, x: total + x) / F.size(cells)
+
+    return F.array(
+        position.cast("double"), month, quarter, F.dayofmonth(period).cast("double"), F.weekday(period).cast("double"),
+        F.sin(month * (2 * np.pi / 12)), F.cos(month * (2 * np.pi / 12)), F.sin(quarter * (2 * np.pi / 4)),
+        F.cos(quarter * (2 * np.pi / 4)), mean(lags), mean(3), *[F.element_at(past, -i) for i in range(1, lags + 1)],
+    )
+
+
+def _follow(start: DataFrame, lines: DataFrame, keys: Sequence[str], steps: Column, lags: int) -> DataFrame:
+    """Recursive predictions of each line after ``(keys…, label, past, period, position)``: a fold over the last values."""
+    state = join_null_safe(start, lines, keys) if keys else start.crossJoin(F.broadcast(lines))
+    known = F.size("past")
+
+    def step(past: Column, i: Column) -> Column:
+        vector = _lag_vector(past, add_periods(F.col("period"), F.col("label"), i), F.col("position") + i, lags)
+        line = F.aggregate(F.zip_with("weights", vector, lambda w, x: w * x), F.col("level"), lambda total, x: total + x)
+        return F.concat(past, F.array(F.greatest(line, F.lit(0.0))))
+
+    path = F.aggregate(F.sequence(F.lit(1), steps), F.col("past"), step)
+    found = state.withColumn("__known", known).withColumn("__path", path)
+    found = found.select(
+        *[ref(k) for k in keys], "label", "period", "position",
+        F.posexplode(F.slice("__path", F.col("__known") + 1, F.size("__path") - F.col("__known"))).alias("__at", "prediction"),
+    )
+    at = F.col("__at") + 1
+    return found.select(
+        *[ref(k) for k in keys], "label", at.alias("step"), (F.col("position") + at).cast("int").alias("position"),
+        add_periods(F.col("period"), F.col("label"), at).alias("period"), "prediction",
+    )
 
 
 def regression_forecast(
@@ -69,47 +109,22 @@ def regression_forecast(
 ) -> dict[str, DataFrame]:
     """Least-squares forecast of each series from its own lag features, recursive over test and future.
 
-    One Python call per series, and a series is calendar-sized; Spark spreads the series.
-    A series with fewer than 3 training rows after lagging is an error.
+    Spark makes the feature rows; one small solve per series gives its line, and the recursion is a fold over
+    the series' last values, each series to its own length. Series with fewer than 3 training rows after
+    lagging are listed in ``rejects``; without keys that is an error.
     """
     check_bounds("horizon", horizon, 1, 24)
-    split = holdout_split(series, test_pct, test_periods)
-    split = split.withColumn("lags", effective_lags(lags, F.col("train_periods"), F.col("periods")))
-    steps = F.array(*[add_periods(F.col("period"), F.col("label"), i) for i in range(1, horizon + 1)])
-    split = split.withColumn("ahead", F.when(F.col("position") == F.col("periods"), steps))
-    types = field_types(series)
-    by = list(keys) or ["__one"]
-    if not keys:
-        split = split.withColumn("__one", F.lit(0))
-    named = "".join(f"`{k}` {types[k].simpleString()}, " for k in keys)
-    schema = named + "part string, label string, step int, position int, period timestamp, value double, prediction double"
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("position")
-        values = frame["value"].to_numpy(dtype=float)
-        periods = [pd.Timestamp(p) for p in frame["period"]]
-        cut, depth = int(frame["train_periods"].iloc[0]), int(frame["lags"].iloc[0])
-        if cut - depth < 3:
-            raise ValueError("not enough history is available to train the time-series model")
-        ahead = [pd.Timestamp(p) for p in frame["ahead"].iloc[-1]]
-        tested = _roll(_fit_line(values[:cut], periods[:cut], depth), values[:cut], periods[cut:], depth)
-        future = _roll(_fit_line(values, periods, depth), values, ahead, depth)
-        count, extra = len(tested), len(future)
-        result = pd.DataFrame({
-            "part": ["test"] * count + ["future"] * extra,
-            "label": frame["label"].iloc[0],
-            "step": [*range(1, count + 1), *range(1, extra + 1)],
-            "position": [*range(cut + 1, cut + count + 1), *range(len(values) + 1, len(values) + extra + 1)],
-            "period": periods[cut:] + ahead,
-            "value": [*values[cut:], *[np.nan] * extra],
-            "prediction": tested + future,
-        })
-        for key in keys:
-            result[key] = frame[key].iloc[0]
-        return result
-
-    points = split.groupBy(*[ref(k) for k in by]).applyInPandas(solve, schema)
-    return _results(reliable_checkpoint(points), series, split, keys)
+    split, rejects = _split_usable(holdout_split(series, test_pct, test_periods), lags, keys)
+    split = reliable_checkpoint(split)
+    train, reach = split.filter(~F.col("is_test")), max(lags, 3)
+    begin = _tail_state(train.withColumn("__end", F.col("train_periods")), keys, reach, F.max("periods").alias("periods"))
+    tested = _follow(begin, _lines(train, lags, keys), keys, (F.col("periods") - F.col("position")).cast("int"), lags)
+    actual = split.filter("is_test").select(*[ref(k) for k in keys], "position", "value")
+    test = join_null_safe(tested, actual, [*keys, "position"]).withColumn("part", F.lit("test"))
+    end = _tail_state(split.withColumn("__end", F.col("periods")), keys, reach)
+    future = _follow(end, _lines(split, lags, keys), keys, F.lit(horizon), lags).withColumn("part", F.lit("future"))
+    points = reliable_checkpoint(test.unionByName(future, allowMissingColumns=True))
+    return _results(points, split, split, keys) | {"rejects": rejects}
 
 
 def _results(points: DataFrame, series: DataFrame, split: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
@@ -184,7 +199,7 @@ def _roll_forward(
             state = reliable_checkpoint(state)
     first = start.select(*[ref(k) for k in keys], F.col("period").alias("__origin"), F.col("position").alias("__base"))
     paths = state.select(*[ref(k) for k in keys], "label", "path")
-    joined = paths.join(first, list(keys)) if keys else paths.withColumns({
+    joined = join_null_safe(paths, first, keys) if keys else paths.withColumns({
         "__origin": first.select("__origin").scalar(), "__base": first.select("__base").scalar(),
     })
     exploded = joined.select(*[ref(k) for k in keys], "label", "__origin", "__base", F.posexplode("path").alias("__at", "prediction"))
@@ -195,10 +210,10 @@ def _roll_forward(
     )
 
 
-def _tail_state(series: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
+def _tail_state(series: DataFrame, keys: Sequence[str], reach: int, *more: Column) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda p: p["value"])
     return series.filter(F.col("position") > F.col("__end") - reach).groupBy(*[ref(k) for k in keys], "label").agg(
-        ordered.alias("past"), F.max("period").alias("period"), F.max("position").alias("position")
+        ordered.alias("past"), F.max("period").alias("period"), F.max("position").alias("position"), *more
     )
 
 
@@ -206,19 +221,18 @@ def ml_forecast(
     series: DataFrame, horizon: int = 3, lags: int = 3, groups: Sequence[str] = FEATURE_GROUPS,
     model_type: str = "gradient_boosting", keys: Sequence[str] = (), test_pct: int = 20, seed: int = 42,
 ) -> dict[str, DataFrame]:
-    """Learned forecast: one model over all series, recursive backtest, refit on everything, future."""
+    """Learned forecast: one model over all series, recursive backtest, refit on everything, future.
+
+    Series with fewer than 3 training rows after lagging are listed in ``rejects`` and take no part; without
+    keys that is an error.
+    """
     check_bounds("horizon", horizon, 1, 24)
     if model_type not in FORECAST_MODELS:
         raise ValueError(f"model_type must be one of {FORECAST_MODELS}")
-    split = holdout_split(series, test_pct)
-    facts = split.agg(
-        F.min(effective_lags(lags, F.col("train_periods"), F.col("periods"))).alias("lags"),
-        F.max(F.col("periods") - F.col("train_periods")).alias("test"),
-        F.min("train_periods").alias("train"),
-    ).first()
-    depth, reach = facts["lags"], max(facts["lags"], 6)
-    if facts["train"] - depth < 3:
-        raise ValueError("not enough history is available to train the forecasting model")
+    split, rejects = _split_usable(holdout_split(series, test_pct), lags, keys)
+    split = reliable_checkpoint(split)
+    series, depth, reach = split.select(*series.columns), lags, max(lags, 6)
+    facts = split.agg(F.max(F.col("periods") - F.col("train_periods")).alias("test")).first()
     names = ml_feature_names(depth, groups)
     assembler = VectorAssembler(inputCols=names, outputCol="features")
 
@@ -231,10 +245,12 @@ def ml_forecast(
         fit(train), _tail_state(train.withColumn("__end", F.col("train_periods")), keys, reach), keys, facts["test"], depth, groups
     )
     actual = split.filter("is_test").select(*[ref(k) for k in keys], "position", "value")
-    test = tested.join(actual, [*keys, "position"]).withColumn("part", F.lit("test"))
+    test = join_null_safe(tested, actual, [*keys, "position"]).withColumn("part", F.lit("test"))
     full = fit(series)
     future = _roll_forward(
         full, _tail_state(series.withColumn("__end", F.col("periods")), keys, reach), keys, horizon, depth, groups
     ).withColumn("part", F.lit("future"))
     points = reliable_checkpoint(test.unionByName(future, allowMissingColumns=True))
-    return _results(points, series, split, keys) | {"importance": importance(full, names, series)}
+    return _results(points, series, split, keys) | {
+        "importance": importance(full, names, series), "rejects": rejects,
+    }

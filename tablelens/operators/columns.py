@@ -198,22 +198,38 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*[form(name, dtype) for name, dtype in field_types(df).items()])
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where two nulls are equal; the keys of the left side are kept."""
+    renamed = right.withColumnsRenamed({k: f"__right_{i}" for i, k in enumerate(keys)})
+    condition = F.lit(True)
+    for i, key in enumerate(keys):
+        condition = condition & left[f"`{key}`"].eqNullSafe(renamed[f"__right_{i}"])
+    return left.join(renamed, condition, how).drop(*[f"__right_{i}" for i in range(len(keys))])
+
+
 # ---------------------------------------------------------------- dates
 
 
 def detect_date_columns(
-    df: DataFrame, order_by: Sequence[str], min_ratio: float = 0.6, sample: int = 50
+    df: DataFrame, order_by: Sequence[str] = (), min_ratio: float = 0.6, sample: int | None = None
 ) -> DataFrame:
-    """Share of parsable dates among the first ``sample`` non-null values of each text column.
+    """Share of parsable dates among the non-null values of each text column.
 
-    One scan: every task keeps its own first ``sample`` rows per column before the shuffle,
-    so nothing is sorted as a whole.
+    One aggregation over all rows, or, if asked for, over the first ``sample`` values per column in ``order_by`` order.
     """
     if not 0 < min_ratio <= 1:
         raise ValueError("min_ratio must be in (0, 1]")
     text = [name for name, dtype in field_types(df).items() if isinstance(dtype, T.StringType)]
     if not text:
         return small_table(df.sparkSession, [], "name string, parsed_share double, is_date boolean")
+    if sample is None:
+        shares = df.agg(*[
+            F.avg(F.when(ref(n).isNotNull(), F.when(parse_datetime(ref(n)).isNotNull(), 1.0).otherwise(0.0))).alias(f"d{i}")
+            for i, n in enumerate(text)
+        ])
+        cells = [F.struct(F.lit(n).alias("name"), F.col(f"d{i}").alias("parsed_share")) for i, n in enumerate(text)]
+        found = shares.select(F.inline(F.array(*cells))).filter("parsed_share IS NOT NULL")
+        return found.withColumn("is_date", F.col("parsed_share") >= min_ratio)
     first = first_values(df, text, order_by, sample)
     parsed = F.when(parse_datetime(F.col("value")).isNotNull(), 1.0).otherwise(0.0)
     return (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions import add_periods, format_period, half_even
-from tablelens.operators.columns import ref
+from tablelens.operators.columns import join_null_safe, ref
 from tablelens.operators.series import _window, check_bounds, season_length
 
 TAIL = 12  # longest look-back of a forecast step: one year of months
@@ -124,7 +124,7 @@ def forecast_chart(history: DataFrame, test: DataFrame, future: DataFrame, keys:
         *[ref(k) for k in by], "period", F.col("predicted").alias("backtest"),
         bound(test, "lower").alias("lower"), bound(test, "upper").alias("upper"),
     )
-    past = history.select(*[ref(k) for k in by], "period", "actual").join(backtest, [*by, "period"], "left")
+    past = join_null_safe(history.select(*[ref(k) for k in by], "period", "actual"), backtest, [*by, "period"], "left")
     ahead = future.select(
         *[ref(k) for k in by], "period", F.col("predicted").alias("forecast"),
         bound(future, "lower").alias("lower"), bound(future, "upper").alias("upper"),
@@ -146,7 +146,7 @@ def forecast_summary(future: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def recommend_stat_models(profile: DataFrame, stationary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys…, model_type, recommended)`` for the three statistical models of each series."""
     by = list(keys)
-    facts = profile.join(stationary, by) if by else profile.withColumn("p_value", stationary.select("p_value").scalar())
+    facts = join_null_safe(profile, stationary, by) if by else profile.withColumn("p_value", stationary.select("p_value").scalar())
     needed = F.when(F.col("detected_frequency") == "month", 12).when(F.col("detected_frequency") == "quarter", 8).otherwise(10)
     seasonal = F.col("usable_periods") >= needed
     choices = F.array(

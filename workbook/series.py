@@ -18,7 +18,7 @@ MONTHLY = (
     "INTERVAL 1 MONTH)) AS m) LEFT JOIN (SELECT date_trunc('month', o_orderdate) AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1) ON m = p)"
 )
 DAILY = (
-    "d AS (SELECT event_type, date_trunc('day', ts) AS p, sum(value) AS v FROM events WHERE value >= 40 OR event_type <> 'view' GROUP BY ALL), "
+    "d AS (SELECT event_type, date_trunc('day', ts) AS p, sum(value) AS v FROM events GROUP BY ALL), "
     "g AS (SELECT event_type, unnest(generate_series(min(p), max(p), INTERVAL 1 DAY)) AS m FROM d GROUP BY 1), "
     "s AS (SELECT g.event_type, m AS period, coalesce(v, 0.0) AS value, row_number() OVER (PARTITION BY g.event_type ORDER BY m) AS position, "
     "count(*) OVER (PARTITION BY g.event_type) AS periods FROM g LEFT JOIN d ON g.event_type = d.event_type AND m = p)"
@@ -29,12 +29,8 @@ SPLIT = "t AS (SELECT *, periods - least(greatest(round_even(periods * 0.2, 0),
 
 
 
-def busy_events(tables):
-    return tables.events.filter("value >= 40 OR event_type <> 'view'")
-
-
 def daily(tables):
-    return Se.prepare_series(busy_events(tables), "ts", "value", KEYS, freq="day")[0]
+    return Se.prepare_series(tables.events, "ts", "value", KEYS, freq="day")[0]
 
 
 def _frequency_sql(date: str, source: str, key: str | None = None) -> str:
@@ -53,11 +49,11 @@ def _(tables):
     return Se.infer_frequency(tables.events, "ts", KEYS)
 
 
-@query("infer_frequency_month", _frequency_sql("m", "(SELECT o_orderpriority, date_trunc('quarter', o_orderdate) + INTERVAL 2 DAY AS m FROM orders UNION ALL SELECT o_orderpriority, date_trunc('month', o_orderdate) FROM orders WHERE o_orderpriority <> '5-LOW')", "o_orderpriority"))
+@query("infer_frequency_month", _frequency_sql("m", "(SELECT o_orderpriority, date_trunc('quarter', o_orderdate) + INTERVAL 2 DAY AS m FROM orders UNION ALL SELECT o_orderpriority, date_trunc('month', o_orderdate) FROM orders)", "o_orderpriority"))
 def _(tables):
     orders = tables.orders
     quarters = orders.select("o_orderpriority", (F.date_trunc("quarter", "o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("m"))
-    months = orders.filter("o_orderpriority <> '5-LOW'").select("o_orderpriority", F.date_trunc("month", "o_orderdate").alias("m"))
+    months = orders.select("o_orderpriority", F.date_trunc("month", "o_orderdate").alias("m"))
     return Se.infer_frequency(quarters.unionByName(months), "m", ["o_orderpriority"])
 
 
@@ -75,14 +71,14 @@ def _(tables):
 
 @query(
     "fill_gaps",
-    "WITH d AS (SELECT date_trunc('month', o_orderdate) AS p, sum(o_totalprice) AS v FROM orders WHERE month(o_orderdate) NOT IN (3, 4, 9) GROUP BY 1), "
-    "g AS (SELECT unnest(generate_series(min(p), max(p), INTERVAL 1 MONTH)) AS m FROM d) "
-    "SELECT m::TIMESTAMP AS period, round(coalesce(v, 0), 2) AS value FROM g LEFT JOIN d ON m = p",
+    "WITH d AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), "
+    "g AS (SELECT o_custkey, unnest(generate_series(min(p), max(p), INTERVAL 1 MONTH)) AS m FROM d GROUP BY 1) "
+    "SELECT g.o_custkey, m::TIMESTAMP AS period, round(coalesce(v, 0), 2) AS value FROM g LEFT JOIN d ON m = p AND d.o_custkey = g.o_custkey",
 )
 def _(tables):
-    kept = tables.orders.filter(~F.month("o_orderdate").isin(3, 4, 9))
-    filled = Se.fill_gaps(Se.resample(kept, "o_orderdate", "o_totalprice", "month"), "month")
-    return filled.select(F.col("period").cast("timestamp_ntz").alias("period"), F.round("value", 2).alias("value"))
+    monthly = Se.resample(tables.orders, "o_orderdate", "o_totalprice", "month", ["o_custkey"])
+    filled = Se.fill_gaps(monthly, F.lit("month"), ["o_custkey"])
+    return filled.select("o_custkey", F.col("period").cast("timestamp_ntz").alias("period"), F.round("value", 2).alias("value"))
 
 
 @query("prepare_series", f"WITH {DAILY} SELECT event_type, 'day' AS label, period::TIMESTAMP AS period, round(value, 2) AS value, position, periods FROM s")
@@ -118,13 +114,18 @@ _TAIL = (
 )
 
 
-@query(
-    "stationarity",
-    f"WITH {DAILY}, l AS (SELECT event_type, value AS y, lag(value) OVER (PARTITION BY event_type ORDER BY position) AS b FROM s), "
+P_VALUE = (
+    "l AS (SELECT event_type, value AS y, lag(value) OVER (PARTITION BY event_type ORDER BY position) AS b FROM s), "
     "r AS (SELECT event_type, count(*) AS n, count(b) AS m, regr_slope(y, b) AS slope, regr_sxx(y, b) AS sxx, regr_syy(y, b) AS syy, regr_sxy(y, b) AS sxy FROM l GROUP BY 1), "
     "z AS (SELECT event_type, abs((slope - 1) / sqrt(greatest((syy - slope * sxy) / greatest(m - 2, 1) / sxx, 1e-9))) / sqrt(2) AS x FROM r), "
-    f"p AS (SELECT event_type, round_even(least(greatest({_TAIL}, 0), 1), 4) AS p_value FROM z) "
-    "SELECT event_type, p_value, CASE WHEN p_value < 0.05 THEN 'Likely stationary' ELSE 'Trend or seasonality still present' END AS verdict FROM p",
+    f"p AS (SELECT event_type, round_even(least(greatest({_TAIL}, 0), 1), 4) AS p_value FROM z)"
+)
+
+
+@query(
+    "stationarity",
+    f"WITH {DAILY}, {P_VALUE} "
+    "SELECT event_type, p_value, CASE WHEN p_value < 0.05 THEN 'stationary' ELSE 'not_stationary' END AS verdict FROM p",
 )
 def _(tables):
     return Se.stationarity(daily(tables), KEYS)
@@ -152,12 +153,12 @@ def _round_all(df, names, digits=4):
     "lag_features",
     f"WITH {DAILY}, w AS (SELECT event_type, position, position::DOUBLE AS trend_index, month(period)::DOUBLE AS month_number, quarter(period)::DOUBLE AS quarter_number, "
     "day(period)::DOUBLE AS day_of_month, isodow(period)::DOUBLE - 1 AS day_of_week, round(sin(2 * pi() * month(period) / 12), 4) AS month_sin, "
-    "round(cos(2 * pi() * quarter(period) / 4), 4) AS quarter_cos, round(avg(value) OVER (o ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 4) AS lag_mean, "
+    "round(cos(2 * pi() * month(period) / 12), 4) AS month_cos, round(sin(2 * pi() * quarter(period) / 4), 4) AS quarter_sin, round(cos(2 * pi() * quarter(period) / 4), 4) AS quarter_cos, round(avg(value) OVER (o ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 4) AS lag_mean, "
     "round(avg(value) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS lag_last_3_mean, round(lag(value, 1) OVER o, 4) AS lag_1, "
-    "round(lag(value, 4) OVER o, 4) AS lag_4 FROM s WINDOW o AS (PARTITION BY event_type ORDER BY position)) SELECT * FROM w WHERE position > 4",
+    "round(lag(value, 2) OVER o, 4) AS lag_2, round(lag(value, 3) OVER o, 4) AS lag_3, round(lag(value, 4) OVER o, 4) AS lag_4 FROM s WINDOW o AS (PARTITION BY event_type ORDER BY position)) SELECT * FROM w WHERE position > 4",
 )
 def _(tables):
-    names = ["trend_index", "month_number", "quarter_number", "day_of_month", "day_of_week", "month_sin", "quarter_cos", "lag_mean", "lag_last_3_mean", "lag_1", "lag_4"]
+    names = ["trend_index", "month_number", "quarter_number", "day_of_month", "day_of_week", "month_sin", "month_cos", "quarter_sin", "quarter_cos", "lag_mean", "lag_last_3_mean", "lag_1", "lag_2", "lag_3", "lag_4"]
     features = Se.lag_features(daily(tables), 4, KEYS)
     return _round_all(features.select("event_type", "position", *names), names)
 
@@ -285,10 +286,20 @@ def _(tables):
     "SELECT *, CASE WHEN upper IS NOT NULL THEN round(greatest(upper - lower, 0), 4) END AS confidence_range FROM c",
 )
 def _(tables):
-    chart = statistical_forecast(busy_events(tables), "ts", "value", KEYS, freq="day")["chart"]
+    chart = statistical_forecast(tables.events, "ts", "value", KEYS, freq="day")["chart"]
     return chart.withColumn("confidence_range", F.round("confidence_range", 4))
 
 
+@query(
+    "forecast_chart_null_key",
+    f"WITH {DAILY}, {SPLIT} SELECT NULLIF(event_type, 'view') AS kind, count(CASE WHEN position > train_periods THEN 1 END) AS backtests, 3 AS ahead FROM t GROUP BY 1",
+)
+def _(tables):
+    rows = tables.events.withColumn("kind", F.nullif("event_type", F.lit("view")))
+    chart = statistical_forecast(rows, "ts", "value", ["kind"], freq="day")["chart"]
+    return chart.groupBy("kind").agg(F.count("backtest").alias("backtests"), F.count("forecast").cast("int").alias("ahead"))
+
+
 @query(
     "forecast_summary",
     f"WITH RECURSIVE {DAILY}, {_future_sql('sarima', 6, 7, 's', 'event_type')}, y AS (SELECT event_type, step, round_even(h[len(h)], 2) AS p FROM f WHERE step > 0) "
@@ -296,19 +307,18 @@ def _(tables):
     "FROM y JOIN (SELECT event_type, max(period) AS last FROM s GROUP BY 1) m ON y.event_type = m.event_type GROUP BY 1",
 )
 def _(tables):
-    summary = statistical_forecast(busy_events(tables), "ts", "value", KEYS, horizon=6, freq="day")["summary"]
+    summary = statistical_forecast(tables.events, "ts", "value", KEYS, horizon=6, freq="day")["summary"]
     return summary.withColumn("average", F.round("average", 4))
 
 
 @query(
     "recommend_forecaster",
-    f"WITH {DAILY}, n AS (SELECT event_type, count(*) AS n FROM s GROUP BY 1) SELECT event_type, 'sarima' AS model_type, n >= 10 AS recommended FROM n UNION ALL "
-    "SELECT event_type, 'prophet', n < 10 FROM n",
+    f"WITH {DAILY}, n AS (SELECT event_type, count(*) AS n FROM s GROUP BY 1), {P_VALUE} SELECT event_type, 'sarima' AS model_type, n >= 10 AS recommended FROM n UNION ALL "
+    "SELECT event_type, 'prophet', n < 10 AND p_value >= 0.05 FROM n JOIN p USING (event_type) UNION ALL SELECT event_type, 'arima', p_value < 0.05 FROM p",
 )
 def _(tables):
     series = daily(tables)
-    chosen = Fc.recommend_stat_models(Se.series_profile(series, KEYS), Se.stationarity(series, KEYS), KEYS)
-    return chosen.filter("model_type <> 'arima'")
+    return Fc.recommend_stat_models(Se.series_profile(series, KEYS), Se.stationarity(series, KEYS), KEYS)
 
 
 FLAGSHIP_SQL = (
