@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from tablelens.functions import half_even
 from tablelens.session import small_table
 
-FOREST_DEPTH = 12  # a forest of n rows needs about log2(n) levels; Spark allows up to 30
+FOREST_DEPTH = 12  # of forests, unless ``parameters`` set maxDepth; Spark allows up to 30
+BINS = 128  # candidate splits of a numeric feature
 
 REGRESSION_MODELS = {
     "ridge_regression": "Ridge Regression",
@@ -78,12 +80,12 @@ def regressor(model_type: str, facts: TargetFacts, seed: int = 42, depth: int =
     if model_type == "random_forest":
         return RandomForestRegressor(
             numTrees=100, minInstancesPerNode=2, maxDepth=depth, featureSubsetStrategy="all", maxMemoryInMB=1024,
-            seed=seed, **columns,
+            maxBins=BINS, seed=seed, **columns,
         )
     if model_type == "gradient_boosting":
-        return GBTRegressor(maxIter=100, stepSize=0.05, maxDepth=3, seed=seed, **columns)
+        return GBTRegressor(maxIter=100, stepSize=0.05, maxDepth=3, maxBins=BINS, seed=seed, **columns)
     if model_type == "decision_tree":
-        return DecisionTreeRegressor(maxDepth=8, seed=seed, **columns)
+        return DecisionTreeRegressor(maxDepth=8, maxBins=BINS, seed=seed, **columns)
     raise ValueError(f"model {model_type!r} is not available for regression; expected one of {sorted(REGRESSION_MODELS)}")
 
 
@@ -92,24 +94,34 @@ def classifier(model_type: str, facts: TargetFacts, seed: int = 42, depth: int =
         return LogisticRegression(regParam=1.0 / max(facts.rows, 1), standardization=False, maxIter=2000, **columns)
     if model_type == "random_forest":
         return RandomForestClassifier(
-            numTrees=100, minInstancesPerNode=2, maxDepth=depth, maxMemoryInMB=1024, seed=seed, **columns
+            numTrees=100, minInstancesPerNode=2, maxDepth=depth, maxMemoryInMB=1024, maxBins=BINS, seed=seed, **columns
         )
     if model_type == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=8, seed=seed, **columns)
+        return DecisionTreeClassifier(maxDepth=8, maxBins=BINS, seed=seed, **columns)
     if model_type == "gradient_boosting":
-        boosted = GBTClassifier(maxIter=100, stepSize=0.05, maxDepth=3, seed=seed, **columns)
-        return boosted if facts.classes == 2 else OneVsRest(classifier=boosted, **columns)
+        boosted = GBTClassifier(maxIter=100, stepSize=0.05, maxDepth=3, maxBins=BINS, seed=seed, **columns)
+        return boosted if facts.classes == 2 else OneVsRest(classifier=boosted, parallelism=4, **columns)
     if model_type == "svm":
         linear = LinearSVC(regParam=1.0 / max(facts.rows, 1), standardization=False, **columns)
-        return linear if facts.classes == 2 else OneVsRest(classifier=linear, **columns)
+        return linear if facts.classes == 2 else OneVsRest(classifier=linear, parallelism=4, **columns)
     raise ValueError(
         f"model {model_type!r} is not available for classification; expected one of {sorted(CLASSIFICATION_MODELS)}"
     )
 
 
-def estimator(problem_type: str, model_type: str, facts: TargetFacts, seed: int = 42, **columns: str) -> Estimator:
+def estimator(
+    problem_type: str, model_type: str, facts: TargetFacts, seed: int = 42, parameters: Mapping[str, Any] | None = None,
+    **columns: str,
+) -> Estimator:
+    """The named model; ``parameters`` replace its settings (of the inner model where classes are fitted one by one)."""
     build = regressor if problem_type == "regression" else classifier
-    return build(model_type, facts, seed, **columns)
+    built = build(model_type, facts, seed, **columns)
+    if parameters:
+        inner = built.getClassifier() if isinstance(built, OneVsRest) else built
+        inner.setParams(**parameters)
+        if inner is not built:
+            built.setClassifier(inner)
+    return built
 
 
 def importance(model: Model, names: Sequence[str], df: DataFrame) -> DataFrame:

@@ -92,7 +92,8 @@ def fit_preparation(df: DataFrame, features: Sequence[str], output: str = "featu
             *[F.avg(f).alias(f"m{i}") for i, f in enumerate(filled)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(filled)]
         ).first()
         for i, name in enumerate(numeric):
-            value = f"nanvl(try_cast({quote_name(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+            number = f"try_cast({quote_name(name)} AS DOUBLE)"
+            value = f"CASE WHEN NOT isnan({number}) AND abs({number}) < double('Infinity') THEN {number} END"
             fill, mean, spread = middle[name] or 0.0, row[f"m{i}"], row[f"s{i}"] or 1.0
             columns.append(f"(coalesce({value}, {fill!r}D) - {mean!r}D) / {spread!r}D AS __n{i}")
             assembled.append(f"__n{i}")

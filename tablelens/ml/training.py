@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -36,13 +37,17 @@ class TrainedModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Rows with ``prediction``; helper columns of the preparation dropped."""
-        scored = self.pipeline.transform(normal_form(df, self.features))
-        return scored.drop(*[c for c in scored.columns if c.startswith("__")], "features")
+        rows = normal_form(df, self.features)
+        kept = {c: f"__kept_{i}" for i, c in enumerate(rows.columns) if c not in self.features}
+        scored = self.pipeline.transform(rows.withColumnsRenamed(kept))
+        made = [c for c in scored.columns if c in ("prediction", "probability", "rawPrediction")]
+        given = [ref(c).alias(c) if c in self.features else F.col(kept[c]).alias(c) for c in rows.columns if c not in made]
+        return scored.select(*given, *made)
 
 
 def fit_model(
     train: DataFrame, features: Sequence[str], target: str, problem_type: str, model_type: str, seed: int = 42,
-    labels: Sequence[str] = (),
+    labels: Sequence[str] = (), parameters: Mapping[str, Any] | None = None,
 ) -> TrainedModel:
     """Fit preparation and estimator on prepared rows (for classes: with their encoded ``label``)."""
     label = target if problem_type == "regression" else "label"
@@ -51,7 +56,7 @@ def fit_model(
     if problem_type == "classification":
         facts.classes = max(len(labels), 2)
     vectors = preparation.transform(train).select("features", label)
-    fitted = estimator(problem_type, model_type, facts, seed, featuresCol="features", labelCol=label).fit(vectors)
+    fitted = estimator(problem_type, model_type, facts, seed, parameters, featuresCol="features", labelCol=label).fit(vectors)
     return TrainedModel(
         PipelineModel([*preparation.stages, fitted]), list(features), target, problem_type, model_type, list(labels),
         dt.datetime.now(dt.timezone.utc).isoformat(),
@@ -89,7 +94,7 @@ def main_metric(problem_type: str) -> str:
 
 def cross_validate(
     rows: DataFrame, features: Sequence[str], target: str, problem_type: str, model_type: str, key: Sequence[str],
-    folds: int = 5, seed: int = 42, labels: Sequence[str] = (),
+    folds: int = 5, seed: int = 42, labels: Sequence[str] = (), parameters: Mapping[str, Any] | None = None,
 ) -> list[float]:
     """Main metric on each held-out fold; folds are shuffled, and stratified for classes."""
     label = "label" if problem_type == "classification" else None
@@ -99,7 +104,7 @@ def cross_validate(
     folded = reliable_checkpoint(assign_folds(rows, folds, key, label, seed))
     scores = []
     for fold in range(folds):
-        model = fit_model(folded.filter(F.col("fold") != fold), features, target, problem_type, model_type, seed, labels)
+        model = fit_model(folded.filter(F.col("fold") != fold), features, target, problem_type, model_type, seed, labels, parameters)
         held_out = score(model, folded.filter(F.col("fold") == fold)).first()
         scores.append(held_out[main_metric(problem_type)])
     return scores
@@ -118,15 +123,18 @@ def permutation_importance(
     needed = rows.select(*{c: None for c in [*key, *model.features, label]})
     ranked = reliable_checkpoint(hash_rank(needed, key, seed, name="__rank"))
     total = ranked.count()
+    if not total:
+        raise ValueError("permutation importance needs at least one row")
     base = score(model, ranked.drop("__rank")).first()[metric]
     generator = random.Random(seed)
     records = []
     for name in model.features:
         variants = None
         for repeat in range(repeats):
-            factor = generator.randrange(1, max(total, 2))
+            most = min(max(total, 2), 2**62 // max(total, 1))  # rank * factor stays a long
+            factor = generator.randrange(1, most)
             while math.gcd(factor, total) != 1:
-                factor = generator.randrange(1, max(total, 2))
+                factor = generator.randrange(1, most)
             shift = generator.randrange(total)
             moved = ranked.select(
                 ((F.col("__rank") * factor + shift) % total).alias("__rank"), ref(name).alias("__moved")
@@ -160,10 +168,12 @@ def train(
     cv_folds: int = 5,
     seed: int = 42,
     importance_repeats: int = 3,
+    parameters: Mapping[str, Any] | None = None,
 ) -> TrainResult:
     """The whole training workflow; ``key`` names the columns that identify a row.
 
-    ``cv_folds=0`` and ``importance_repeats=0`` leave those steps out.
+    ``cv_folds=0`` and ``importance_repeats=0`` leave those steps out; ``parameters`` replace settings of
+    the model, e.g. ``{"maxDepth": 10, "numTrees": 300}``.
     """
     known = REGRESSION_MODELS if problem_type == "regression" else CLASSIFICATION_MODELS
     if model_type not in known:
@@ -178,12 +188,12 @@ def train(
     marked = reliable_checkpoint(mark_test_rows(rows, test_size, key, stratify, seed))
     train_rows = marked.filter(~F.col("is_test"))
     test_rows = marked.filter("is_test")
-    model = fit_model(train_rows, features, target, problem_type, model_type, seed, labels)
+    model = fit_model(train_rows, features, target, problem_type, model_type, seed, labels, parameters)
     main = main_metric(problem_type)
     scores = {row["is_test"]: row for row in score(model, marked, ["is_test"]).collect()}
     cv = []
     if cv_folds:
-        cv = cross_validate(marked.drop("is_test"), features, target, problem_type, model_type, key, cv_folds, seed, labels)
+        cv = cross_validate(marked.drop("is_test"), features, target, problem_type, model_type, key, cv_folds, seed, labels, parameters)
     cv_mean = round(sum(cv) / len(cv), 6) if cv else None
     cv_std = round(math.sqrt(sum((s - sum(cv) / len(cv)) ** 2 for s in cv) / len(cv)), 6) if cv else None
     details = [c for c in scores[True].asDict() if c not in ("is_test", "n", main)]
