@@ -33,7 +33,7 @@ def activity_rows(events: DataFrame) -> DataFrame:
 
 
 def append_activity(events: DataFrame, location: str) -> None:
-    """Append events, stored by day so that listing recent ones prunes the older files."""
+    """Append events, stored in one folder per day."""
     rows = activity_rows(events).withColumn("day", F.to_date("created_at"))
     rows.write.mode("append").partitionBy("day").parquet(location)
 

@@ -33,13 +33,15 @@ def read_csv(
     sep: str = ",",
     schema: T.StructType | str | None = None,
     sampling: float = 1.0,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A delimited file with a header. Cells that do not fit their column's type become null.
 
+    ``multi_line`` reads quoted cells that hold line ends; such a file is one task, so write many files.
     Without ``schema`` the types are inferred in one pass over the ``sampling`` share of the
     rows; a column whose unsampled cells do not fit keeps its type and gets nulls there.
     """
-    reader = spark.read.options(header=True, sep=sep, mode="PERMISSIVE", multiLine=False, escape='"')
+    reader = spark.read.options(header=True, sep=sep, mode="PERMISSIVE", multiLine=multi_line, escape='"')
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.options(inferSchema=True, samplingRatio=sampling).csv(path)

@@ -71,15 +71,13 @@ def _(tables):
 
 @query(
     "export_csv",
-    "SELECT doc_id, replace(text, chr(10), ' ') AS text, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS lang FROM documents",
+    "SELECT doc_id, text, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS lang FROM documents",
 )
 def _(tables):
     place = scratch(tables.spark)
-    rows = tables.documents.select(
-        "doc_id", F.translate("text", "\n", " ").alias("text"), F.nullif("lang", F.lit("en")).alias("lang")
-    )
+    rows = tables.documents.select("doc_id", "text", F.nullif("lang", F.lit("en")).alias("lang"))
     writers.export_csv(rows, place)
-    return readers.read_csv(tables.spark, place, schema="doc_id long, text string, lang string")
+    return readers.read_csv(tables.spark, place, schema="doc_id long, text string, lang string", multi_line=True)
 
 
 @query(
