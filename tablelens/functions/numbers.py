@@ -8,9 +8,15 @@ NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def half_up(value: Column, digits: int) -> Column:
-    """Round with ties towards +infinity, the rule of the interactive statistics."""
+    """Round with ties towards +infinity, the rule of the interactive statistics.
+
+    A double of 2**52 / 10**digits or more has no such digits and stays as it is.
+    """
     scale = float(10**digits)
-    return F.floor(value * scale + 0.5) / F.lit(scale)
+    number = value.cast("double")
+    shifted = number * scale + 0.5
+    rounded = (shifted - F.pmod(shifted, F.lit(1.0))) / F.lit(scale)
+    return F.when(F.abs(number) >= 2.0**52 / scale, number).otherwise(rounded)
 
 
 def half_even(value: Column, digits: int) -> Column:

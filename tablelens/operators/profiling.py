@@ -185,13 +185,12 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicates"))
 
 
-def estimate_memory(df: DataFrame, order_by: Sequence[str], sample: int = 200) -> DataFrame:
-    """One row ``(rows, bytes, display)``: JSON length of the first rows, two bytes a character."""
-    first = df.orderBy(*[ref(c) for c in order_by]).limit(sample)
-    width = first.agg(F.avg(F.length(F.to_json(F.struct("*")))).alias("width")).select("width").scalar()
-    size = df.agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "bytes", F.coalesce(width, F.lit(0.0)) * 2 * F.col("rows") + F.col("rows") * 32
+def estimate_memory(df: DataFrame) -> DataFrame:
+    """One row ``(rows, bytes, display)``: mean JSON length of the rows, two bytes a character, and 32 a row."""
+    size = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.avg(F.length(F.to_json(F.struct("*")))), F.lit(0.0)).alias("width")
     )
+    size = size.select("rows", (F.col("width") * 2 * F.col("rows") + F.col("rows") * 32).alias("bytes"))
     return size.withColumn("display", display_bytes(F.col("bytes")))
 
 

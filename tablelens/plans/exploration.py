@@ -18,8 +18,6 @@ from tablelens.operators.distributions import (
 from tablelens.operators.ordering import sample_systematic
 from tablelens.session import small_table
 
-CATEGORY_CHARTS = 8
-
 
 def advanced_eda(df: DataFrame, order_by: Sequence[str], sample: int | None = None) -> dict[str, DataFrame]:
     """Missingness, distributions, categories, interactions and findings, over all rows by default.
@@ -48,7 +46,7 @@ def advanced_eda(df: DataFrame, order_by: Sequence[str], sample: int | None = No
     if text:
         flagged = identifier_like(table.select(*[ref(c) for c in text])).filter("identifier").select("column").collect()
         excluded = {row["column"] for row in flagged}
-        charted = [c for c in text if c not in excluded][:CATEGORY_CHARTS]
+        charted = [c for c in text if c not in excluded]
         if charted:
             result["categories"] = top_categories(table, charted)
     return result

@@ -54,15 +54,15 @@ _DISTINCT = f"(SELECT DISTINCT o_orderkey, o_orderstatus, o_totalprice, {CLEAN_P
     f"strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM {_DISTINCT}",
 )
 def _(tables):
-    return clean(dirty_orders(tables).withColumnRenamed("o_orderkey", "Order Key"), ["Order Key"]).table
+    return clean(dirty_orders(tables).withColumnRenamed("o_orderkey", "Order Key")).table
 
 
 @query(
     "cleaning_log",
-    f"SELECT 0 AS position, 'Standardized Column Names' AS action, 'Normalized column names for easier analysis and modeling.' AS detail UNION ALL "
-    f"SELECT 1, 'Removed Duplicates', 'Removed ' || ((SELECT count(*) FROM {DIRTY_SQL}) - (SELECT count(*) FROM {_DISTINCT})) || ' duplicate rows.' UNION ALL "
-    f"SELECT 2, 'Handled Missing Values', 'Filled missing values in 3 column(s).' UNION ALL SELECT 3, 'Converted Date Columns', 'Converted 1 date-like column(s).'",
+    f"SELECT 0 AS position, 'names' AS step, 1 AS changed UNION ALL "
+    f"SELECT 1, 'duplicates', (SELECT count(*) FROM {DIRTY_SQL}) - (SELECT count(*) FROM {_DISTINCT}) UNION ALL "
+    f"SELECT 2, 'missing_values', 3 UNION ALL SELECT 3, 'dates', 1",
 )
 def _(tables):
-    result = clean(dirty_orders(tables).withColumnRenamed("o_orderkey", "Order Key"), ["Order Key"])
+    result = clean(dirty_orders(tables).withColumnRenamed("o_orderkey", "Order Key"))
     return result.log.drop("timestamp")

@@ -109,9 +109,15 @@ def _(tables):
     return P.duplicate_count(dirty_orders(tables))
 
 
-@query("estimate_memory")
+@query(
+    "estimate_memory",
+    "WITH s AS (SELECT count(*) AS rows, sum(length(json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_nationkey', c_nationkey, "
+    "'c_mktsegment', c_mktsegment)::VARCHAR)) * 2 + count(*) * 32 AS bytes FROM customer) "
+    "SELECT rows, bytes::DOUBLE AS bytes, CASE WHEN bytes < 1048576 THEN round(bytes / 1024, 2) || ' KB' ELSE round(bytes / 1048576, 2) || ' MB' END AS display FROM s",
+)
 def _(tables):
-    return P.estimate_memory(tables.orders, ["o_orderkey"])
+    size = P.estimate_memory(tables.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    return size.withColumn("bytes", F.round("bytes", 3))
 
 
 @query(

@@ -45,6 +45,48 @@ def _(tables):
     return S.describe_numeric(tables.lineitem, MEASURES)
 
 
+@query(
+    "describe_numeric_large_keys",
+    "SELECT 'snowflake' AS \"column\", count(*) AS count, min(v) AS min, list_sort(list(v))[floor((count(*) - 1) * 0.25)::INT + 1] AS q1, "
+    "list_sort(list(v))[floor((count(*) - 1) * 0.75)::INT + 1] AS q3, max(v) AS max FROM "
+    "(SELECT (o_orderkey * 10000000000000)::DOUBLE AS v FROM orders)",
+)
+def _(tables):
+    keys = tables.orders.select((F.col("o_orderkey").cast("long") * 10000000000000).alias("snowflake"))
+    return S.describe_numeric(keys).select("column", "count", "min", "q1", "q3", "max")
+
+
+WIDE_COPIES = 45
+_WIDE_NAMES = [f"w{i}" for i in range(WIDE_COPIES)]
+
+
+def many_columns(tables):
+    """45 numeric columns of lineitem; the last is a multiple of the one before."""
+    price, place = F.col("l_extendedprice"), F.col("l_quantity")
+    columns = [(price * (i + 1) + place * place * (100 - 7 * i)).alias(f"w{i}") for i in range(WIDE_COPIES - 1)]
+    last = (price * (WIDE_COPIES - 1) + place * place * (100 - 7 * (WIDE_COPIES - 2))) * 2
+    return tables.lineitem.select(*columns, last.alias(f"w{WIDE_COPIES - 1}"))
+
+
+_WIDE_SQL = "(SELECT " + ", ".join(
+    f"l_extendedprice * {i + 1} + l_quantity * l_quantity * {100 - 7 * i} AS w{i}" for i in range(WIDE_COPIES - 1)
+) + f", (l_extendedprice * {WIDE_COPIES - 1} + l_quantity * l_quantity * {100 - 7 * (WIDE_COPIES - 2)}) * 2 AS w{WIDE_COPIES - 1} FROM lineitem)"
+
+
+@query("skewness_flags_wide", "SELECT \"column\", n, round(skew, 6) AS skew, abs(skew) > 1 AS flagged FROM (" + union_all(
+    f"SELECT '{n}' AS \"column\", count({n}) AS n, skewness({n}) AS skew FROM {_WIDE_SQL}" for n in _WIDE_NAMES
+) + ")")
+def _(tables):
+    return S.skewness_flags(many_columns(tables)).select("column", "n", F.round("skew", 6).alias("skew"), "flagged")
+
+
+@query("collinear_pairs_wide", "WITH t AS " + _WIDE_SQL + ", c AS (" + union_all(
+    f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM t" for a, b in combinations(_WIDE_NAMES, 2)
+) + ") SELECT x, y, round(r, 6) AS r FROM c WHERE abs(r) > 0.95")
+def _(tables):
+    return S.collinear_pairs(many_columns(tables)).withColumn("r", F.round("r", 6))
+
+
 @query("describe_categorical", union_all(
     f"SELECT '{n}' AS \"column\", count({n}) AS count, count(DISTINCT {n}) AS \"unique\" FROM {DIRTY_SQL}"
     for n in ("o_orderstatus", "o_orderpriority")
@@ -123,10 +165,10 @@ def _robust_sql(name: str, source: str) -> str:
     "outliers_robust",
     f"WITH o AS ({union_all([_robust_sql('value', 'events'), _robust_sql('user_id', 'events')])}), r AS (SELECT *, "
     f"floor(outliers * 1000.0 / \"sampleSize\" + 0.5) / 10 AS \"outlierRate\" FROM o) SELECT *, CASE WHEN \"outlierRate\" >= 5 THEN 'high' "
-    f"WHEN \"outlierRate\" >= 2 THEN 'moderate' WHEN \"outlierRate\" > 0 THEN 'low' ELSE 'none' END AS severity FROM r",
+    f"WHEN \"outlierRate\" >= 2 THEN 'moderate' WHEN \"outlierRate\" > 0 THEN 'low' ELSE 'none' END AS severity, 'screened' AS status FROM r",
 )
 def _(tables):
-    return S.outliers_robust(tables.events, ["value", "user_id"]).drop("note")
+    return S.outliers_robust(tables.events, ["value", "user_id"])
 
 
 @query("outliers_robust_discrete", _robust_sql("l_linenumber", "(SELECT l_linenumber FROM lineitem)") + " UNION ALL " + _robust_sql("few", "(SELECT CASE WHEN l_quantity > 40 THEN 4 WHEN l_quantity > 20 THEN 2 ELSE 1 END AS few FROM lineitem)"))
@@ -167,17 +209,18 @@ FINDINGS_SQL = "(SELECT event_id, user_id, value, value * 2.0 + user_id * 0.001
 @query(
     "insights",
     "WITH m AS (" + union_all(
-        [f"SELECT 1 AS part, {i} AS a, 0 AS b, format('''{n}'' is highly skewed (Skew: {{:.2f}}). Consider Log/Box-Cox transformation.', skewness({n})) AS message "
+        [f"SELECT 1 AS part, {i} AS a, 0 AS b, 'skewed' AS kind, '{n}' AS \"column\", NULL AS other, skewness({n}) AS value "
          f"FROM {FINDINGS_SQL} HAVING abs(skewness({n})) > 1" for i, n in enumerate(FINDINGS)]
-        + [f"SELECT 2, {i}, {j}, '''{a}'' and ''{b}'' are highly correlated (>0.95). Consider dropping one to prevent multicollinearity.' "
+        + [f"SELECT 2, {i}, {j}, 'collinear', '{a}', '{b}', corr({a}, {b}) "
            f"FROM {FINDINGS_SQL} HAVING abs(corr({a}, {b})) > 0.95" for (i, a), (j, b) in combinations(enumerate(FINDINGS), 2)]
-        + [f"SELECT 3, {i}, 0, 'Extreme outliers detected in ''{n}''.' FROM ({_iqr_sql(n, FINDINGS_SQL)}) WHERE outliers >= greatest(3, floor(n * 0.01))"
+        + [f"SELECT 3, {i}, 0, 'outliers', '{n}', NULL, outliers FROM ({_iqr_sql(n, FINDINGS_SQL)}) WHERE outliers >= greatest(3, floor(n * 0.01))"
            for i, n in enumerate(FINDINGS)]
-    ) + ") SELECT row_number() OVER (ORDER BY part, a, b) AS position, message FROM m",
+    ) + ") SELECT row_number() OVER (ORDER BY part, a, b) AS position, kind, \"column\", other, round(value, 6) AS value FROM m",
 )
 def _(tables):
     double = F.col("value") * 2.0 + F.col("user_id") * 0.001
-    return S.insights(tables.events.select("event_id", "user_id", "value", double.alias("double_value")))
+    found = S.insights(tables.events.select("event_id", "user_id", "value", double.alias("double_value")))
+    return found.withColumn("value", F.round("value", 6))
 
 
 @query("ols_trend", "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, count(*) AS n FROM lineitem")
@@ -326,8 +369,7 @@ def _(tables):
 
 
 @query("high_cardinality", union_all(
-    f"SELECT '{n}' AS \"column\", count(DISTINCT {n}) AS unique_count, 'High Cardinality: Column ''{n}'' has ' || count(DISTINCT {n}) || "
-    f"' unique values. Consider encoding strategies before ML.' AS message FROM part HAVING count(DISTINCT {n}) > 20" for n in ("p_name", "p_brand", "p_type")
+    f"SELECT '{n}' AS \"column\", count(DISTINCT {n}) AS unique_count FROM part HAVING count(DISTINCT {n}) > 20" for n in ("p_name", "p_brand", "p_type")
 ))
 def _(tables):
     return D.high_cardinality(tables.part).drop("position")
