@@ -19,7 +19,7 @@ def test_matches_sql(spark, connection, name):
     assert check(spark, connection, FOLDER, name) is None
 
 
-QUICK = ["estimate_memory", "regression_forecast", "sample_predictions", "estimator_decision_tree_regression"]
+QUICK = ["permutation_importance", "regression_forecast_panel", "ml_forecast_ridge_regression"]
 
 
 @pytest.mark.parametrize("name", QUICK)

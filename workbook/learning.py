@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablelens.ml import forecasting as Mf, preparation as Pr, training as Tr
-from tablelens.operators import metrics as Me, sampling as Sa, scoring as Sc
+from tablelens.operators import metrics as Me, sampling as Sa, scoring as Sc, series as Se
 from tablelens.operators.neighbours import knn_predict
 from workbook import query, scratch
 from workbook.fixtures import DIRTY_SQL, dirty_orders, union_all
@@ -134,25 +134,100 @@ _register_linear("lasso_regression", "sign(sxy) * greatest(abs(sxy) / n - 0.001,
 _register_linear("elasticnet", "sign(sxy) * greatest(abs(sxy) / n - 0.0005, 0) / 1.0005")
 
 
-def _register_training(name: str, make, features, target, problem_type, model_type, key, options) -> None:
-    @query(name)
+FLAG_SQL = "(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 2.0 ELSE 3.0 END)"
+
+
+def _register_tree_regression(model_type: str, wanted: str, compared: str) -> None:
+    """With three feature values a tree that splits them all predicts the means of the three groups."""
+
+    @query(f"estimator_{model_type}_regression", f"SELECT {FLAG_SQL}::DOUBLE AS flag, {wanted} FROM lineitem GROUP BY 1")
     def _(tables):
-        return Tr.train(make(tables), features, target, problem_type, model_type, key, **options).metrics
+        rows = tables.lineitem.select(F.expr(FLAG_SQL).cast("double").alias("flag"), "l_extendedprice")
+        model = Tr.fit_model(rows, ["flag"], "l_extendedprice", "regression", model_type)
+        means = rows.groupBy("flag").agg(F.avg("l_extendedprice").alias("mean"))
+        return model.transform(means).selectExpr("flag", compared)
 
 
-_PLAIN = {"cv_folds": 0, "importance_repeats": 0}
-for _model in ("random_forest", "gradient_boosting", "decision_tree"):
-    _register_training(f"estimator_{_model}_regression", reg_table, REG_FEATURES, "l_extendedprice", "regression", _model, LINE_KEY, _PLAIN)
-for _model in ("logistic_regression", "random_forest", "decision_tree", "svm"):
-    _register_training(f"estimator_{_model}_classification", cls_table, CLS_FEATURES, "o_orderstatus", "classification", _model, ["o_orderkey"], _PLAIN)
+_EXACT = "round(prediction, 3) AS prediction"
+_register_tree_regression("decision_tree", "round(avg(l_extendedprice), 3) AS prediction", _EXACT)
+_register_tree_regression("gradient_boosting", "round(avg(l_extendedprice), 3) AS prediction", _EXACT)
+# trees of a forest see resampled rows
+_register_tree_regression("random_forest", "true AS near", "abs(prediction / mean - 1) < 0.01 AS near")
+
+PRIORITY_SQL = "substr(o_orderpriority, 1, 1)::DOUBLE"
+# each priority is its own class in about four of five orders
+NOISY_SQL = "CASE WHEN o_orderkey % 5 < 4 THEN o_orderpriority ELSE '1-URGENT' END"
+TWO_SQL = "CASE WHEN o_orderkey % 5 < 4 AND o_orderpriority < '3' THEN 'high' ELSE 'low' END"
+
+
+def _register_classes(model_type: str, target: str) -> None:
+    """With one value per group a classifier predicts the group's most frequent class."""
+
+    @query(
+        f"estimator_{model_type}_classification",
+        f"SELECT priority, class AS prediction FROM (SELECT {PRIORITY_SQL} AS priority, {target} AS class, count(*) AS n FROM orders GROUP BY 1, 2) "
+        "QUALIFY row_number() OVER (PARTITION BY priority ORDER BY n DESC) = 1",
+    )
+    def _(tables):
+        rows = tables.orders.selectExpr("cast(substr(o_orderpriority, 1, 1) AS double) AS priority", f"{target} AS class")
+        rows, labels = Pr.encode_labels(rows, "class")
+        model = Tr.fit_model(rows, ["priority"], "class", "classification", model_type, labels=labels)
+        scored = Tr.predict_batch(model, rows.select("priority").distinct())
+        return scored.select("priority", F.col("prediction_label").alias("prediction"))
+
+
+_register_classes("decision_tree", NOISY_SQL)
+_register_classes("random_forest", NOISY_SQL)
+_register_classes("gradient_boosting", TWO_SQL)
+
+
+@query("estimator_svm_classification", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'other' END AS prediction FROM orders")
+def _(tables):
+    """Two classes with a wide gap between them."""
+    gap = F.when(F.col("o_orderstatus") == "O", 10.0).otherwise(-10.0) + F.col("o_orderkey") % 7
+    rows = tables.orders.select("o_orderkey", gap.alias("gap"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("other").alias("class"))
+    rows, labels = Pr.encode_labels(rows, "class")
+    model = Tr.fit_model(rows, ["gap"], "class", "classification", "svm", labels=labels)
+    return Tr.predict_batch(model, rows).select("o_orderkey", F.col("prediction_label").alias("prediction"))
+
+
+@query("estimator_logistic_regression_classification", "SELECT o_orderstatus, round(count(*) / (SELECT count(*) FROM orders), 2) AS share FROM orders GROUP BY 1")
+def _(tables):
+    """With free intercepts the mean probability of a class is its share."""
+    rows, labels = Pr.encode_labels(tables.orders, "o_orderstatus")
+    model = Tr.fit_model(rows, ["o_totalprice"], "o_orderstatus", "classification", "logistic_regression", labels=labels)
+    shares = Tr.predict_batch(model, rows).select(F.explode("probabilities").alias("o_orderstatus", "p"))
+    return shares.groupBy("o_orderstatus").agg(F.round(F.avg("p"), 2).alias("share"))
+
+
+def _ridge_scores(parts: str, penalty: str = "sxy / (n + 1)") -> str:
+    """R2 of the one-feature line of o_totalprice on o_custkey, fitted on the rows of each part that are not held out.
+
+    ``parts`` is a table (part, o_custkey, o_totalprice, held_out).
+    """
+    return (
+        f"d AS ({parts}), m AS (SELECT part, avg(o_custkey) AS xbar, stddev_pop(o_custkey) AS xsd, avg(o_totalprice) AS ybar FROM d WHERE NOT held_out GROUP BY 1), "
+        "z AS (SELECT d.part, held_out, (o_custkey - xbar) / xsd AS x, o_totalprice AS y, ybar FROM d JOIN m ON d.part = m.part), "
+        "s AS (SELECT part, sum(x * (y - ybar)) AS sxy, count(*) AS n FROM z WHERE NOT held_out GROUP BY 1), "
+        f"k AS (SELECT part, {penalty} AS w FROM s), "
+        "r2 AS (SELECT z.part, held_out, count(*) AS n, 1 - sum(power(y - ybar - w * x, 2)) / (var_pop(y) * count(*)) AS r2 FROM z JOIN k ON z.part = k.part GROUP BY 1, 2)"
+    )
 
 
-def open_orders(tables):
-    return cls_table(tables).withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "O", "open").otherwise("other"))
+_TESTED = f"SELECT 0 AS part, o_custkey::DOUBLE AS o_custkey, o_totalprice, row_number() OVER (ORDER BY {_order('o_orderkey', 42)}, o_orderkey) - 1 < ceil(0.2 * count(*) OVER ()) AS held_out FROM orders"
+_PLAIN = {"cv_folds": 0, "importance_repeats": 0}
 
 
-_register_training("estimator_gradient_boosting_classification", open_orders, CLS_FEATURES, "o_orderstatus", "classification", "gradient_boosting", ["o_orderkey"], _PLAIN)
-_register_training("train_regression", reg_table, REG_FEATURES, "l_extendedprice", "regression", "ridge_regression", LINE_KEY, {"cv_folds": 3, "importance_repeats": 1})
+@query(
+    "train_regression",
+    f"WITH {_ridge_scores(_TESTED)} SELECT 'ridge_regression' AS model_type, max(CASE WHEN NOT held_out THEN n END) AS train_rows, max(CASE WHEN held_out THEN n END) AS test_rows, "
+    "round(max(CASE WHEN NOT held_out THEN r2 END), 4) AS train_score, round(max(CASE WHEN held_out THEN r2 END), 4) AS test_score FROM r2",
+)
+def _(tables):
+    options = {"cv_folds": 3, "importance_repeats": 1}
+    metrics = Tr.train(tables.orders, ["o_custkey"], "o_totalprice", "regression", "ridge_regression", ["o_orderkey"], **options).metrics
+    scores = [F.round(c, 4).alias(c) for c in ("train_score", "test_score")]
+    return metrics.select("model_type", "train_rows", "test_rows", *scores)
 
 
 _TEST_VECTORS = f"(SELECT vec_id, embedding::DOUBLE[] AS v, label, row_number() OVER (ORDER BY {_order('vec_id', 42)}, vec_id) - 1 < ceil(0.2 * count(*) OVER ()) AS is_test FROM embeddings)"
@@ -179,9 +254,17 @@ def _(tables):
     return near.withColumn("prediction", F.round("prediction", 6))
 
 
-@query("knn_prepared_features")
+@query(
+    "knn_prepared_features",
+    f"WITH c AS (SELECT *, row_number() OVER (ORDER BY {_order('c_custkey', 42)}, c_custkey) - 1 < ceil(0.2 * count(*) OVER ()) AS is_test FROM customer), "
+    "m AS (SELECT avg(c_acctbal) AS am, stddev_pop(c_acctbal) AS asd, avg(c_nationkey) AS nm, stddev_pop(c_nationkey) AS nsd FROM c WHERE NOT is_test), "
+    "e AS (SELECT c_custkey AS id, c_mktsegment AS label, is_test, [(c_acctbal - am) / asd, (c_nationkey - nm) / nsd] AS v FROM c, m), "
+    "n AS (SELECT q.id AS query, t.label, list_distance(q.v, t.v) AS d, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, t.v), t.id) AS r "
+    "FROM e q, e t WHERE q.is_test AND NOT t.is_test), w AS (SELECT query, label, sum(1 / d) AS votes FROM n WHERE r <= 7 GROUP BY ALL) "
+    "SELECT query, label AS prediction FROM w QUALIFY row_number() OVER (PARTITION BY query ORDER BY votes DESC, label) = 1",
+)
 def _(tables):
-    train, test = Sa.train_test_split(tables.customer, 0.2, ["c_custkey"], "c_mktsegment")
+    train, test = Sa.train_test_split(tables.customer, 0.2, ["c_custkey"])
     return Tr.knn_batch(train, test, ["c_acctbal", "c_nationkey"], "c_mktsegment", "classification", "c_custkey")
 
 
@@ -232,12 +315,17 @@ def _(tables):
     return Me.overfit_verdict(scores, "regression")
 
 
-@query("cross_validate")
+_FOLDED = (
+    f"SELECT f.fold AS part, o_custkey::DOUBLE AS o_custkey, o_totalprice, rank % 3 = f.fold AS held_out FROM "
+    f"(SELECT *, row_number() OVER (ORDER BY {_order('o_orderkey', 42)}, o_orderkey) - 1 AS rank FROM orders), range(3) f(fold)"
+)
+
+
+@query("cross_validate", f"WITH {_ridge_scores(_FOLDED)} SELECT part::INT AS fold, round(r2, 4) AS r2 FROM r2 WHERE held_out")
 def _(tables):
-    rows = Pr.prepare_training(cls_table(tables), CLS_FEATURES, "o_orderstatus", "classification")
-    rows, labels = Pr.encode_labels(rows, "o_orderstatus")
-    scores = Tr.cross_validate(rows, CLS_FEATURES, "o_orderstatus", "classification", "logistic_regression", ["o_orderkey"], 3, labels=labels)
-    return tables.spark.range(1).select(F.posexplode(F.array(*[F.lit(s) for s in scores])).alias("fold", "accuracy"))
+    rows = Pr.prepare_training(tables.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "regression")
+    scores = Tr.cross_validate(rows, ["o_custkey"], "o_totalprice", "regression", "ridge_regression", ["o_orderkey"], 3)
+    return tables.orders.limit(1).select(F.posexplode(F.array(*[F.lit(round(s, 4)) for s in scores])).alias("fold", "r2"))
 
 
 @query("permutation_importance")
@@ -247,19 +335,32 @@ def _(tables):
     return Tr.permutation_importance(model, rows, LINE_KEY, repeats=2)
 
 
-@query("compare_models")
+_LASSO = "sign(sxy) * greatest(abs(sxy) / n - 0.001, 0)"
+
+
+@query(
+    "compare_models",
+    f"SELECT 0 AS position, 'ridge_regression' AS model_type, round(r2, 4) AS test_score FROM (WITH {_ridge_scores(_TESTED)} SELECT * FROM r2 WHERE held_out) UNION ALL "
+    f"SELECT 1, 'lasso_regression', round(r2, 4) FROM (WITH {_ridge_scores(_TESTED, _LASSO)} SELECT * FROM r2 WHERE held_out)",
+)
 def _(tables):
     table, _ = Tr.compare_models(
-        reg_table(tables), REG_FEATURES, "l_extendedprice", "regression", ["ridge_regression", "lasso_regression", "decision_tree"], LINE_KEY, **_PLAIN
+        tables.orders, ["o_custkey"], "o_totalprice", "regression", ["ridge_regression", "lasso_regression"], ["o_orderkey"], **_PLAIN
     )
-    return table
+    return table.select("position", "model_type", F.round("test_score", 4).alias("test_score"))
 
 
-@query("sample_predictions")
+@query(
+    "sample_predictions",
+    "WITH m AS (SELECT avg(l_quantity) AS qbar, stddev_pop(l_quantity) AS qsd, avg(l_extendedprice) AS ybar, count(*) AS n FROM lineitem), "
+    "k AS (SELECT sum((l_quantity - qbar) / qsd * (l_extendedprice - ybar)) / (any_value(n) + 1) AS w FROM lineitem, m) "
+    "SELECT l_extendedprice AS actual, round(ybar + w * (l_quantity - qbar) / qsd, 4) AS predicted FROM lineitem, m, k "
+    "ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 10",
+)
 def _(tables):
     rows = tables.lineitem.select("l_quantity", *LINE_KEY)
     model = Tr.fit_model(rows, ["l_quantity"], "l_extendedprice", "regression", "ridge_regression")
-    return Tr.sample_predictions(model, rows, LINE_KEY)
+    return Tr.sample_predictions(model, rows, LINE_KEY).select("actual", F.round("predicted", 4).alias("predicted"))
 
 
 # ---------------------------------------------------------------- prediction
@@ -272,12 +373,19 @@ def _(tables):
     return Tr.predict_batch(model, rows.select("l_quantity").distinct(), as_integer=True).drop("prediction_label")
 
 
-@query("predict_batch_classes")
+@query(
+    "predict_batch_classes",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'other' END AS prediction_label, true AS agrees FROM orders",
+)
 def _(tables):
-    rows, labels = Pr.encode_labels(cls_table(tables), "o_orderstatus")
-    model = Tr.fit_model(rows, CLS_FEATURES, "o_orderstatus", "classification", "logistic_regression", labels=labels)
-    scored = Tr.predict_batch(model, rows)
-    return scored.select("o_orderkey", "prediction_label", "confidence", "top_class", F.to_json("probabilities").alias("probabilities"))
+    """Separable classes: the label, the top class and a confidence above one half go together."""
+    gap = F.when(F.col("o_orderstatus") == "O", 10.0).otherwise(-10.0) + F.col("o_orderkey") % 7
+    rows = tables.orders.select("o_orderkey", gap.alias("gap"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("other").alias("class"))
+    rows, labels = Pr.encode_labels(rows, "class")
+    scored = Tr.predict_batch(Tr.fit_model(rows, ["gap"], "class", "classification", "logistic_regression", labels=labels), rows)
+    shares = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda total, p: total + p)
+    agrees = (F.col("top_class") == F.col("prediction_label")) & (F.col("confidence") > 0.5) & (F.abs(shares - 1) < 1e-5)
+    return scored.select("o_orderkey", "prediction_label", agrees.alias("agrees"))
 
 
 @query("save_and_load_model", _one_feature_sql("sxy / (n + 1)"))
@@ -325,7 +433,22 @@ def _(tables):
 # ---------------------------------------------------------------- learned forecasts
 
 
-@query("regression_forecast")
+@query(
+    "regression_forecast",
+    "WITH m AS (SELECT max(datediff('month', DATE '1990-01-01', o_orderdate)) AS last FROM orders) "
+    "SELECT step::INT AS step, round(100.0 + 3 * (last + step), 1) AS predicted FROM m, range(1, 7) r(step)",
+)
+def _(tables):
+    """A monthly value that is linear in time; least squares must continue the line."""
+    month = F.floor(F.months_between(F.trunc("o_orderdate", "month"), F.lit("1990-01-01"))).cast("int")
+    months = tables.orders.groupBy(month.alias("month")).agg(F.min("o_orderdate").alias("at"))
+    line = months.select("at", (F.lit(100.0) + 3 * F.col("month")).alias("value"))
+    series = Se.prepare_series(line, "at", "value", freq="month")[0]
+    points = Mf.regression_forecast(series, 6)["points"].filter("part = 'future'")
+    return points.select("step", F.round("prediction", 1).alias("predicted"))
+
+
+@query("regression_forecast_panel")
 def _(tables):
     return Mf.regression_forecast(daily(tables), 6, keys=KEYS)["points"]
 
