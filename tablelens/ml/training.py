@@ -55,7 +55,8 @@ def fit_model(
     facts = target_facts(train, label, problem_type)
     if problem_type == "classification":
         facts.classes = max(len(labels), 2)
-    vectors = preparation.transform(train).select("features", label)
+    needed = train.select(*[ref(c) for c in dict.fromkeys([*features, label])])
+    vectors = preparation.transform(needed).select("features", label)
     fitted = estimator(problem_type, model_type, facts, seed, parameters, featuresCol="features", labelCol=label).fit(vectors)
     return TrainedModel(
         PipelineModel([*preparation.stages, fitted]), list(features), target, problem_type, model_type, list(labels),
@@ -175,17 +176,34 @@ def train(
     ``cv_folds=0`` and ``importance_repeats=0`` leave those steps out; ``parameters`` replace settings of
     the model, e.g. ``{"maxDepth": 10, "numTrees": 300}``.
     """
-    known = REGRESSION_MODELS if problem_type == "regression" else CLASSIFICATION_MODELS
-    if model_type not in known:
+    _check_model(problem_type, model_type)
+    marked, labels = _split_once(df, features, target, problem_type, key, test_size, seed)
+    return _train_on(
+        marked, labels, features, target, problem_type, model_type, key, cv_folds, seed, importance_repeats, parameters
+    )
+
+
+def _check_model(problem_type: str, model_type: str) -> None:
+    if model_type not in (REGRESSION_MODELS if problem_type == "regression" else CLASSIFICATION_MODELS):
         raise ValueError(f"model {model_type!r} is not available for {problem_type}")
+
+
+def _split_once(
+    df: DataFrame, features: Sequence[str], target: str, problem_type: str, key: Sequence[str], test_size: float, seed: int
+) -> tuple[DataFrame, list[str]]:
+    """Prepared rows with ``is_test``, checkpointed since every fit and score reads them, and the class labels."""
     kept = df.select(*[ref(c) for c in dict.fromkeys([*key, *features, target])])
     rows = prepare_training(kept, features, target, problem_type)
     labels: list[str] = []
     if problem_type == "classification":
         rows, labels = encode_labels(rows, target)
-    stratify = "label" if labels else None
-    # the split rows are read by every fit and score below
-    marked = reliable_checkpoint(mark_test_rows(rows, test_size, key, stratify, seed))
+    return reliable_checkpoint(mark_test_rows(rows, test_size, key, "label" if labels else None, seed)), labels
+
+
+def _train_on(
+    marked: DataFrame, labels: list[str], features: Sequence[str], target: str, problem_type: str, model_type: str,
+    key: Sequence[str], cv_folds: int, seed: int, importance_repeats: int, parameters: Mapping[str, Any] | None,
+) -> TrainResult:
     train_rows = marked.filter(~F.col("is_test"))
     test_rows = marked.filter("is_test")
     model = fit_model(train_rows, features, target, problem_type, model_type, seed, labels, parameters)
@@ -203,7 +221,7 @@ def train(
     )
     schema = "model_type string, train_rows long, test_rows long, train_score double, test_score double, cv_mean double, cv_std double"
     schema += "".join(f", test_{c} double" for c in details)
-    metrics = overfit_verdict(small_table(df.sparkSession, [record], schema), problem_type)
+    metrics = overfit_verdict(small_table(marked.sparkSession, [record], schema), problem_type)
     importances = None
     if importance_repeats:
         importances = permutation_importance(model, test_rows.drop("is_test"), key, importance_repeats, seed)
@@ -225,12 +243,25 @@ def sample_predictions(model: TrainedModel, rows: DataFrame, key: Sequence[str],
 
 def compare_models(
     df: DataFrame, features: Sequence[str], target: str, problem_type: str, models: Sequence[str], key: Sequence[str],
-    **options,
+    test_size: float = 0.2, cv_folds: int = 5, seed: int = 42, importance_repeats: int = 3,
+    parameters: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> tuple[DataFrame, TrainResult]:
-    """Metrics of each model, ``position`` in the given order and ``best`` marked, and the best result."""
+    """Metrics of each model, ``position`` in the given order and ``best`` marked, and the best result.
+
+    The rows are split and prepared once; ``parameters`` holds settings by model.
+    """
     if not models:
         raise ValueError("no models to compare")
-    results = [train(df, features, target, problem_type, m, key, **options) for m in models]
+    for model in models:
+        _check_model(problem_type, model)
+    marked, labels = _split_once(df, features, target, problem_type, key, test_size, seed)
+    results = [
+        _train_on(
+            marked, labels, features, target, problem_type, model, key, cv_folds, seed, importance_repeats,
+            (parameters or {}).get(model),
+        )
+        for model in models
+    ]
     scores = [result.metrics.select("test_score").first()[0] for result in results]
     best = scores.index(max(scores))
     table = None

@@ -166,3 +166,19 @@ def test_scenario_has_flat_features(people):
     rows = Sc.scenario_frame(people, ["age", "city"], 3, dt.date(2024, 1, 1)).orderBy("step").collect()
     assert [str(r.date) for r in rows] == ["2024-01-31", "2024-03-01", "2024-03-31"]
     assert len({(r.age, r.city) for r in rows}) == 1 and rows[0].city == "x"
+
+
+def test_user_columns_survive_and_infinite_cells_are_filled(spark):
+    rows = [(float(i), 2.0 * i + 1, f"n{i}", i) for i in range(20)] + [(float("inf"), 7.0, "odd", 99)]
+    table = spark.createDataFrame(rows, "x double, y double, __mine string, features int")
+    model = Tr.fit_model(table.filter("y < 40"), ["x"], "y", "regression", "ridge_regression")
+    scored = model.transform(table)
+    assert scored.columns == ["x", "y", "__mine", "features", "prediction"]
+    odd = scored.filter("features = 99").first()
+    assert odd["__mine"] == "odd" and np.isfinite(odd.prediction)
+
+
+def test_parameters_reach_the_model(spark):
+    table = spark.range(64).select(F.col("id").cast("double").alias("x"), (F.col("id") % 8).cast("double").alias("y"))
+    flat = Tr.fit_model(table, ["x"], "y", "regression", "decision_tree", parameters={"maxDepth": 1})
+    assert flat.transform(table).select("prediction").distinct().count() == 2

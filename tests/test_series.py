@@ -146,3 +146,16 @@ def test_ridge_forecast_equals_closed_form(spark):
     weights = np.linalg.solve((x - centre).T @ (x - centre) + np.eye(4), (x - centre).T @ (y - y.mean()))
     expected = (np.array([37, *values[:-4:-1]]) - centre) @ weights + y.mean()
     assert found == pytest.approx(expected, rel=1e-6)
+
+
+def test_null_keys_stay_and_short_ones_are_rejected(spark):
+    panel = monthly(spark, range(30)).unionByName(monthly(spark, [5 + i % 4 for i in range(30)], None)).unionByName(monthly(spark, range(6), "s"))
+    series, _ = Se.prepare_series(panel, "at", "v", ["k"], "month")
+    for result in (Mf.regression_forecast(series, 2, keys=["k"]), Mf.ml_forecast(series, 2, model_type="ridge_regression", keys=["k"])):
+        found = {(r.k, r.part): r.n for r in result["points"].groupBy("k", "part").agg(F.count("*").alias("n")).collect()}
+        assert found == {("a", "test"): 6, ("a", "future"): 2, (None, "test"): 6, (None, "future"): 2}
+        assert [(r.k, r.periods) for r in result["rejects"].collect()] == [("s", 6)]
+    chart = statistical_forecast(panel.filter("k IS NULL"), "at", "v", ["k"], freq="month")["chart"]
+    assert chart.filter("k IS NULL AND backtest IS NOT NULL").count() == 6
+    profile, fixed = Se.series_profile(series, ["k"]), Se.stationarity(series, ["k"])
+    assert Fc.recommend_stat_models(profile, fixed, ["k"]).filter("k IS NULL").count() == 3

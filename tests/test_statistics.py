@@ -176,3 +176,23 @@ def test_drop_duplicates_needs_an_order(frame):
     with pytest.raises(ValueError):
         drop_duplicates(table, ["k"])
     assert drop_duplicates(table, ["k"], ["v"]).collect() == [(1, 1)]
+
+
+def test_large_numbers_keep_their_digits(frame):
+    row = S.describe_numeric(frame([(10**17,), (10**18,), (-5 * 10**17,)], "v long")).first()
+    assert (row.min, row.median, row.max) == (-5e17, 1e17, 1e18)
+
+
+def test_dates_are_judged_on_all_rows(spark):
+    late = F.when(F.col("id") < 50, "2024-01-05").otherwise("text")
+    table = spark.range(500).select("id", late.alias("note"))
+    assert clean(table).table.filter("note = 'text'").count() == 450
+
+
+def test_csv_keeps_line_ends(frame, spark, tmp_path):
+    from tablelens.sources import readers, writers
+
+    table = frame([(1, 'a\nb "q", c'), (2, "c"), (3, None)], "i int, t string")
+    writers.export_csv(table, f"{tmp_path}/csv")
+    again = readers.read_csv(spark, f"{tmp_path}/csv", schema="i int, t string", multi_line=True)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, table.collect()))
