@@ -16,11 +16,12 @@ from tablelens.llm.common import in_pieces, mixed, pin_batches, utf8, word_hashe
 SAMPLE = 64  # expected tokens of a set that paths may choose from
 BRANCHES = 3.0  # expected common choices, per level, of a pair at the threshold
 SMALL = 256  # a bucket up to this size is compared pair by pair
-BLOCK = 1024  # larger ones that cannot be split are compared in blocks of about this size
+BLOCK = 512  # larger ones that cannot be split are compared in blocks of about this size
 DEPTH = 4
-COLUMNS = 4096  # shingles of a bucket that are multiplied at once
+COLUMNS = 2048  # shingles of a bucket that are multiplied at once
 _LINK = {"node": pa.binary(), "root": pa.binary(), "links": pa.int64()}
-_SET = {"node": pa.binary(), "copies": pa.int64(), "leaves": pa.list_(pa.int64()), "shingles": pa.binary()}
+_AT = pa.list_(pa.struct([("leaf", pa.int64()), ("members", pa.int64())]))
+_SET = {"node": pa.binary(), "copies": pa.int64(), "at": _AT, "shingles": pa.binary()}
 
 
 def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,7 @@ def _sets(width: int):
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))])
                 blobs = pa.array([value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
                 rest = [batch.column(k).slice(first, len(texts)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*rest, blobs], schema=pa.schema(_SET.items()))
+                yield pa.RecordBatch.from_arrays([*rest[:2], rest[2].cast(_AT), blobs], schema=pa.schema(_SET.items()))
 
     return sets
 
@@ -106,11 +107,9 @@ def _overlap(sets: list[np.ndarray]) -> np.ndarray:
 
 def _roots(linked: np.ndarray) -> np.ndarray:
     """The smallest member of each member's component."""
-    label = np.arange(len(linked))
-    a, b = np.nonzero(linked)
+    label = np.arange(len(linked), dtype=np.int32)
     while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
+        new = np.minimum(label, np.where(linked, label[None, :], np.int32(len(linked))).min(1))
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label
@@ -141,29 +140,61 @@ def compare(rows: dict[bytes, tuple], leaf: int, within: bool, threshold: float)
     return [(nodes[k], nodes[root[k]], int(links[k])) for k in np.flatnonzero(linked.any(1))]
 
 
+def _buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) for each run of rows with equal first ``keys`` columns."""
+    now, rows = None, []
+    for batch in batches:
+        for cells in zip(*(column.to_pylist() for column in batch.columns)):
+            if cells[:keys] != now:
+                if rows:
+                    yield now, rows
+                now, rows = cells[:keys], []
+            rows.append(cells[keys:])
+    if rows:
+        yield now, rows
+
+
 def _brute_force(threshold: float):
     def brute_force(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, {}
+        for (leaf, a, b), rows in _buckets(batches, 3):
+            members = {
+                node: (block, copies, np.array(leaves, np.int64), np.frombuffer(blob, np.int64))
+                for block, node, copies, leaves, blob in rows
+            }
+            if found := compare(members, leaf, a == b, threshold):
+                yield pa.RecordBatch.from_pydict(dict(zip(_LINK, map(list, zip(*found)))), schema=pa.schema(_LINK.items()))
 
-        def flush() -> pa.RecordBatch:
-            found = compare(rows, now[0], now[1] == now[2], threshold) if now else []
-            columns = list(zip(*found)) or [(), (), ()]
-            return pa.RecordBatch.from_pydict(dict(zip(_LINK, map(list, columns))), schema=pa.schema(_LINK.items()))
+    return brute_force
 
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            for at, key in enumerate(keys):
-                if key != now:
-                    yield flush()
-                    now, rows = key, {}
-                rows[batch.column(4)[at].as_py()] = (
-                    batch.column(3)[at].as_py(), batch.column(5)[at].as_py(),
-                    np.array(batch.column(6)[at].as_py(), np.int64),
-                    np.frombuffer(batch.column(7)[at].as_py(), np.int64),
-                )
-        yield flush()
 
-    return brute_force
+_PLACE = {"leaf": pa.int64(), "node": pa.binary(), "members": pa.int64()}
+
+
+def _sketch_filter(threshold: float):
+    """Members of small buckets whose samples resemble another member's.
+
+    Two sets at the threshold have about 64 tokens in the union of their samples, so their estimate
+    stays above the threshold less 0.3 but for one pair in some millions.
+    """
+
+    def sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (leaf,), rows in _buckets(batches, 1):
+            node, members, size, sample = zip(*rows)
+            count, size = np.array([len(one) for one in sample], float), np.array(size, float)
+            common = _overlap([np.array(one, np.int64) for one in sample])
+            ratio = np.minimum(size[:, None] / size[None, :], 1.0)  # of the row's sample that the column's rule also keeps
+            union = count[:, None] * ratio + count[None, :] * ratio.T - common
+            near = (common >= (threshold - 0.3) * union) & (np.minimum(ratio, ratio.T) >= threshold - 1e-9)
+            np.fill_diagonal(near, False)
+            out += [(leaf, node[k], members[k]) for k in np.flatnonzero(near.any(1))]
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_pydict(dict(zip(_PLACE, map(list, zip(*out)))), schema=pa.schema(_PLACE.items()))
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pydict(dict(zip(_PLACE, map(list, zip(*out)))), schema=pa.schema(_PLACE.items()))
+
+    return sketch_filter
 
 
 def runs_needed(recall: float, branches: float = BRANCHES, depth: int = DEPTH) -> int:
@@ -223,7 +254,15 @@ def _leaves(classes: DataFrame, threshold: float, recall: float, sample: int) ->
             break
         large = written(here.join(more, "path"), "large")
         members = large.select("node", "path").join(sets, "node")
-    return written(found.distinct(), "leaves")
+    found = written(found.distinct(), "found")
+    small = found.where(F.col("members") <= SMALL).join(sets, "node").select("leaf", "node", "members", "size", "sample")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = small.repartition(parts, "leaf").sortWithinPartitions("leaf")
+    near = dealt.select("leaf", "node", "members", "size", "sample").mapInArrow(
+        _sketch_filter(threshold), from_arrow_schema(pa.schema(_PLACE.items()))
+    )
+    large = found.where(F.col("members") > SMALL).select("leaf", "node", "members")
+    return written(near.unionByName(large), "leaves")
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -261,9 +300,9 @@ def similarity_classes(
     splits the nodes by the shared tokens that its paths choose: a hash of path and token keeps a token of
     set x with chance 3 / (threshold |x|), so a pair at the threshold expects three common choices per level.
     Paths choose from about ``sample`` tokens of each set, the same for all sets that hold them.
-    Buckets up to 256 nodes are compared pair by pair on whole shingle sets; larger ones are split
+    Buckets up to 256 nodes are compared pair by pair, first on the samples, then exactly on whole shingle sets; larger ones are split
     again, unless their members mostly stay together; then they are compared in blocks of
-    about 1,024. Runs are repeated until a pair at the threshold is found with probability ``recall``
+    about 512. Runs are repeated until a pair at the threshold is found with probability ``recall``
     (5 runs); likelier pairs are missed less. A pair in several buckets counts in the lowest one.
 
     Returns, per row: ``doc_id``, ``class_id`` (smallest id linked to it directly or over others, its own
@@ -285,13 +324,16 @@ def similarity_classes(
     classes = written(classes, "classes")
     worded = classes.where("size > 0")
     leaves = _leaves(worded, threshold, recall, sample)
-    of_node = leaves.groupBy("node").agg(F.collect_list("leaf").alias("leaves"))
+    of_node = leaves.groupBy("node").agg(F.collect_list(F.struct("leaf", "members")).alias("at"))
     wanted = of_node.join(worded.select("node", "copy_of", "copies"), "node")
     texts = docs.join(wanted, (docs["node"] == wanted["node"]) & docs["doc_id"].eqNullSafe(wanted["copy_of"])).select(
-        docs["node"], "copies", "leaves", "text"
+        docs["node"], "copies", "at", "text"
     )
     sets = texts.mapInArrow(_sets(width), from_arrow_schema(pa.schema(_SET.items())))
-    sets = sets.withColumn("leaf", F.explode("leaves")).join(leaves.select("leaf", "members").distinct(), "leaf")
+    sets = sets.withColumn("place", F.explode("at")).select(
+        "node", "copies", "shingles", F.col("place.leaf").alias("leaf"), F.col("place.members").alias("members"),
+        F.col("at.leaf").alias("leaves"),
+    )
     blocks = F.when(F.col("members") > SMALL, F.ceil(F.col("members") / BLOCK)).otherwise(1)
     sets = sets.withColumn("block", F.pmod(F.xxhash64("node", "leaf"), blocks).cast("int"))
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
