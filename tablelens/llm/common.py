@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = "2000"
 BATCH_BYTES = "8m"  # of text per Arrow batch, so that one Python worker holds a few dozen MB
-PIECE_BYTES = 2_000_000  # of text that the number work below handles at once
+PIECE_BYTES = 1_000_000  # of text that the number work below handles at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pin_batches(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches of texts small by rows and by bytes."""
+    """Keep Arrow batches of texts small by rows and by bytes, and let workers on this machine import the library."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -146,10 +146,10 @@ def train(docs: DataFrame, labels: DataFrame) -> SeverityModel:
     sparse, schema = _sparse_rows(keys)
     got = rows.mapInArrow(sparse, schema).toArrow().combine_chunks()
     label = got["label"].to_numpy()
-    cells, times = got["terms"].to_pylist(), got["times"].to_pylist()
-    rows_at = np.repeat(np.arange(len(label)), [len(one) for one in cells]).astype(np.int64)
-    columns = np.array([c for one in cells for c in one], np.int64)
-    values = np.array([t for one in times for t in one], float)
+    cells, times = got["terms"].combine_chunks(), got["times"].combine_chunks()
+    rows_at = np.repeat(np.arange(len(label)), np.diff(cells.offsets.to_numpy()))
+    columns = cells.flatten().to_numpy().astype(np.int64)
+    values = times.flatten().to_numpy().astype(float)
     amount = np.bincount(rows_at, np.log1p(values) * markers[columns], len(label))
     middle = np.median(amount[label == 1]) if (label == 1).any() else 0.0
     grades = np.where(label == 1, np.where(amount > middle, 2, 1), 0)
