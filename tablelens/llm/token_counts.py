@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tablelens.llm.common import in_pieces, mixed, pin_batches, utf8, written
 
 MODEL = "piece_bpe_32k.model"
-FREQUENT = 1 << 20  # pre-tokens whose counts are sent to every task
-FREQUENT_BYTES = 32  # longest of them: together with the hash and count at most 48 MB
+FREQUENT = 1 << 19  # pre-tokens whose counts are sent to every task
+FREQUENT_BYTES = 32  # longest of them: together with the hash and count at most 24 MB
 SPACE = "▁"  # what the tokenizer writes for a blank
 _RUN = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+$")
 
@@ -172,7 +172,7 @@ def count_tokens(
     Pieces of the model never reach over a blank that follows something else, so a text's
     count is the sum over its pre-tokens. All distinct pre-tokens are counted once, after a
     shuffle with map-side sums, and written to the shared folder. The ``frequent`` ones, a table of at
-    most 48 MB by its two bounds, go to every task; the rest are joined to the rows
+    most 24 MB by its two bounds, go to every task; the rest are joined to the rows
     (document, pre-token, frequency) and summed per document. Token ids of documents never exist.
 
     Returns ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``
