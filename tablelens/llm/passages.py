@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tablelens.llm.common import in_pieces, pin_batches, utf8, word_hashes, words, written
+from tablelens.llm.common import in_pieces, mixed, pin_batches, utf8, word_hashes, words, written
 from tablelens.llm.features import held_out, labelled_sample
 
 WORDS = 64  # words of a passage
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     bags = written(rows.mapInArrow(_bags, from_arrow_schema(_BAG)), "bags")
     sizes = bags.select("doc_id", "passages").toArrow()
     ids, n = sizes["doc_id"].to_numpy(), sizes["passages"].to_numpy()
-    order = np.lexsort((ids, n * 0, _luck(ids)))
+    order = np.lexsort((ids, mixed(ids.astype(np.int64).view(np.uint64))))
     fitting = np.cumsum(n[order]) <= SAMPLE_PASSAGES
     most = np.unique(ids[order[fitting]]).tolist()
     wanted = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(most, pa.int64())}))
@@ -203,12 +203,6 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     return fit(x, bag, got["label"].to_numpy().astype(float), share)
 
 
-def _luck(ids: np.ndarray) -> np.ndarray:
-    from tablelens.llm.common import mixed
-
-    return mixed(ids.astype(np.int64).view(np.uint64))
-
-
 def score_quality(df: DataFrame, model: AttentionModel, text_column: str = "text", name: str = "score") -> DataFrame:
     """Add P(label 1) from the whole text, cut into passages of 64 words.
 
