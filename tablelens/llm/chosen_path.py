@@ -171,7 +171,7 @@ _PLACE = {"leaf": pa.int64(), "node": pa.binary(), "members": pa.int64()}
 
 
 def _sketch_filter(threshold: float):
-    """Members of small buckets whose samples resemble another member's.
+    """Members of small buckets whose samples resemble another member's, unless the two meet in a lower bucket.
 
     Two sets at the threshold have about 64 tokens in the union of their samples, so their estimate
     stays above the threshold less 0.3 but for one pair in some millions.
@@ -180,13 +180,15 @@ def _sketch_filter(threshold: float):
     def sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for (leaf,), rows in _buckets(batches, 1):
-            node, members, size, sample = zip(*rows)
+            node, members, size, sample, leaves = zip(*rows)
             count, size = np.array([len(one) for one in sample], float), np.array(size, float)
             common = _overlap([np.array(one, np.int64) for one in sample])
             ratio = np.minimum(size[:, None] / size[None, :], 1.0)  # of the row's sample that the column's rule also keeps
             union = count[:, None] * ratio + count[None, :] * ratio.T - common
             near = (common >= (threshold - 0.3) * union) & (np.minimum(ratio, ratio.T) >= threshold - 1e-9)
             np.fill_diagonal(near, False)
+            if near.any():
+                near &= _overlap([np.array([one for one in own if one < leaf], np.int64) for own in leaves]) == 0
             out += [(leaf, node[k], members[k]) for k in np.flatnonzero(near.any(1))]
             if len(out) > 5000:
                 yield pa.RecordBatch.from_pydict(dict(zip(_PLACE, map(list, zip(*out)))), schema=pa.schema(_PLACE.items()))
@@ -255,10 +257,12 @@ def _leaves(classes: DataFrame, threshold: float, recall: float, sample: int) ->
         large = written(here.join(more, "path"), "large")
         members = large.select("node", "path").join(sets, "node")
     found = written(found.distinct(), "found")
-    small = found.where(F.col("members") <= SMALL).join(sets, "node").select("leaf", "node", "members", "size", "sample")
+    lists = found.groupBy("node").agg(F.collect_list("leaf").alias("leaves"))
+    small = found.where(F.col("members") <= SMALL).join(sets.join(lists, "node"), "node")
+    small = small.select("leaf", "node", "members", "size", "sample", "leaves")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = small.repartition(parts, "leaf").sortWithinPartitions("leaf")
-    near = dealt.select("leaf", "node", "members", "size", "sample").mapInArrow(
+    near = dealt.mapInArrow(
         _sketch_filter(threshold), from_arrow_schema(pa.schema(_PLACE.items()))
     )
     large = found.where(F.col("members") > SMALL).select("leaf", "node", "members")
