@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tablelens.llm.common import written
+from tablelens.llm.common import pin_batches, written
 
 SHARD = 8192  # vectors of a shard
 LEAF = 64  # vectors of a tree's leaf
@@ -191,7 +191,7 @@ def top_products(points: DataFrame, queries: DataFrame, k: int = 5, shard_rows:
     the query's own; repeated queries count once, repeated other rows each; fewer than k candidates give all. Scores must fit a
     long. Other columns are not carried.
     """
-    spark = points.sparkSession
+    spark = pin_batches(points.sparkSession)
     facts = points.agg(F.count("*").alias("n"), F.max(F.size("point")).alias("width")).first()
     n, width = facts["n"], facts["width"] or 1
     pad = lambda c: F.concat(c, F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size(c)))
