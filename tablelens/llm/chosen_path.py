@@ -226,7 +226,8 @@ def _leaves(classes: DataFrame, threshold: float, recall: float, sample: int) ->
     runs = runs_needed(recall)
     sets = classes.select("node", "size", "sample")
     members = sets.withColumn("path", F.explode(F.array(*[F.lit(7919 * k).cast("long") for k in range(runs)])))
-    found = None
+    found = done = None
+    same = ["members", "mark1", "mark2"]  # equal for buckets with the same members
     for level in range(1, DEPTH + 1):
         moved = written(_split(members, threshold, sample), "paths")
         mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
@@ -234,24 +235,34 @@ def _leaves(classes: DataFrame, threshold: float, recall: float, sample: int) ->
         if level > 1:
             # a bucket whose members mostly meet again is compared as it is
             squares = sizes.groupBy("parent").agg(F.sum(F.col("members") * F.col("members")).alias("squares"))
-            before = large.select("node", F.col("path").alias("parent"), F.col("members").alias("whole"))
+            before = large.select("node", F.col("path").alias("parent"), *same)
             dense = (
-                before.select("parent", "whole").distinct().join(squares, "parent")
-                .where(F.col("squares") >= 0.5 * BRANCHES * F.col("whole") * F.col("whole")).select("parent")
+                before.select("parent", *same).distinct().join(squares, "parent")
+                .where(F.col("squares") >= 0.5 * BRANCHES * F.col("members") * F.col("members")).select("parent", *same)
             )
             dense = written(dense, "dense")
-            stay = before.join(dense, "parent").select(F.col("parent").alias("leaf"), "node", F.col("whole").alias("members"))
-            found = found.unionByName(stay)
-            sizes = sizes.join(dense, "parent", "left_anti")
-        # buckets with the same members are compared once
-        once = sizes.groupBy("members", "mark1", "mark2").agg(F.min("path").alias("path"))
-        once = written(once.select("path", "members"), "buckets")
+            one = dense.groupBy(*same).agg(F.min("parent").alias("parent"))
+            done = done.unionByName(one.select(*same))
+            found = found.unionByName(
+                before.join(one.select("parent"), "parent").select(F.col("parent").alias("leaf"), "node", "members")
+            )
+            sizes = sizes.join(dense.select("parent"), "parent", "left_anti")
+        # buckets with the same members are compared once, but split each on its own: runs stay independent
         last = level == DEPTH
-        small = once if last else once.where(F.col("members") <= SMALL)
+        sizes = written(sizes.select("path", *same), "buckets")
+        once = sizes.groupBy(*same).agg(F.min("path").alias("path"), F.count("*").alias("times"))
+        if done is not None:
+            once = once.join(done, same, "left_anti")
+        if not last:
+            # members that meet again and again over tokens and runs are compared as they are
+            once = once.where((F.col("members") <= SMALL) | (F.col("times") >= runs * (0.5 * BRANCHES) ** level))
+        once = written(once.select("path", *same), "once")
         here = moved.select("node", "path").distinct() if level > 1 else moved.select("node", "path")
-        leaf = here.join(small, "path").select(F.col("path").alias("leaf"), "node", "members")
+        leaf = here.join(once.select("path", "members"), "path").select(F.col("path").alias("leaf"), "node", "members")
         found = leaf if found is None else found.unionByName(leaf)
-        more = once.where(F.col("members") > SMALL)
+        settled = once.where(F.col("members") > SMALL).select(*same)
+        done = settled if done is None else done.unionByName(settled)
+        more = sizes.where(F.col("members") > SMALL).join(done, same, "left_anti")
         if last or not more.limit(1).count():
             break
         large = written(here.join(more, "path"), "large")

@@ -65,6 +65,25 @@ def test_split_buckets_and_blocks_lose_no_link(frame, monkeypatch):
     assert found(frame(texts, "doc_id long, text string")) == brute(texts)
 
 
+@pytest.mark.parametrize("size, copies", [(8, 12), (256, 300)])
+def test_no_large_group_of_near_copies_is_lost(frame, monkeypatch, size, copies):
+    monkeypatch.setattr(C, "SMALL", size)
+    groups = 2400 // copies if size == 256 else 300
+    texts = [(g * copies + k, " ".join(f"g{g}w{i}" for i in range(100)) + f" e{k}") for g in range(groups) for k in range(copies)]
+    assert found(frame(texts, "doc_id long, text string")) == {i: (i // copies * copies, copies - 1) for i, _ in texts}
+
+
+def test_equal_buckets_are_split_each_on_its_own(frame, monkeypatch):
+    monkeypatch.setattr(C, "SMALL", 8)
+    # groups of pairs at about the threshold: few equal buckets, many levels
+    texts = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(100)]
+        texts += [" ".join(base + [f"e{g}x{k}y{i}" for i in range(10)]) for k in range(12)]
+    texts = list(enumerate(texts))
+    assert found(frame(texts, "doc_id long, text string")) == brute(texts)
+
+
 def test_recall_formula():
     assert C.runs_needed(0.9) <= C.runs_needed(0.99999) == 5
 
