@@ -41,6 +41,18 @@ MARKS = frozenset(
     "contentinfo complementary form hidden".split()
 )
 CONTENT = frozenset("article post entry content story".split())
+# Marks that hardly name a wrapper of the article, marks that are as often the topic of a section with that id, and headings.
+OTHERS = frozenset(
+    "comment comments commentlist disqus discussion respond reply replies cookie cookies consent gdpr newsletter "
+    "subscribe subscription signup".split()
+)
+TOPICS = frozenset(
+    "ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion banner menu navigation cookie "
+    "cookies consent gdpr notice notices alert dialog discussion respond reply replies share sharing social related "
+    "recommended newsletter subscribe subscription signup login search widget skip form hidden header".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NONE, TOPIC, LAYOUT, OTHER = range(4)  # what an element's marks say, from nothing to most
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -48,34 +60,58 @@ TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+SHOWN = re.compile(r"[a-z0-9]+:(?:block|flex|grid|inline|table|contents)")  # hidden on some screens only
 WORD = re.compile(r"[a-z]+")
 FADE = (1.0, 0.5, 1 / 3, 0.25)  # share of a paragraph's points by distance of the ancestor
 
 
-def _is_marked(tag: str, rest: str) -> bool:
-    """Do the attributes say that this element is no part of an article?"""
-    if not rest.strip() or tag in ("html", "body", "article", "main"):
-        return False
-    low = rest.lower()
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", low):
-        return True
-    for name, *values in ATTRIBUTE.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", rest)):
-        if name.lower() in ("class", "id", "role"):
-            for item in "".join(values).lower().split():
-                found = WORD.findall(item)
-                if found and found[0] in ("with", "has", "no", "without"):
-                    continue
-                if not MARKS.isdisjoint(found) or "header" in found and CONTENT.isdisjoint(found):
-                    return True
-    return False
+def _attributes(rest: str) -> dict[str, str]:
+    """Names and values of a start tag's attributes; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def _is_hidden(given: dict[str, str]) -> bool:
+    style = given.get("style", "").lower()
+    return (
+        "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
+        or bool(re.search(r"(?:^|[\s;])display\s*:\s*none", style))
+    )
+
+
+def _mark(tag: str, given: dict[str, str]) -> int:
+    """What the words in class, id and role say: is this element no part of an article?"""
+    most = NONE
+    for name in ("class", "id", "role"):
+        if name != "role" and (tag in HEADINGS or tag in INLINE):
+            continue  # anchors and highlighted words
+        items = re.sub(r"([a-z])([A-Z])", r"\1-\2", given.get(name, "")).lower().split()
+        for item in items:
+            found = WORD.findall(item)
+            if found and found[0] in ("with", "has", "no", "without"):
+                continue
+            words = MARKS.intersection(found)
+            if "header" in found and CONTENT.isdisjoint(found):
+                words |= {"header"}
+            if "hidden" in words and (len(found) > 1 and found[0] not in ("is", "visually") or any(map(SHOWN.fullmatch, items))):
+                words -= {"hidden"}
+            if not words:
+                continue
+            if name == "id" and words <= TOPICS or words == {"widget"} and found[0] != "widget":
+                most = max(most, TOPIC)
+            else:
+                most = max(most, LAYOUT if OTHERS.isdisjoint(words) else OTHER)
+    return most
 
 
 class _Tree:
     """Open elements while a page is read; texts, links and points per element."""
 
     def __init__(self):
-        self.tags, self.parents, self.dropped = ["html"], [-1], [False]
+        self.tags, self.parents, self.dropped, self.marks = ["html"], [-1], [False], [NONE]
         self.texts: list[tuple[int, int, bool, str]] = []  # block element, run, in a link, text
         self.stack = [0]
         self.run = 0  # texts of one run belong to one block of the page
@@ -90,12 +126,14 @@ class _Tree:
         if tag in VOID:
             return
         parent = self.stack[-1]
-        gone = self.dropped[parent] or tag in DROPPED or _is_marked(tag, rest)
+        given = _attributes(rest) if rest.strip() and tag not in ("html", "body") else {}
+        gone = self.dropped[parent] or tag in DROPPED or tag not in ("article", "main") and _is_hidden(given)
         if tag == "header" and not any(self.tags[k] in ("article", "main") for k in self.stack):
             gone = True
         self.tags.append(tag)
         self.parents.append(parent)
         self.dropped.append(gone)
+        self.marks.append(_mark(tag, given) if given and not gone else NONE)
         self.stack.append(len(self.tags) - 1)
 
     def close_open(self, kinds: set[str]) -> None:
@@ -191,8 +229,67 @@ def _scores(tree: _Tree, total: list[int], linked: list[int]) -> dict[int, float
     return points
 
 
+def _worths(tree: _Tree) -> list[float]:
+    """Points of all paragraphs below each element for their text outside links."""
+    blocks: dict[tuple[int, int], list[tuple[bool, str]]] = defaultdict(list)
+    for node, run, is_link, text in tree.texts:
+        blocks[node, run].append((is_link, text))
+    worth = [0.0] * len(tree.tags)
+    for (node, _), parts in blocks.items():
+        if tree.tags[node] not in PARAGRAPHS and node:
+            continue
+        text = "".join(part for is_link, part in parts if not is_link).strip()
+        if text:
+            worth[node] += 1 + sum(map(text.count, ",،、，")) + min(len(text) / 100, 3)
+    for node in range(len(tree.tags) - 1, 0, -1):
+        worth[tree.parents[node]] += worth[node]
+    return worth
+
+
+def _drop_marked(tree: _Tree) -> None:
+    """Drop marked elements, unless they hold the page's article.
+
+    An element that holds the main (or else the richest) article is a wrapper, whatever its words are. So is one with more
+    than a third of the page's points, if it lies in that article or there is none with a fifth of the points; one of reader
+    comments, notices or sign-ups only if next to nothing else is there. A topic's word as an id counts only where most of
+    the text is links.
+    """
+    if not any(tree.marks):
+        return
+    total, linked, _ = _lengths(tree)
+    worth = _worths(tree)
+    below = [False] * len(tree.tags)  # a marked element or an element below one
+    for node in range(1, len(tree.tags)):
+        below[node] = below[tree.parents[node]] or tree.marks[node] > TOPIC and tree.tags[node] not in ("article", "main")
+    holders: set[int] = set()
+    weighed = [True] * len(tree.tags)  # elements that their points can save
+    articles = [
+        node for node in range(1, len(tree.tags))
+        if tree.tags[node] in ("article", "main") and not tree.dropped[node] and tree.marks[node] < OTHER and total[node]
+    ]
+    if articles:
+        node = max(articles, key=lambda node: (not below[node], tree.tags[node] == "main", worth[node], -node))
+        if worth[node] >= 0.2 * worth[0]:
+            weighed = [other == node for other in range(len(tree.tags))]
+            for other in range(node + 1, len(tree.tags)):
+                weighed[other] = weighed[tree.parents[other]]
+        while node >= 0:
+            holders.add(node)
+            node = tree.parents[node]
+    for node in range(1, len(tree.tags)):
+        mark, gone = tree.marks[node], False
+        if mark and node not in holders and tree.tags[node] not in ("article", "main"):
+            if mark == TOPIC:
+                gone = not worth[node] or 2 * linked[node] > total[node]
+            else:
+                gone = not weighed[node] or worth[node] <= worth[0] * (0.9 if mark == OTHER else 1 / 3)
+        tree.dropped[node] = tree.dropped[node] or gone or tree.dropped[tree.parents[node]]
+    tree.texts = [text for text in tree.texts if not tree.dropped[text[0]]]
+
+
 def _kept(tree: _Tree) -> set[int]:
     """The best container, widened to its article, and the siblings that score like it."""
+    _drop_marked(tree)
     total, linked, links = _lengths(tree)
     points = _scores(tree, total, linked)
     if not points:
@@ -250,7 +347,7 @@ def extract_main_text(df: DataFrame, html_column: str = "html", text_column: str
     commas to their ancestors, the sums are discounted by link density, the best container
     is widened to the article around it and kept with siblings that score like it. Menus, site
     headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
-    dropped by element and by the words in class, id and role. Rows are independent: nothing
+    dropped by element and by the words in class, id and role, unless they hold the article. Rows are independent: nothing
     is shuffled. Null and empty pages, and pages without paragraphs, give an empty text;
     repeated rows give repeated results; other columns are kept, except that earlier columns
     with the names of the two results are replaced.

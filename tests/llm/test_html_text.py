@@ -32,6 +32,40 @@ def test_boilerplate_goes_and_the_article_stays():
     assert main_text(page) == " ".join(expected.split())
 
 
+ARTICLE = f"<h2 id=related-work>Related</h2><p>One. {LONG}</p><p>Two. {LONG}</p>"
+
+
+@pytest.mark.parametrize("before, after", [
+    (f'<div class="{name}">{tag}', f"{end}</div>")
+    for name in ("content-sidebar-wrap", "layout-right-sidebar", "elementor-widget x", "overflow-hidden", "hidden md:block", "search")
+    for tag, end in [("", ""), ("<main>", "</main>"), ("<article>", "</article>")]
+])
+def test_wrappers_with_marks_keep_their_article(before, after):
+    page = f"<body>{before}{ARTICLE}{after}<div class='sidebar'><p>Not, this.</p></div></body>"
+    assert main_text(page) == " ".join(f"Related One. {LONG} Two. {LONG}".split())
+
+
+def test_widgets_of_one_article_stay():
+    widgets = "".join(f"<div class='elementor-element elementor-widget'><p>{k}. {LONG}</p></div>" for k in range(6))
+    assert main_text(f"<div>{widgets}</div>") == " ".join(f"{k}. {LONG}" for k in range(6)).replace("  ", " ").strip()
+
+
+@pytest.mark.parametrize("piece, text", [
+    ('<section id="discussion"><p>Talk.</p></section>', "Talk."), ('<h2 id="search-algorithm">Search</h2>', "Search"),
+    ('<p>a <span class="search-highlight">b</span> c</p>', "a b c"), ('<p title="a hidden gem">d</p>', "d"),
+    ('<p data-x="the hidden cost">e</p>', "e"), ("<p hidden>f</p>", ""), ('<p style="color:red;display:none">g</p>', ""),
+    ('<div id="related"><a href=x>h</a></div>', ""), ('<div class="sidebar"><p>i</p></div>', ""),
+])
+def test_marks_inside_an_article(piece, text):
+    page = f"<article><p>One. {LONG}</p>{piece}<p>Two. {LONG}</p></article>"
+    assert main_text(page) == " ".join(f"One. {LONG} {text} Two. {LONG}".split())
+
+
+def test_long_comments_do_not_hide_a_short_article():
+    page = f"<div class='post'><p>Short, {LONG}</p></div><div id='comments' class='comments'>" + f"<div class=comment><p>{LONG}</p></div>" * 4 + "</div>"
+    assert main_text(page) == " ".join(f"Short, {LONG}".split())
+
+
 def test_sections_of_an_article_stay_together():
     page = f"<main><article><section><p>A. {LONG}</p></section><section><p>B.</p></section></article><article class=comment><p>C</p></article></main>"
     assert main_text(page) == " ".join(f"A. {LONG} B.".split())
