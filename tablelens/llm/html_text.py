@@ -23,6 +23,7 @@ DROPPED = frozenset(
     "head title script style noscript template iframe object svg canvas nav footer aside form select button textarea "
     "input dialog menu fieldset".split()
 )
+IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript template".split())
 CLOSES = {  # a start tag ends the open element of these kinds
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -116,7 +117,17 @@ class _Tree:
         self.stack = [0]
         self.run = 0  # texts of one run belong to one block of the page
 
+    def end_head(self) -> None:
+        """What may not stand in a head ends an open one: its end tag may be left out."""
+        for depth in range(1, min(len(self.stack), 3)):
+            if self.tags[self.stack[depth]] == "head":
+                del self.stack[depth:]
+                self.run += 1
+                return
+
     def open(self, tag: str, rest: str) -> None:
+        if self.tags[self.stack[-1]] == "head" and tag not in IN_HEAD:
+            self.end_head()
         if tag in ENDS_PARAGRAPH:
             self.close_open({"p"})
         if tag in CLOSES:
@@ -156,6 +167,8 @@ class _Tree:
                 return
 
     def say(self, text: str) -> None:
+        if self.tags[self.stack[-1]] == "head" and text.strip():
+            self.end_head()
         node, linked = self.stack[-1], False
         if self.dropped[node]:
             return
@@ -176,6 +189,8 @@ def _read(page: str) -> _Tree:
             continue
         tag = tag.lower()
         if tag in ("html", "body") and not found["end"]:
+            if tag == "body":
+                tree.end_head()
             continue
         if tag == "br":
             tree.say(" ")

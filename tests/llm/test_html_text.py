@@ -66,6 +66,14 @@ def test_long_comments_do_not_hide_a_short_article():
     assert main_text(page) == " ".join(f"Short, {LONG}".split())
 
 
+@pytest.mark.parametrize("head", [
+    "<title>T</title><body>", "<title>T</title><meta charset=utf-8><body class=x>", "<title>T</title>", "<title>T</title></head><body>",
+    "<title>T <b>x</b></title><link rel=x><script>1</script>", "<title>T<body>",
+])
+def test_a_head_without_end_tag_ends_at_the_body(head):
+    assert main_text(f"<html><head>{head}<p>One, two.</p><p>Three.</p></html>") == "One, two. Three."
+
+
 def test_sections_of_an_article_stay_together():
     page = f"<main><article><section><p>A. {LONG}</p></section><section><p>B.</p></section></article><article class=comment><p>C</p></article></main>"
     assert main_text(page) == " ".join(f"A. {LONG} B.".split())
