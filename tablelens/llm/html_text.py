@@ -20,8 +20,8 @@ INLINE = frozenset(
 PARAGRAPHS = frozenset("p pre td blockquote li dd figcaption div section article main body".split())
 LISTS = frozenset("ul ol dl div section table nav".split())
 DROPPED = frozenset(
-    "head title script style noscript template iframe object svg canvas nav footer aside form select button textarea "
-    "input dialog menu fieldset".split()
+    "head title script style noscript template iframe object svg canvas nav footer aside select button textarea "
+    "input dialog menu".split()
 )
 IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript template".split())
 CLOSES = {  # a start tag ends the open element of these kinds
@@ -144,7 +144,8 @@ class _Tree:
         self.tags.append(tag)
         self.parents.append(parent)
         self.dropped.append(gone)
-        self.marks.append(_mark(tag, given) if given and not gone else NONE)
+        mark = _mark(tag, given) if given and not gone else NONE
+        self.marks.append(max(mark, LAYOUT) if tag in ("form", "fieldset") and not gone else mark)
         self.stack.append(len(self.tags) - 1)
 
     def close_open(self, kinds: set[str]) -> None:
@@ -262,7 +263,7 @@ def _worths(tree: _Tree) -> list[float]:
 
 
 def _drop_marked(tree: _Tree) -> None:
-    """Drop marked elements, unless they hold the page's article.
+    """Drop marked elements and forms, unless they hold the page's article.
 
     An element that holds the main (or else the richest) article is a wrapper, whatever its words are. So is one with more
     than a third of the page's points, if it lies in that article or there is none with a fifth of the points; one of reader

@@ -74,6 +74,17 @@ def test_a_head_without_end_tag_ends_at_the_body(head):
     assert main_text(f"<html><head>{head}<p>One, two.</p><p>Three.</p></html>") == "One, two. Three."
 
 
+@pytest.mark.parametrize("before, after", [
+    ("<form id=aspnetForm runat=server><input type=hidden><div>", "<button>Go</button></div></form>"),
+    ("<form id=aspnetForm><main>", "</main></form>"), ("<form><fieldset>", "</fieldset></form>"),
+    ("<form action=search><input name=q>", ""), ("<form action=search><input name=q><article>", "</article>"),
+    ("<form><label>Mail</label><input></form>", ""),
+])
+def test_forms_around_the_article_keep_it(before, after):
+    page = f"<body>{before}<p>One. {LONG}</p><p>Two. {LONG}</p>{after}</body>"
+    assert main_text(page) == " ".join(f"One. {LONG} Two. {LONG}".split())
+
+
 def test_sections_of_an_article_stay_together():
     page = f"<main><article><section><p>A. {LONG}</p></section><section><p>B.</p></section></article><article class=comment><p>C</p></article></main>"
     assert main_text(page) == " ".join(f"A. {LONG} B.".split())
