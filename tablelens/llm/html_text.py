@@ -63,6 +63,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SHOWN = re.compile(r"[a-z0-9]+:(?:block|flex|grid|inline|table|contents)")  # hidden on some screens only
+ENDS_IN_VALUE = re.compile(r"=\s*[^\s\"'=]+\Z")  # a last slash that belongs to an address
 WORD = re.compile(r"[a-z]+")
 FADE = (1.0, 0.5, 1 / 3, 0.25)  # share of a paragraph's points by distance of the ancestor
 
@@ -199,7 +200,7 @@ def _read(page: str) -> _Tree:
             tree.close(tag)
         else:
             tree.open(tag, found["rest"])
-            if found["rest"].endswith("/") and tag not in VOID and tag in INLINE:
+            if found["rest"].endswith("/") and tag not in VOID and tag in INLINE and not ENDS_IN_VALUE.search(found["rest"]):
                 tree.close(tag)
     if at < len(page):
         tree.say(html.unescape(page[at:]))
@@ -303,13 +304,66 @@ def _drop_marked(tree: _Tree) -> None:
     tree.texts = [text for text in tree.texts if not tree.dropped[text[0]]]
 
 
-def _kept(tree: _Tree) -> set[int]:
-    """The best container, widened to its article, and the siblings that score like it."""
+def _widened(tree: _Tree, best: int, total: list[int], linked: list[int], points: dict[int, float]) -> tuple[set[int], set[tuple[int, int]]]:
+    """Roots and loose runs of an article without a tag of its own.
+
+    Siblings of the best container stay if they score like it or are mostly text outside links and lie next to or
+    between kept ones. Where that is all of the parent's text, the parent takes the container's place.
+    """
+    children: dict[int, list[int]] = defaultdict(list)
+    for node in range(1, len(tree.tags)):
+        if total[node] and not tree.dropped[node]:
+            children[tree.parents[node]].append(node)
+    loose: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+    first: dict[int, int] = {}  # first run of each element
+    for node, run, is_link, text in tree.texts:
+        size = len(text.strip())
+        loose[node, run][0] += size
+        loose[node, run][1] += size if is_link else 0
+        first.setdefault(node, run)
+    for node in range(len(tree.tags) - 1, 0, -1):
+        if node in first:
+            first[tree.parents[node]] = min(first[node], first.get(tree.parents[node], first[node]))
+    of_parent: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for (node, run), (size, _) in loose.items():
+        if size:
+            of_parent[node].append((node, run))
+    while (parent := tree.parents[best]) >= 0:
+        enough = points.get(best, 0) * 0.2
+        parts: list[tuple[int, object, bool, bool]] = []  # place in the page, element or run, surely kept, light
+        for node in children[parent]:
+            share = linked[node] / total[node]
+            listing = tree.tags[node] in LISTS and share > 0.6
+            sure = node == best or points.get(node, 0) >= max(enough, 0.1) and share < 0.5 or tree.tags[node] == "p" and total[node] > 80 and share < 0.25
+            parts.append((first.get(node, 0), node, sure and not listing, share < (0.5 if tree.tags[node] in HEADINGS else 0.25)))
+        for key in of_parent[parent]:
+            size, by_link = loose[key]
+            parts.append((key[1], key, False, by_link < 0.25 * size))
+        parts.sort(key=lambda part: part[0])
+        kept = [sure for _, _, sure, _ in parts]
+        light = [ok for *_, ok in parts]
+        certain = [k for k, sure in enumerate(kept) if sure]
+        for k in range(certain[0], certain[-1]):  # between kept ones
+            kept[k] |= light[k]
+        for step, order in ((1, range(len(parts))), (-1, range(len(parts) - 1, -1, -1))):  # next to kept ones
+            for k in order:
+                if 0 <= k - step < len(parts) and kept[k - step] and light[k]:
+                    kept[k] = True
+        if not all(kept):
+            roots = {part[1] for part, stays in zip(parts, kept) if stays}
+            return {one for one in roots if isinstance(one, int)}, {one for one in roots if isinstance(one, tuple)}
+        points[parent] = max(points.get(parent, 0), points.get(best, 0))
+        best = parent
+    return {best}, set()
+
+
+def _kept(tree: _Tree) -> tuple[set[int], set[tuple[int, int]]]:
+    """Elements of the best container, widened to its article, and of siblings that belong to it; and loose runs beside them."""
     _drop_marked(tree)
     total, linked, links = _lengths(tree)
     points = _scores(tree, total, linked)
     if not points:
-        return set()
+        return set(), set()
     best = max(points, key=lambda node: (points[node], -node))
     chain = [best]
     while tree.parents[chain[-1]] >= 0:
@@ -319,20 +373,24 @@ def _kept(tree: _Tree) -> set[int]:
         if inside:
             best = inside[-1]
             break
-    roots, parent = {best}, tree.parents[best]
-    enough = max(10.0, points.get(best, 0) * 0.2)
-    for node in range(1, len(tree.tags)):
-        if tree.parents[node] == parent and node != best and not tree.dropped[node]:
-            share = linked[node] / max(total[node], 1)
-            prose = tree.tags[node] == "p" and total[node] > 80 and share < 0.25
-            if points.get(node, 0) >= enough or prose:
-                roots.add(node)
+    runs: set[tuple[int, int]] = set()
+    if tree.tags[best] in ("article", "main"):
+        roots, parent = {best}, tree.parents[best]
+        enough = max(10.0, points.get(best, 0) * 0.2)
+        for node in range(1, len(tree.tags)):
+            if tree.parents[node] == parent and node != best and not tree.dropped[node]:
+                share = linked[node] / max(total[node], 1)
+                prose = tree.tags[node] == "p" and total[node] > 80 and share < 0.25
+                if points.get(node, 0) >= enough or prose:
+                    roots.add(node)
+    else:
+        roots, runs = _widened(tree, best, total, linked, points)
     kept: set[int] = set()
     for node in range(len(tree.tags)):
         listing = node not in roots and tree.tags[node] in LISTS and links[node] > 1 and linked[node] > 0.6 * total[node]
         if not listing and (node in roots or tree.parents[node] in kept):
             kept.add(node)
-    return kept
+    return kept, runs
 
 
 def main_text(page: str | None) -> str:
@@ -340,10 +398,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = _read(page)
-    kept = _kept(tree)
+    kept, runs = _kept(tree)
     parts, last = [], -1
     for node, run, _, text in tree.texts:
-        if node in kept:
+        if node in kept or (node, run) in runs:
             if run != last:
                 parts.append(" ")
                 last = run
@@ -361,7 +419,8 @@ def extract_main_text(df: DataFrame, html_column: str = "html", text_column: str
 
     Every page is read whole into a tree of elements. Paragraphs pass points for length and
     commas to their ancestors, the sums are discounted by link density, the best container
-    is widened to the article around it and kept with siblings that score like it. Menus, site
+    is widened to the article around it and kept with siblings that score like it; without an article element,
+    also with the text beside and between them that is not mostly links. Menus, site
     headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
     dropped by element and by the words in class, id and role, unless they hold the article. Rows are independent: nothing
     is shuffled. Null and empty pages, and pages without paragraphs, give an empty text;

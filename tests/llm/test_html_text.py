@@ -85,6 +85,23 @@ def test_forms_around_the_article_keep_it(before, after):
     assert main_text(page) == " ".join(f"One. {LONG} Two. {LONG}".split())
 
 
+@pytest.mark.parametrize("pieces", [
+    ["<h1>", "Title", "</h1><div><p>", f"A. {LONG}", "</p><p>", f"B. {LONG}", "</p></div>"],
+    ["<h1>", "Title", "</h1><div><div><p>", f"A. {LONG}", "</p><p>", f"B. {LONG}", "</p></div></div>"],
+    ["<div><p>", "Short, one.", "</p></div><div><p>", "Short two.", "</p></div>"],
+    ["<div><p>", f"A. {LONG}", "</p></div><h2>", "Next", "</h2><div><p>", "B.", "</p></div>"],
+    ["<p>", "Lead.", "</p><ul><li>", "one", "</li><li>", "two", "</li></ul><div><p>", f"A. {LONG}", "</p></div><pre>", "x = 1", "</pre><blockquote>",
+     "Quote.", "</blockquote><table><tr><td>", "cell", "</td></tr></table>"],
+    ["", "Loose text.", "<div><p>", f"A. {LONG}", "</p><p>", "B.", "</p></div>", "More <b>loose</b> text.", "<div><p>", f"C. {LONG}", "</p></div>"],
+])
+def test_pages_without_article_element_keep_their_whole_article(pieces):
+    links = "<div><a href=x>Other</a> <a href=y>pages</a></div>"
+    expected = " ".join(re.sub("<[^>]*>", "", " ".join(pieces[1::2])).split())
+    body = "".join(pieces)
+    for page in (body, f"{body}{links}", f"{links}{body}", f"<div>{links}</div>{body}{links}"):
+        assert main_text(f"<body>{page}</body>") == expected
+
+
 def test_sections_of_an_article_stay_together():
     page = f"<main><article><section><p>A. {LONG}</p></section><section><p>B.</p></section></article><article class=comment><p>C</p></article></main>"
     assert main_text(page) == " ".join(f"A. {LONG} B.".split())
