@@ -32,7 +32,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of linked documents the one with the smallest id; of its repeated rows, one."""
     classes = similarity_classes(docs)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
+    stands = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
+    first = classes.where(stands).select(
         F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")
     ).distinct()
     keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))))

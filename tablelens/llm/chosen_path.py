@@ -324,7 +324,8 @@ def similarity_classes(
 
     Returns, per row: ``doc_id``, ``class_id`` (smallest id linked to it directly or over others, its own
     if none), ``copy_of`` (smallest id with the same text), ``links`` (other rows with similarity of at least
-    the threshold, copies included) and ``text_key`` (MD5 of the text). Texts without words, null or empty,
+    the threshold, copies included), ``text_key`` (MD5 of the text) and ``class_key`` (that of the one text that stands for
+    the class; its smallest id is ``class_id``). Texts without words, null or empty,
     are copies of each other, but linked to nothing and in a class of their own. Rows without an id take part; repeated rows are
     copies. Other columns are not carried.
     """
@@ -365,10 +366,11 @@ def similarity_classes(
     roots = _components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     roots = classes.select("node", "copy_of", "copies").join(roots, "node", "left")
     roots = roots.withColumn("root", F.coalesce("root", "node"))
-    named = roots.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    best = F.struct(F.col("copy_of").isNull(), "copy_of", "node")
+    named = roots.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min_by("node", best).alias("class_node"))
     nodes = roots.join(named, "root").join(links, "node", "left")
     joined = rows.select("doc_id", "node", "size").join(
-        nodes.select("node", "copy_of", "copies", "class_id", "linked"), "node"
+        nodes.select("node", "copy_of", "copies", "class_id", "class_node", "linked"), "node"
     )
     worded_row = F.col("size") > 0
     return joined.select(
@@ -377,6 +379,7 @@ def similarity_classes(
         "copy_of",
         F.when(worded_row, F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).alias("links"),
         F.lower(F.hex("node")).alias("text_key"),
+        F.lower(F.hex(F.when(worded_row, F.col("class_node")).otherwise(F.col("node")))).alias("class_key"),
     )
 
 

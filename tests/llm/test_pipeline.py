@@ -51,6 +51,15 @@ def test_one_row_of_each_class_stays(frame, spark):
     assert sorted((r.doc_id or 0 for r in kept.collect())) == [0, 1, 2, 3, 8]
 
 
+def test_near_copies_without_an_id_or_with_the_same_one_leave_one_row(frame, spark):
+    words = [f"w{i}" for i in range(80)]
+    long = [" ".join([*words, f"end{k}"]) for k in range(4)]
+    rows = [(None, text, "a") for text in long] + [(7, text.replace("w", "v"), "b") for text in long] + [(None, long[0], "c")]
+    rows += [(None, long[0].replace("w", "u"), "d"), (4, long[1].replace("w", "u"), "d")]
+    kept = corpus_pipeline.one_of_each(spark, frame(rows, "doc_id long, text string, source string"), FOLDER).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "w"), (4, "u"), (7, "v")]
+
+
 def test_run_returns_the_packed_rows(spark):
     result = corpus_pipeline.run(spark, FOLDER)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(result.columns) and result.count() > 0
