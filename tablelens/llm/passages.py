@@ -181,11 +181,36 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], schema=_BAG)
 
 
+def passage_bound(n: np.ndarray, limit: int) -> int:
+    """The largest number of passages per document with which all documents together stay within ``limit``; at least 1."""
+    low, high = 1, max(int(n.max(initial=1)), 1)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.minimum(n, middle).sum() <= limit else (low, middle - 1)
+    return low
+
+
+def _thinned(bound: int):
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                n = one.column(2)[0].as_py()
+                if n > bound:
+                    chosen = np.sort(np.argsort(mixed(np.arange(n, dtype=np.uint64)), kind="stable")[:bound])
+                    x = one.column(3).flatten().to_numpy().reshape(-1, FEATURES)[chosen]
+                    cells = pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x.ravel()))
+                    one = pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([bound], pa.int64()), cells], schema=_BAG)
+                yield one
+
+    return thinned
+
+
 def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     """Fit on at most 3,000 labelled documents of each label that are not held out.
 
-    Whole documents are added in the order of a hash until they hold 300,000 passages; Spark makes the
-    features, the driver sees only those of the sample (at most about 25 MB).
+    If they hold more than 300,000 passages, the longest are thinned to hashed passages, all to one bound, and none is
+    left out; Spark makes the features, the driver sees only those of the sample (at most about 25 MB).
     """
     chosen, share = labelled_sample(labels, "quality", SAMPLE_PER_CLASS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -194,10 +219,14 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     sizes = bags.select("doc_id", "passages").toArrow()
     ids, n = sizes["doc_id"].to_numpy(), sizes["passages"].to_numpy()
     order = np.lexsort((ids, mixed(ids.astype(np.int64).view(np.uint64))))
-    fitting = np.cumsum(n[order]) <= SAMPLE_PASSAGES
+    bound = passage_bound(n, SAMPLE_PASSAGES)
+    fitting = np.cumsum(np.minimum(n, bound)[order]) <= SAMPLE_PASSAGES  # all, unless the rows alone are more
     most = np.unique(ids[order[fitting]]).tolist()
     wanted = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(most, pa.int64())}))
-    got = bags.join(F.broadcast(wanted), "doc_id").orderBy("doc_id").toArrow()
+    got = bags.join(F.broadcast(wanted), "doc_id").select(*_BAG.names)
+    if n.max(initial=0) > bound:
+        got = got.mapInArrow(_thinned(bound), from_arrow_schema(_BAG))
+    got = got.orderBy("doc_id").toArrow()
     x = got["x"].combine_chunks().flatten().to_numpy().astype(float).reshape(-1, FEATURES) if len(got) else np.zeros((0, FEATURES))
     bag = np.repeat(np.arange(len(got)), got["passages"].to_numpy())
     return fit(x, bag, got["label"].to_numpy().astype(float), share)

@@ -74,3 +74,15 @@ def test_odd_rows(frame, spark):
     rows = P.quality_scores(docs, labels).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert P.quality_scores(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_one_long_document_does_not_shut_out_the_others(frame, monkeypatch):
+    monkeypatch.setattr(P, "SAMPLE_PASSAGES", 100)
+    seen = {}
+    monkeypatch.setattr(P, "fit", lambda x, bag, label, share: seen.update(x=x, n=np.bincount(bag), label=label))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    first = min(ids, key=lambda i: int(P.mixed(np.array([i], np.uint64))[0]))
+    docs = [(i, "word " * (64 * 200) if i == first else "some words here") for i in ids]
+    P.train(frame(docs, "doc_id long, text string"), frame([(i, i % 2) for i in ids], "doc_id long, quality int"))
+    assert len(seen["n"]) == len(ids) and seen["n"].sum() == 100 == len(seen["x"]) and seen["n"].max() == 100 - len(ids) + 1
+    assert P.passage_bound(np.array([5, 200, 3]), 18) == 10 and P.passage_bound(np.array([5, 2]), 100) == 5
