@@ -10,6 +10,7 @@ from tablelens.llm import severity
 from tablelens.llm.chosen_path import JOIN_SQL, similarity_classes
 from tablelens.llm.common import pin_batches
 from tablelens.llm.html_text import extract_main_text
+from tablelens.llm.infilling import FILL_SQL, digest, fill_in_middle
 from tablelens.llm.kdtree import NEAREST_SQL, quantised, top_products
 from tablelens.llm.mixing import MIX_SQL, mix_sources
 from tablelens.llm.packing import pack
@@ -102,3 +103,9 @@ def op9(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def op10(documents: DataFrame) -> DataFrame:
     """Tokens of every text by counts of its pre-tokens."""
     return count_tokens(documents)
+
+
+@query("op11_fill_in_middle", "documents", sql=FILL_SQL)
+def op11(documents: DataFrame) -> DataFrame:
+    """Every text cut at two line ends, its middle moved to the end, as digests."""
+    return digest(fill_in_middle(documents))
