@@ -16,6 +16,7 @@ from tablelens.llm.mixing import MIX_SQL, mix_sources
 from tablelens.llm.packing import pack
 from tablelens.llm.passages import quality_scores
 from tablelens.llm.phrases import fingerprint_with_edits
+from tablelens.llm.spelling import NOISE, group_spellings, word_counts
 from tablelens.llm.token_counts import count_tokens
 from tablelens.llm.warc import ARCHIVE_SQL, read_archives, write_archives
 from tablelens.session import pin_session
@@ -109,3 +110,9 @@ def op10(documents: DataFrame) -> DataFrame:
 def op11(documents: DataFrame) -> DataFrame:
     """Every text cut at two line ends, its middle moved to the end, as digests."""
     return digest(fill_in_middle(documents))
+
+
+@query("op13_spelling_variants", "documents")
+def op13(documents: DataFrame) -> DataFrame:
+    """Words of all texts, some of them misspelt by a hash, with the words they are variants of."""
+    return group_spellings(word_counts(documents, noise=NOISE))
