@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablelens.llm import severity
+from tablelens.llm import repeats, severity
 from tablelens.llm.chosen_path import JOIN_SQL, similarity_classes
 from tablelens.llm.common import pin_batches
 from tablelens.llm.html_text import extract_main_text
@@ -112,6 +112,12 @@ def op11(documents: DataFrame) -> DataFrame:
     return digest(fill_in_middle(documents))
 
 
+@query("op12_suffix_dedup", "documents")
+def op12(documents: DataFrame) -> DataFrame:
+    """Every text without the bytes of 100-byte strings that start earlier in the corpus."""
+    return repeats.digest(repeats.remove_repeats(documents.select("doc_id", "text"), with_text=False))
+
+
 @query("op13_spelling_variants", "documents")
 def op13(documents: DataFrame) -> DataFrame:
     """Words of all texts, some of them misspelt by a hash, with the words they are variants of."""
