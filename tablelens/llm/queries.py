@@ -112,7 +112,7 @@ def op11(documents: DataFrame) -> DataFrame:
     return digest(fill_in_middle(documents))
 
 
-@query("op12_suffix_dedup", "documents")
+@query("op12_suffix_dedup", "documents", sql=repeats.REPEAT_SQL)
 def op12(documents: DataFrame) -> DataFrame:
     """Every text without the bytes of 100-byte strings that start earlier in the corpus."""
     return repeats.digest(repeats.remove_repeats(documents.select("doc_id", "text"), with_text=False))

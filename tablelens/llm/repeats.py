@@ -92,7 +92,8 @@ def segments(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dic
     at = np.flatnonzero(cut)
     first, windows = starts[at], np.diff(np.append(at, len(starts)))
     digest = prefixes.digest(first, windows + width - 1) + windows.astype(np.uint64)
-    return {"first": first, "windows": windows, "lead": place[at] - first, "anchor": grams[place[at]], "digest": digest}
+    anchor = mixed(grams[place[at]] ^ np.uint64(_BASE))  # anew: least hashes are small numbers, and anchors choose buckets
+    return {"first": first, "windows": windows, "lead": place[at] - first, "anchor": anchor, "digest": digest}
 
 
 def _cut(batch: pa.RecordBatch, width: int, gram: int, hot: np.ndarray | None, cells: int) -> dict[str, np.ndarray]:
@@ -559,3 +560,28 @@ def digest(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
         F.col(f"`{id_column}`").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+REPEAT_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits, strlen(coalesce(text, '')) AS n_bytes FROM documents),
+windows AS (
+  SELECT doc_id, start, md5_number(substr(digits, 2 * start + 1, 200)) AS content
+  FROM (SELECT doc_id, digits, unnest(range(0, n_bytes - 99)) AS start FROM docs)),
+firsts AS (SELECT content, min((doc_id, start)) AS head FROM windows GROUP BY content HAVING count(*) > 1),
+later AS (SELECT doc_id, start FROM windows JOIN firsts USING (content) WHERE (doc_id, start) > head),
+marked AS (
+  SELECT doc_id, start, coalesce(start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) > 100, true)::INT AS fresh FROM later),
+spans AS (
+  SELECT doc_id, min(start) AS a, max(start) + 100 AS b
+  FROM (SELECT doc_id, start, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS island FROM marked)
+  GROUP BY doc_id, island),
+edges AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS open FROM spans),
+kept AS (
+  SELECT e.doc_id, string_agg(substr(digits, 2 * open + 1, 2 * (a - open)), '' ORDER BY a) AS parts, max(b) AS last,
+    sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans
+  FROM edges e JOIN docs USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(parts, '') || substr(digits, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""

@@ -161,3 +161,12 @@ def test_given_documents_equal_brute_force(spark):
         r = by_id[doc]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(raw), sum(n for _, n in spans), len(spans))
         assert r.kept_sha256 == hashlib.sha256(bytes(left)).hexdigest()
+
+
+def test_buckets_are_even():
+    rng = np.random.default_rng(1)
+    raw = rng.integers(97, 123, 400_000).astype(np.uint8)
+    part = R.segments(raw, np.array([0, len(raw)]), 100, 24)
+    assert part["windows"].sum() == len(raw) - 99 and part["windows"].max() <= 77
+    shares = np.bincount((part["anchor"] >> np.uint64(61)).astype(np.int64), minlength=8) / len(part["anchor"])
+    assert abs(shares - 1 / 8).max() < 0.02
