@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablelens.functions import half_even
 from tablelens.session import small_table
 
-FOREST_DEPTH = 12  # of forests, unless ``parameters`` set maxDepth; Spark allows up to 30
+FOREST_DEPTH = 30  # of Spark's forests, the most it allows; without further parameters forests grow fully (``trees.fit_forest``)
 BINS = 128  # candidate splits of a numeric feature
 
 REGRESSION_MODELS = {
@@ -31,6 +31,7 @@ REGRESSION_MODELS = {
     "random_forest": "Random Forest",
     "gradient_boosting": "Gradient Boosting",
     "decision_tree": "Decision Tree",
+    "knn_regressor": "K-Nearest Neighbors",
 }
 CLASSIFICATION_MODELS = {
     "logistic_regression": "Logistic Regression",
@@ -38,6 +39,7 @@ CLASSIFICATION_MODELS = {
     "gradient_boosting": "Gradient Boosting",
     "svm": "Support Vector Machine",
     "decision_tree": "Decision Tree",
+    "knn": "K-Nearest Neighbors",
 }
 
 
@@ -132,5 +134,9 @@ def importance(model: Model, names: Sequence[str], df: DataFrame) -> DataFrame:
         values = [abs(float(v)) for v in model.coefficients.toArray()]
     else:
         values = [1.0] * len(names)
+    return importance_rows(values, names, df)
+
+
+def importance_rows(values: Sequence[float], names: Sequence[str], df: DataFrame) -> DataFrame:
     rows = small_table(df.sparkSession, list(zip(names, values)), "name string, importance double")
     return rows.withColumn("importance", half_even(F.col("importance"), 4)).orderBy(F.desc("importance"), "name")

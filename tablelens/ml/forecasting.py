@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Model
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablelens.functions import add_periods, half_even
-from tablelens.ml.estimators import FOREST_DEPTH, importance
+from tablelens.ml.estimators import FOREST_DEPTH, importance_rows
+from tablelens.ml.trees import Ensemble, fit_boosting, fit_forest, from_spark
 from tablelens.operators.columns import field_types, join_null_safe, ref
 from tablelens.operators.forecast import forecast_metrics, forecast_points
 from tablelens.operators.series import (
@@ -27,7 +30,6 @@ from tablelens.operators.series import (
 )
 from tablelens.session import reliable_checkpoint
 
-CHECKPOINT_STEPS = 8
 FORECAST_MODELS = ("gradient_boosting", "random_forest", "ridge_regression")
 
 
@@ -140,74 +142,132 @@ def _results(points: DataFrame, series: DataFrame, split: DataFrame, keys: Seque
 # ---------------------------------------------------------------- learned models
 
 
-def _regressor(model_type: str, train: DataFrame, seed: int = 42):
-    if model_type == "gradient_boosting":
-        return GBTRegressor(labelCol="value", maxIter=140, stepSize=0.05, maxDepth=3, seed=seed)
-    if model_type == "random_forest":
-        return RandomForestRegressor(
-            labelCol="value", numTrees=160, minInstancesPerNode=2, maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", seed=seed
-        )
+def _fit(model_type: str, rows: DataFrame, names: Sequence[str], parameters: Mapping[str, Any], seed: int) -> tuple[Predictor, np.ndarray]:
+    """A function from a feature matrix to predictions, and the importance of each feature."""
+    if model_type == "random_forest" and not set(parameters) - {"numTrees", "minInstancesPerNode"}:
+        forest = fit_forest(rows, "value", parameters.get("numTrees", 160), parameters.get("minInstancesPerNode", 2), seed=seed)
+        return Predictor(ensemble=forest), forest.importance(len(names))
     if model_type == "ridge_regression":
-        facts = train.agg(F.count("value").alias("n"), F.stddev_pop("value").alias("s")).first()
+        facts = rows.agg(F.count("value").alias("n"), F.stddev_pop("value").alias("s")).first()
         penalty = (facts["s"] or 0.0) / max(facts["n"], 1)
-        return LinearRegression(labelCol="value", regParam=penalty, elasticNetParam=0.0, standardization=False)
-    raise ValueError(f"model_type must be one of {FORECAST_MODELS}")
+        built = LinearRegression(labelCol="value", regParam=penalty, elasticNetParam=0.0, standardization=False)
+        fitted = built.setParams(**parameters).fit(rows)
+        weights = fitted.coefficients.toArray()
+        return Predictor(weights=weights, level=fitted.intercept), np.abs(weights)
+    if model_type == "gradient_boosting":
+        unknown = set(parameters) - {"maxIter", "stepSize", "maxDepth", "minInstancesPerNode"}
+        if unknown:
+            raise ValueError(f"gradient_boosting has no parameters {sorted(unknown)}")
+        boosted = fit_boosting(
+            rows, None, "value", parameters.get("maxIter", 140), parameters.get("stepSize", 0.05), parameters.get("maxDepth", 3),
+            parameters.get("minInstancesPerNode", 1), seed,
+        )
+        return Predictor(ensemble=boosted), boosted.importance(len(names), alike=False)
+    built = RandomForestRegressor(
+        labelCol="value", numTrees=160, minInstancesPerNode=2, maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", seed=seed
+    )
+    fitted = built.setParams(**parameters).fit(rows)
+    return Predictor(ensemble=from_spark(fitted, rows.sparkSession)), fitted.featureImportances.toArray()
+
+
+@dataclass
+class Predictor:
+    """A fitted model inside the tasks: a line, or trees as flat arrays."""
+
+    weights: np.ndarray | None = None
+    level: float = 0.0
+    ensemble: Ensemble | None = None
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        return self.ensemble.evaluate(rows)[:, 0] if self.ensemble is not None else rows @ self.weights + self.level
+
+
+CALENDAR = ("month_number", "quarter_number", "weekday_number", "is_month_end")
 
 
-def _next_features(past: Column, period: Column, position: Column, lags: int, groups: Sequence[str]) -> dict[str, Column]:
-    """Features of the period after an array of past values."""
-    def last(n: int) -> Column:
-        return F.slice(past, F.greatest(F.size(past) - n + 1, F.lit(1)), n)
+def _calendar(period: Column) -> Column:
+    """The features of a period that no value changes, in the order of ``CALENDAR``."""
+    month_end = F.when(F.to_date(period) == F.last_day(period), 1.0).otherwise(0.0)
+    return F.array(F.month(period).cast("double"), F.quarter(period).cast("double"), F.weekday(period).cast("double"), month_end)
 
-    def mean(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
 
-    level = mean(last(3))
-    available = {
-        "trend_index": position.cast("double"),
-        "month_number": F.month(period).cast("double"),
-        "quarter_number": F.quarter(period).cast("double"),
-        "weekday_number": F.weekday(period).cast("double"),
-        "is_month_end": F.when(F.to_date(period) == F.last_day(period), 1.0).otherwise(0.0),
-        "rolling_mean_3": level,
-        "rolling_mean_6": mean(last(6)),
-        "rolling_std_3": F.sqrt(mean(F.transform(last(3), lambda x: (x - level) * (x - level)))),
-    } | {f"lag_{i}": F.element_at(past, -i) for i in range(1, lags + 1)}
-    return {name: available[name] for name in ml_feature_names(lags, groups)}
+def _next_features(past: np.ndarray, calendar: np.ndarray, position: np.ndarray, names: Sequence[str]) -> np.ndarray:
+    """Features of the period after each row of past values (right-aligned, NaN before the series)."""
+    counted = ~np.isnan(past)
+
+    def mean(n: int) -> np.ndarray:
+        return np.nansum(past[:, -n:], axis=1) / np.maximum(counted[:, -n:].sum(axis=1), 1)
+
+    columns = []
+    for name in names:
+        if name == "trend_index":
+            columns.append(position.astype(float))
+        elif name in CALENDAR:
+            columns.append(calendar[:, CALENDAR.index(name)])
+        elif name.startswith("lag_"):
+            columns.append(past[:, -int(name[4:])])
+        elif name.startswith("rolling_mean_"):
+            columns.append(mean(int(name[13:])))
+        else:
+            level = mean(3)[:, None]
+            spread = np.nansum((past[:, -3:] - level) ** 2, axis=1) / np.maximum(counted[:, -3:].sum(axis=1), 1)
+            columns.append(np.sqrt(spread))
+    return np.stack(columns, axis=1)
 
 
 def _roll_forward(
-    model: Model, start: DataFrame, keys: Sequence[str], steps: int, lags: int, groups: Sequence[str]
+    predictor: Predictor, start: DataFrame, keys: Sequence[str], steps: Column, lags: int, groups: Sequence[str]
 ) -> DataFrame:
-    """Recursive predictions from ``(keys…, label, past, period, position)``: one row per series throughout."""
-    names = ml_feature_names(lags, groups)
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
-    kept = [*keys, "label", "past", "period", "position", "path"]
-    reach = max(lags, 6)
-    state = start.withColumn("path", F.array().cast("array<double>"))
-    for step in range(1, steps + 1):
-        state = state.withColumn("period", add_periods(F.col("period"), F.col("label"), 1)).withColumn(
-            "position", F.col("position") + 1
-        )
-        features = _next_features(F.col("past"), F.col("period"), F.col("position"), lags, groups)
-        scored = model.transform(assembler.transform(state.withColumns(features)))
-        value = F.greatest(F.col("prediction"), F.lit(0.0))
-        state = scored.withColumn("path", F.concat("path", F.array(value))).withColumn(
-            "past", F.slice(F.concat("past", F.array(value)), -reach, reach)
-        ).select(*[ref(c) for c in kept])
-        if step % CHECKPOINT_STEPS == 0:
-            state = reliable_checkpoint(state)
-    first = start.select(*[ref(k) for k in keys], F.col("period").alias("__origin"), F.col("position").alias("__base"))
-    paths = state.select(*[ref(k) for k in keys], "label", "path")
-    joined = join_null_safe(paths, first, keys) if keys else paths.withColumns({
-        "__origin": first.select("__origin").scalar(), "__base": first.select("__base").scalar(),
-    })
-    exploded = joined.select(*[ref(k) for k in keys], "label", "__origin", "__base", F.posexplode("path").alias("__at", "prediction"))
-    step = F.col("__at") + 1
-    return exploded.select(
-        *[ref(k) for k in keys], "label", step.alias("step"), (F.col("__base") + step).alias("position"),
-        add_periods(F.col("__origin"), F.col("label"), step).alias("period"), "prediction",
+    """Recursive predictions from ``(keys…, label, past, period, position)``, each series to its own length.
+
+    The recursion runs inside the tasks, for all series of a batch at once; the model is sent there. However long
+    the series, this is one job.
+    """
+    names, reach = ml_feature_names(lags, groups), max(lags, 6)
+    sent = start.sparkSession.sparkContext.broadcast(predictor)
+    ahead = F.transform(F.sequence(F.lit(1), steps), lambda i: add_periods(F.col("period"), F.col("label"), i))
+    # the keys are carried as one column, so their names cannot clash
+    state = start.where(steps > 0).select(
+        F.struct(*[ref(k) for k in keys], "label").alias("key"), F.col("position").cast("int").alias("position"), "past", ahead.alias("ahead")
     )
+    state = state.withColumn("calendar", F.flatten(F.transform("ahead", _calendar)))
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = sent.value
+        for batch in batches:
+            count = len(batch)
+            if not count:
+                continue
+            lists, ahead = batch.column(2), batch.column(3)
+            sizes = np.diff(lists.offsets.to_numpy())
+            past = np.full((count, reach), np.nan)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes), sizes)
+            past[np.repeat(np.arange(count), sizes), place] = lists.flatten().to_numpy()
+            lengths = np.diff(ahead.offsets.to_numpy())
+            first = np.cumsum(lengths) - lengths
+            calendar = batch.column(4).flatten().to_numpy().reshape(-1, len(CALENDAR))
+            origin = batch.column(1).to_numpy()
+            found = np.zeros(int(lengths.sum()))
+            for step in range(int(lengths.max())):
+                rows = np.flatnonzero(lengths > step)
+                at = first[rows] + step
+                value = np.maximum(predict(_next_features(past[rows], calendar[at], origin[rows] + step + 1, names)), 0.0)
+                found[at] = value
+                past[rows] = np.concatenate([past[rows, 1:], value[:, None]], axis=1)
+            owner = np.repeat(np.arange(count), lengths)
+            step = (np.arange(len(found)) - first[owner] + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner)), pa.array(step), pa.array((origin[owner] + step).astype(np.int32)), ahead.flatten(), pa.array(found)],
+                names=["key", "step", "position", "period", "prediction"],
+            )
+
+    kinds = {f.name: f.dataType for f in state.schema}
+    made = T.StructType([
+        T.StructField("key", kinds["key"]), T.StructField("step", T.IntegerType()), T.StructField("position", T.IntegerType()),
+        T.StructField("period", kinds["ahead"].elementType), T.StructField("prediction", T.DoubleType()),
+    ])
+    rolled = state.mapInArrow(roll, made)
+    return rolled.select(*[F.col("key").getField(k).alias(k) for k in [*keys, "label"]], "step", "position", "period", "prediction")
 
 
 def _tail_state(series: DataFrame, keys: Sequence[str], reach: int, *more: Column) -> DataFrame:
@@ -220,37 +280,39 @@ def _tail_state(series: DataFrame, keys: Sequence[str], reach: int, *more: Colum
 def ml_forecast(
     series: DataFrame, horizon: int = 3, lags: int = 3, groups: Sequence[str] = FEATURE_GROUPS,
     model_type: str = "gradient_boosting", keys: Sequence[str] = (), test_pct: int = 20, seed: int = 42,
+    parameters: Mapping[str, Any] | None = None,
 ) -> dict[str, DataFrame]:
     """Learned forecast: one model over all series, recursive backtest, refit on everything, future.
 
-    Series with fewer than 3 training rows after lagging are listed in ``rejects`` and take no part; without
-    keys that is an error.
+    ``parameters`` replace settings of the model, e.g. ``{"numTrees": 300}`` or ``{"maxDepth": 5}``; without a depth forests
+    grow fully. The number of jobs does not depend on the lengths of series. Series with fewer than 3 training rows
+    after lagging are listed in ``rejects`` and take no part; without keys that is an error.
     """
     check_bounds("horizon", horizon, 1, 24)
     if model_type not in FORECAST_MODELS:
         raise ValueError(f"model_type must be one of {FORECAST_MODELS}")
+    names = ml_feature_names(lags, groups)
+    if not names:
+        raise ValueError(f"groups must name at least one of {FEATURE_GROUPS}")
     split, rejects = _split_usable(holdout_split(series, test_pct), lags, keys)
     split = reliable_checkpoint(split)
-    series, depth, reach = split.select(*series.columns), lags, max(lags, 6)
-    facts = split.agg(F.max(F.col("periods") - F.col("train_periods")).alias("test")).first()
-    names = ml_feature_names(depth, groups)
+    series, reach = split.select(*series.columns), max(lags, 6)
     assembler = VectorAssembler(inputCols=names, outputCol="features")
 
-    def fit(rows: DataFrame) -> Model:
-        table = reliable_checkpoint(assembler.transform(ml_features(rows, depth, groups, keys)).select("features", "value"))
-        return _regressor(model_type, table, seed).fit(table)
+    def fit(rows: DataFrame) -> tuple[Predictor, np.ndarray]:
+        table = reliable_checkpoint(assembler.transform(ml_features(rows, lags, groups, keys)).select("features", "value"))
+        return _fit(model_type, table, names, dict(parameters or {}), seed)
 
     train = split.filter(~F.col("is_test"))
-    tested = _roll_forward(
-        fit(train), _tail_state(train.withColumn("__end", F.col("train_periods")), keys, reach), keys, facts["test"], depth, groups
-    )
+    begin = _tail_state(train.withColumn("__end", F.col("train_periods")), keys, reach, F.max("periods").alias("periods"))
+    predictor, _ = fit(train)
+    tested = _roll_forward(predictor, begin, keys, (F.col("periods") - F.col("position")).cast("int"), lags, groups)
     actual = split.filter("is_test").select(*[ref(k) for k in keys], "position", "value")
     test = join_null_safe(tested, actual, [*keys, "position"]).withColumn("part", F.lit("test"))
-    full = fit(series)
-    future = _roll_forward(
-        full, _tail_state(series.withColumn("__end", F.col("periods")), keys, reach), keys, horizon, depth, groups
-    ).withColumn("part", F.lit("future"))
+    predictor, weights = fit(series)
+    end = _tail_state(series.withColumn("__end", F.col("periods")), keys, reach)
+    future = _roll_forward(predictor, end, keys, F.lit(horizon), lags, groups).withColumn("part", F.lit("future"))
     points = reliable_checkpoint(test.unionByName(future, allowMissingColumns=True))
     return _results(points, series, split, keys) | {
-        "importance": importance(full, names, series), "rejects": rejects,
+        "importance": importance_rows(weights.tolist(), names, series), "rejects": rejects,
     }

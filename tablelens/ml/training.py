@@ -3,30 +3,43 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
-import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablelens.functions import half_even
 from tablelens.ml.estimators import CLASSIFICATION_MODELS, REGRESSION_MODELS, estimator, target_facts
 from tablelens.ml.preparation import encode_labels, fit_preparation, normal_form, prepare_training
-from tablelens.operators.columns import ref
+from tablelens.ml.trees import Ensemble, fit_boosting, fit_forest, load_ensemble, probabilities, save_ensemble, scorer
+from tablelens.operators.columns import field_types, ref
 from tablelens.operators.metrics import classification_metrics, overfit_verdict, regression_metrics
-from tablelens.operators.neighbours import knn_predict
+from tablelens.operators.neighbours import knn_predict, nearest_neighbours, neighbour_weights
 from tablelens.operators.ordering import hash_rank
 from tablelens.operators.sampling import assign_folds, mark_test_rows
 from tablelens.session import reliable_checkpoint, small_table
 from tablelens.sources.writers import read_metadata, write_metadata
 
 
+FOREST_PARAMETERS = {"numTrees", "minInstancesPerNode", "seed"}  # of a fully grown forest; others ask for Spark's
+NEIGHBOURS = ("knn", "knn_regressor")
+NEIGHBOUR_PARAMETERS = {"n_neighbors", "broadcast_values", "block_rows"}
+BOOSTING_PARAMETERS = {"maxIter", "stepSize", "maxDepth", "minInstancesPerNode", "seed"}  # of joint boosting
+
+
 @dataclass
 class TrainedModel:
+    """A fitted preparation and model.
+
+    ``ensemble`` holds the trees of forests and joint boosting, ``memory`` the training rows ``(key, vector, label)`` of nearest
+    neighbours with their ``options``; both follow the pipeline.
+    """
+
     pipeline: PipelineModel
     features: list[str]
     target: str
@@ -34,16 +47,56 @@ class TrainedModel:
     model_type: str
     labels: list[str] = field(default_factory=list)
     trained_at: str = ""
+    ensemble: Ensemble | None = None
+    memory: DataFrame | None = None
+    options: dict[str, int] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Rows with ``prediction``; helper columns of the preparation dropped."""
         rows = normal_form(df, self.features)
         kept = {c: f"__kept_{i}" for i, c in enumerate(rows.columns) if c not in self.features}
         scored = self.pipeline.transform(rows.withColumnsRenamed(kept))
+        if self.ensemble is not None:
+            scored = self._by_trees(scored)
+        if self.memory is not None:
+            scored = self._by_neighbours(scored)
         made = [c for c in scored.columns if c in ("prediction", "probability", "rawPrediction")]
         given = [ref(c).alias(c) if c in self.features else F.col(kept[c]).alias(c) for c in rows.columns if c not in made]
         return scored.select(*given, *made)
 
+    def _by_trees(self, prepared: DataFrame) -> DataFrame:
+        scored = prepared.withColumn("__outputs", scorer(self.ensemble)(vector_to_array("features")))
+        outputs = F.col("__outputs")
+        if self.problem_type == "regression":
+            return scored.withColumn("prediction", outputs[0])
+        shares = probabilities(outputs) if self.model_type == "gradient_boosting" else outputs
+        first = (F.array_position(outputs, F.array_max(outputs)) - 1).cast("double")
+        return scored.withColumns({"probability": array_to_vector(shares), "prediction": first})
+
+
+    def _by_neighbours(self, prepared: DataFrame) -> DataFrame:
+        """Every distinct feature vector is one query; its answer goes to all rows that have it."""
+        rows = prepared.withColumn("__vector", vector_to_array("features"))
+        asked = rows.select("__vector").distinct().select(F.monotonically_increasing_id().alias("key"), F.col("__vector").alias("vector"))
+        asked = reliable_checkpoint(asked)
+        limits = {name: self.options[name] for name in ("broadcast_values", "block_rows") if name in self.options}
+        near = neighbour_weights(
+            nearest_neighbours(self.memory, asked, "vector", "key", "label", self.options.get("n_neighbors", 7), **limits)
+        )
+        if self.problem_type == "regression":
+            answer = near.groupBy("query").agg((F.sum(F.col("weight") * F.col("label")) / F.sum("weight")).alias("prediction"))
+        else:
+            votes = near.groupBy("query", F.col("label").cast("int").alias("label")).agg(F.sum("weight").alias("votes"))
+            by_class = votes.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("label", "votes"))).alias("votes"))
+            numbers = F.transform(F.sequence(F.lit(0), F.lit(len(self.labels) - 1)), lambda c: F.coalesce(F.try_element_at("votes", c), F.lit(0.0)))
+            total = F.aggregate("numbers", F.lit(0.0), lambda a, b: a + b)
+            first = (F.array_position("numbers", F.array_max("numbers")) - 1).cast("double")
+            answer = by_class.select("query", numbers.alias("numbers")).select(
+                "query", first.alias("prediction"), array_to_vector(F.transform("numbers", lambda v: v / total)).alias("probability")
+            )
+        answer = asked.join(answer, asked["key"] == answer["query"]).drop("key", "query").withColumnRenamed("vector", "__vector")
+        return rows.join(answer, "__vector")
+
 
 def fit_model(
     train: DataFrame, features: Sequence[str], target: str, problem_type: str, model_type: str, seed: int = 42,
@@ -57,13 +110,48 @@ def fit_model(
         facts.classes = max(len(labels), 2)
     needed = train.select(*[ref(c) for c in dict.fromkeys([*features, label])])
     vectors = preparation.transform(needed).select("features", label)
-    fitted = estimator(problem_type, model_type, facts, seed, parameters, featuresCol="features", labelCol=label).fit(vectors)
+    if model_type in NEIGHBOURS:
+        unknown = set(parameters or {}) - NEIGHBOUR_PARAMETERS
+        if unknown:
+            raise ValueError(f"nearest neighbours have no parameters {sorted(unknown)}")
+        memory = vectors.select(
+            F.monotonically_increasing_id().alias("key"), vector_to_array("features").alias("vector"), F.col(f"`{label}`").cast("double").alias("label")
+        )
+        return TrainedModel(
+            preparation, list(features), target, problem_type, model_type, list(labels), dt.datetime.now(dt.timezone.utc).isoformat(),
+            memory=reliable_checkpoint(memory), options=dict(parameters or {}),
+        )
+    ensemble, fitted = _fit_trees(vectors, label, problem_type, model_type, facts.classes, seed, dict(parameters or {})), []
+    if ensemble is None:
+        built = estimator(problem_type, model_type, facts, seed, parameters, featuresCol="features", labelCol=label)
+        fitted = [built.fit(vectors)]
     return TrainedModel(
-        PipelineModel([*preparation.stages, fitted]), list(features), target, problem_type, model_type, list(labels),
-        dt.datetime.now(dt.timezone.utc).isoformat(),
+        PipelineModel([*preparation.stages, *fitted]), list(features), target, problem_type, model_type, list(labels),
+        dt.datetime.now(dt.timezone.utc).isoformat(), ensemble,
     )
 
 
+def _fit_trees(
+    vectors: DataFrame, label: str, problem_type: str, model_type: str, classes: int, seed: int, parameters: dict[str, Any]
+) -> Ensemble | None:
+    """Fully grown forests and joint boosting of several classes; None for models that Spark fits."""
+    few = problem_type == "classification"
+    if model_type == "random_forest" and not set(parameters) - FOREST_PARAMETERS:
+        return fit_forest(
+            vectors, label, parameters.get("numTrees", 100), parameters.get("minInstancesPerNode", 2), classes if few else None,
+            parameters.get("seed", seed),
+        )
+    if model_type == "gradient_boosting" and few and classes > 2:
+        unknown = set(parameters) - BOOSTING_PARAMETERS
+        if unknown:
+            raise ValueError(f"parameters of boosting with several classes are {sorted(BOOSTING_PARAMETERS)}, not {sorted(unknown)}")
+        return fit_boosting(
+            vectors, classes, label, parameters.get("maxIter", 100), parameters.get("stepSize", 0.05), parameters.get("maxDepth", 3),
+            parameters.get("minInstancesPerNode", 1), parameters.get("seed", seed),
+        )
+    return None
+
+
 def knn_batch(
     train: DataFrame, test: DataFrame, features: Sequence[str], target: str, problem_type: str, key: str, k: int = 7
 ) -> DataFrame:
@@ -111,40 +199,54 @@ def cross_validate(
     return scores
 
 
+def offset_of(rows: int, feature: int, repeat: int, seed: int) -> int:
+    """How far one repeat moves a feature's values along the ranks: 1 to rows - 1, from the MD5 of seed, feature and repeat."""
+    digits = hashlib.md5(f"{seed}|{feature}|{repeat}".encode()).hexdigest()[:15]
+    return 1 + int(digits, 16) % max(rows - 1, 1)
+
+
 def permutation_importance(
     model: TrainedModel, rows: DataFrame, key: Sequence[str], repeats: int = 3, seed: int = 42
 ) -> DataFrame:
     """``(name, importance)``: mean drop of the main metric when one feature's values are exchanged.
 
-    Rows get exact pseudo-random ranks once; each repeat then moves a feature's values along
-    a random affine permutation of the ranks, so an exchange is one equi-join and no sort.
+    Rows get exact pseudo-random ranks once. A repeat moves a feature's values by an offset of its own along the
+    ranks, round the end. All moved values, narrow rows of rank, feature, repeat and value, meet the rows in one exchange, and all
+    variants are scored in one job, so the number of jobs does not depend on features or repeats.
     """
     metric = main_metric(model.problem_type)
     label = model.target if model.problem_type == "regression" else "label"
     needed = rows.select(*{c: None for c in [*key, *model.features, label]})
-    ranked = reliable_checkpoint(hash_rank(needed, key, seed, name="__rank"))
+    ranked = reliable_checkpoint(hash_rank(needed, key, seed, name="__rank").select(
+        "__rank", *[ref(c) for c in dict.fromkeys([*model.features, label])]
+    ))
     total = ranked.count()
     if not total:
         raise ValueError("permutation importance needs at least one row")
-    base = score(model, ranked.drop("__rank")).first()[metric]
-    generator = random.Random(seed)
-    records = []
-    for name in model.features:
-        variants = None
-        for repeat in range(repeats):
-            most = min(max(total, 2), 2**62 // max(total, 1))  # rank * factor stays a long
-            factor = generator.randrange(1, most)
-            while math.gcd(factor, total) != 1:
-                factor = generator.randrange(1, most)
-            shift = generator.randrange(total)
-            moved = ranked.select(
-                ((F.col("__rank") * factor + shift) % total).alias("__rank"), ref(name).alias("__moved")
-            )
-            exchanged = ranked.join(moved, "__rank").withColumn(name, F.col("__moved")).drop("__rank", "__moved")
-            exchanged = exchanged.withColumn("repeat", F.lit(repeat))
-            variants = exchanged if variants is None else variants.unionByName(exchanged)
-        scores = [row[metric] for row in score(model, variants, ["repeat"]).collect()]
-        records.append((name, base - sum(scores) / len(scores)))
+    moves = [
+        F.struct(
+            F.lit(f).alias("feature"), F.lit(k).alias("repeat"),
+            ((F.col("__rank") + offset_of(total, f, k, seed)) % total).alias("rank"), ref(name).cast("string").alias("cell"),
+        )
+        for f, name in enumerate(model.features) for k in range(repeats)
+    ]
+    moved = ranked.select(F.explode(F.array(*moves)).alias("m")).select(F.col("m.rank").alias("__rank"), F.struct("m.feature", "m.repeat", "m.cell").alias("__m"))
+    own = F.struct(F.lit(-1).alias("feature"), F.lit(0).alias("repeat"), F.lit(None).cast("string").alias("cell"))
+    # each rank takes its features x repeats moved values and one row that stays as it is
+    cells = moved.groupBy("__rank").agg(F.collect_list("__m").alias("__cells"))
+    variants = ranked.join(cells, "__rank").withColumn("__m", F.explode(F.array_append("__cells", own)))
+    types = field_types(ranked)
+    replaced = {
+        name: F.when(F.col("__m.feature") == f, F.col("__m.cell").cast(types[name])).otherwise(ref(name))
+        for f, name in enumerate(model.features)
+    }
+    variants = variants.withColumns(replaced | {"feature__": F.col("__m.feature"), "repeat__": F.col("__m.repeat")})
+    variants = variants.drop("__rank", "__cells", "__m")
+    scores = {(r["feature__"], r["repeat__"]): r[metric] for r in score(model, variants, ["feature__", "repeat__"]).collect()}
+    base = scores[-1, 0]
+    records = [
+        (name, base - sum(scores[f, k] for k in range(repeats)) / repeats) for f, name in enumerate(model.features)
+    ] if repeats else [(name, 0.0) for name in model.features]
     table = small_table(rows.sparkSession, records, "name string, importance double")
     return table.withColumn("importance", half_even(F.col("importance"), 6)).orderBy(F.desc("importance"), "name")
 
@@ -298,8 +400,16 @@ def predict_batch(model: TrainedModel, df: DataFrame, as_integer: bool = False)
 def save_model(spark: SparkSession, model: TrainedModel, location: str) -> None:
     model.pipeline.write().overwrite().save(f"{location}/pipeline")
     facts = {k: getattr(model, k) for k in ("features", "target", "problem_type", "model_type", "labels", "trained_at")}
+    facts |= {"trees": model.ensemble is not None, "rows": model.memory is not None, "options": model.options}
+    if model.memory is not None:
+        model.memory.write.mode("overwrite").parquet(f"{location}/rows")
+    if model.ensemble is not None:
+        save_ensemble(spark, model.ensemble, f"{location}/trees")
     write_metadata(spark, f"{location}/metadata", facts)
 
 
 def load_model(spark: SparkSession, location: str) -> TrainedModel:
-    return TrainedModel(PipelineModel.load(f"{location}/pipeline"), **read_metadata(spark, f"{location}/metadata"))
+    facts = read_metadata(spark, f"{location}/metadata")
+    ensemble = load_ensemble(spark, f"{location}/trees") if facts.pop("trees", False) else None
+    memory = spark.read.parquet(f"{location}/rows") if facts.pop("rows", False) else None
+    return TrainedModel(PipelineModel.load(f"{location}/pipeline"), **facts, ensemble=ensemble, memory=memory)

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablelens.operators.columns import field_types, ref
-from tablelens.operators.ordering import hash_order
 from tablelens.session import reliable_checkpoint
 
 BROADCAST_VALUES = 4_000_000  # largest training matrix sent to every task (32 MB)
 BLOCK_ROWS = 20_000  # rows of one side in one comparison block
+PIVOT_VALUES = 2_000_000  # largest matrix of pivots (16 MB)
 NEIGHBOUR = "query long, distance double, neighbour long, label {label}"
 
 
@@ -25,27 +25,46 @@ def _vectors(df: DataFrame, features: Sequence[str] | str, key: str, label: str
     return df.select(*columns, *([ref(label).alias("label")] if label else []))
 
 
-def _distances(queries: np.ndarray, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Distance rows of the queries, a few at a time to bound memory."""
-    chunk = max(1, 4_000_000 // max(points.size, 1))
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=float)
+
+
+def _chunks(queries: np.ndarray, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Squared distances by a matrix product, some queries at a time to bound memory, and how wrong a row of them may be."""
+    squares, most = (points**2).sum(axis=1), float((points**2).sum(axis=1).max())
+    unit = 8 * (points.shape[1] + 4) * np.finfo(float).eps
+    chunk = max(1, 2_000_000 // len(points))
     for start in range(0, len(queries), chunk):
-        difference = queries[start:start + chunk, None, :] - points[None, :, :]
-        yield start, np.sqrt(np.einsum("qpd,qpd->qp", difference, difference))
+        some = queries[start:start + chunk]
+        own = (some**2).sum(axis=1)
+        yield start, np.maximum(own[:, None] + squares - 2 * (some @ points.T), 0.0), unit * (own + most)
+
+
+def _exact(queries: np.ndarray, points: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows))
+    for start in range(0, len(rows), 50_000):
+        at = slice(start, start + 50_000)
+        out[at] = np.sqrt(((queries[rows[at]] - points[columns[at]]) ** 2).sum(axis=1))
+    return out
 
 
-def _nearest(query_keys, queries, keys, points, labels, k: int) -> pd.DataFrame:
+def _nearest(query_keys, queries, keys, points, labels, k: int, bounds: np.ndarray | None = None) -> pd.DataFrame:
+    """The ``k`` nearest points of each query: candidates by matrix products, chosen by exact distances, ties by key."""
     k = min(k, len(keys))
     found = []
-    for start, block in _distances(queries, points):
-        for row, distances in enumerate(block):
-            reach = np.partition(distances, k - 1)[k - 1]
-            near = np.flatnonzero(distances <= reach)
-            near = near[np.lexsort((keys[near], distances[near]))][:k]
-            found.append(pd.DataFrame({
-                "query": query_keys[start + row], "distance": distances[near],
-                "neighbour": keys[near], "label": labels[near],
-            }))
-    return pd.concat(found) if found else pd.DataFrame({"query": [], "distance": [], "neighbour": [], "label": []})
+    for start, squares, slack in _chunks(queries, points):
+        limit = np.partition(squares, k - 1, axis=1)[:, k - 1] + 2 * slack
+        if bounds is not None:
+            limit = np.minimum(limit, bounds[start:start + len(squares)] ** 2 * (1 + 1e-9) + slack)
+        rows, columns = np.nonzero(squares <= limit[:, None])
+        distance = _exact(queries[start:start + len(squares)], points, rows, columns)
+        order = np.lexsort((keys[columns], distance, rows))
+        rows, columns, distance = rows[order], columns[order], distance[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < k
+        found.append((query_keys[start + rows[kept]], distance[kept], keys[columns[kept]], labels[columns[kept]]))
+    parts = [np.concatenate(part) for part in zip(*found)] if found else [[], [], [], []]
+    return pd.DataFrame(dict(zip(("query", "distance", "neighbour", "label"), parts)))
 
 
 def nearest_neighbours(
@@ -62,8 +81,9 @@ def nearest_neighbours(
 
     Exact; equal distances go to the smaller key. A training matrix below
     ``broadcast_values`` numbers is sent to the tasks. A larger one is cut into cells around
-    pivot rows; the triangle inequality tells which cells a query can have neighbours in, and
-    only those are joined, in blocks of bounded size however full a cell is.
+    pivot rows; a query first searches the cells nearest to it, and with the k-th distance found there the
+    triangle inequality tells which others can still hold neighbours (``visited_cells`` counts them). Cells are
+    compared in blocks of bounded size however full they are.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -76,98 +96,155 @@ def nearest_neighbours(
     if size["n"] * size["d"] <= broadcast_values:
         local = points.toPandas()
         shared = train.sparkSession.sparkContext.broadcast((
-            local["key"].to_numpy(), np.array(local["vector"].tolist(), dtype=float), local["label"].to_numpy(),
+            local["key"].to_numpy(), _matrix(local["vector"]), local["label"].to_numpy(),
         ))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, matrix, labels = shared.value
             for batch in batches:
                 if len(batch):
-                    vectors = np.array(batch["vector"].tolist(), dtype=float)
-                    yield _nearest(batch["key"].to_numpy(), vectors, keys, matrix, labels, k)
+                    yield _nearest(batch["key"].to_numpy(), _matrix(batch["vector"]), keys, matrix, labels, k)
 
         return queries.mapInPandas(search, schema)
-    partial = _partitioned_search(points, queries, size["n"], k, block_rows, schema)
-    order = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return partial.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k).drop("__r")
+    return _search_cells(points, queries, size["n"], size["d"], k, block_rows, schema)[0]
+
+
+def visited_cells(
+    train: DataFrame, test: DataFrame, features: Sequence[str] | str, key: str, label: str, k: int = 7, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """``(query, cells, of)``: how many of all cells the search of a large training table visits for each test row."""
+    points, queries = _vectors(train, features, key, label), _vectors(test, features, key)
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
+    schema = NEIGHBOUR.format(label=field_types(points)["label"].simpleString())
+    return _search_cells(points, queries, size["n"], size["d"], k, block_rows, schema)[1]
+
+
+def _pivots(points: DataFrame, n: int, d: int) -> np.ndarray:
+    """About sqrt(n) rows by the hash of their key, as many as a bounded matrix holds."""
+    wanted = int(max(2, min(np.sqrt(n), PIVOT_VALUES / max(d, 1))))
+    share = min(1.0, wanted / n)
+    drawn = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
+    chosen = points.where(drawn).select("vector").toPandas()
+    if not len(chosen):
+        chosen = points.select("vector").limit(1).toPandas()
+    return np.unique(_matrix(chosen["vector"]), axis=0)
 
 
-def _partitioned_search(points: DataFrame, queries: DataFrame, n: int, k: int, block_rows: int, schema: str) -> DataFrame:
-    pivot_count = int(min(512, max(2, round(np.sqrt(n) / 4))))
-    chosen = points.select("vector").orderBy(hash_order(["key"], 7)).limit(pivot_count).toPandas()
-    pivots = np.unique(np.array(chosen["vector"].tolist(), dtype=float), axis=0)
-    shared = points.sparkSession.sparkContext.broadcast(pivots)
+def _search_cells(points: DataFrame, queries: DataFrame, n: int, d: int, k: int, block_rows: int, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Bound-first search in waves over cells around pivots.
+
+    Cells are visited in the order of the least distance they can hold, ``distance to pivot - radius``. The first
+    wave takes the nearest ones with ``k`` rows together and gives each query a true k-th distance; each further
+    wave takes four times as many of those cells whose least distance does not exceed it, until none is left. A
+    wave only reads cells that some query still asks for.
+    """
+    pivots = _pivots(points, n, d)
+    sent = points.sparkSession.sparkContext.broadcast(pivots)
 
     def to_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            vectors = np.array(batch["vector"].tolist(), dtype=float)
-            cell, reach = np.empty(len(batch), dtype=np.int32), np.empty(len(batch))
-            for start, block in _distances(vectors, shared.value):
-                nearest = block.argmin(axis=1)
-                cell[start:start + len(block)] = nearest
-                reach[start:start + len(block)] = block[np.arange(len(block)), nearest]
-            yield batch.assign(cell=cell, reach=reach)
-
-    fields = points.schema.fields
-    celled_schema = T.StructType([*fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
+            vectors = _matrix(batch["vector"])
+            cell = np.concatenate([squares.argmin(axis=1) for _, squares, _ in _chunks(vectors, sent.value)]).astype(np.int32)
+            yield batch.assign(cell=cell, reach=_exact(vectors, sent.value, np.arange(len(vectors)), cell))
+
+    celled_schema = T.StructType([
+        *points.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType()),
+    ])
     celled = reliable_checkpoint(points.mapInPandas(to_cell, celled_schema))
-    cells = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).toPandas()
-    index = cells["cell"].to_numpy()
-    counts, radii = cells["n"].to_numpy(), cells["radius"].to_numpy()
-    blocks = {int(c): int(-(-m // block_rows)) for c, m in zip(index, counts)}
+    facts = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
+    cells = facts.toPandas().sort_values("cell")
+    index, counts, radii = (cells[c].to_numpy() for c in ("cell", "n", "radius"))
+    blocks = -(-counts // block_rows)
+    map_sent = points.sparkSession.sparkContext.broadcast((pivots[index], index, counts, radii, blocks))
+    held = reliable_checkpoint(celled.join(F.broadcast(facts.select("cell", F.ceil(F.col("n") / block_rows).alias("blocks"))), "cell").select(
+        "key", "vector", "label", "cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    ))
+    queries = reliable_checkpoint(queries)
 
-    def to_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres = shared.value[index]
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors = np.array(batch["vector"].tolist(), dtype=float)
-            rows, targets = [], []
-            for start, block in _distances(vectors, centres):
-                for row, distances in enumerate(block):
-                    ceiling = distances + radii
-                    order = np.argsort(ceiling, kind="stable")
-                    enough = np.searchsorted(np.cumsum(counts[order]), k)
-                    bound = ceiling[order[min(enough, len(order) - 1)]]
-                    slack = 1e-9 * (bound + distances)  # rounding of the distances themselves
-                    possible = np.flatnonzero(distances - radii <= bound + slack)
-                    rows.append(np.full(len(possible), start + row))
-                    targets.append(index[possible])
-            picked = batch.iloc[np.concatenate(rows)]
-            yield pd.DataFrame({"key": picked["key"].to_numpy(), "vector": picked["vector"].to_numpy(),
-                                "cell": np.concatenate(targets).astype(np.int32)})
-
-    asked = reliable_checkpoint(queries.mapInPandas(to_candidates, "key long, vector array<double>, cell int"))
-    load = asked.groupBy("cell").count().collect()
-    slices = {row["cell"]: int(-(-row["count"] // block_rows)) for row in load}
-
-    def lookup(table: dict[int, int]):
-        pairs = [item for cell, count in table.items() for item in (F.lit(cell), F.lit(count))]
-        return F.coalesce(F.element_at(F.create_map(*pairs), F.col("cell")), F.lit(1))
-
-    # train rows pick a block and visit every query slice; queries pick a slice and visit every block
-    left = celled.select(
-        "key", "vector", "label", "cell", F.pmod(F.xxhash64("key"), lookup(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), lookup(slices) - 1)).alias("slice"),
-    ).withColumn("block", F.col("block").cast("int"))
-    right = asked.select(
-        "key", "vector", "cell", F.pmod(F.xxhash64("key"), lookup(slices)).cast("int").alias("slice"),
-        F.explode(F.sequence(F.lit(0), lookup(blocks) - 1)).alias("block"),
-    )
+    def ask(first: int, last: int):
+        """Rows (query, cell, block) for the cells at the places ``first`` to ``last`` after those of the first wave."""
+
+        def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres, index, counts, radii, blocks = map_sent.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                vectors, bound = _matrix(batch["vector"]), batch["bound"].to_numpy()
+                rows, targets = [], []
+                for start, squares, slack in _chunks(vectors, centres):
+                    distance = np.sqrt(squares)
+                    # a distance may be too long by the error of its square
+                    least = np.maximum(np.sqrt(np.maximum(squares - slack[:, None], 0.0)) - radii * (1 + 1e-9), 0.0)
+                    order = np.lexsort((distance, least), axis=1)
+                    begin = (np.cumsum(counts[order], axis=1) >= k).argmax(axis=1) + 1  # of the second wave
+                    begin = np.where(counts.sum() >= k, begin, len(index))
+                    place = np.empty_like(order)
+                    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(index)), order.shape), axis=1)
+                    place = place - begin[:, None]
+                    wanted = (place < 0) if last == 0 else (place >= first) & (place < last)
+                    wanted &= least <= (bound[start:start + len(squares)] * (1 + 1e-9))[:, None]
+                    row, at = np.nonzero(wanted)
+                    rows.append(start + row)
+                    targets.append(at)
+                row, at = np.concatenate(rows), np.concatenate(targets)
+                many = blocks[at]
+                block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                row, at = np.repeat(row, many), np.repeat(at, many)
+                picked = batch.iloc[row]
+                yield pd.DataFrame({
+                    "key": picked["key"].to_numpy(), "vector": picked["vector"].to_numpy(), "bound": bound[row],
+                    "cell": index[at].astype(np.int32), "block": block.astype(np.int32),
+                })
+
+        return asked
 
     def compare(train_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
         if not len(train_part) or not len(query_part):
             return pd.DataFrame({"query": [], "distance": [], "neighbour": [], "label": []})
         return _nearest(
-            query_part["key"].to_numpy(), np.array(query_part["vector"].tolist(), dtype=float),
-            train_part["key"].to_numpy(), np.array(train_part["vector"].tolist(), dtype=float),
-            train_part["label"].to_numpy(), k,
+            query_part["key"].to_numpy(), _matrix(query_part["vector"]), train_part["key"].to_numpy(), _matrix(train_part["vector"]),
+            train_part["label"].to_numpy(), k, query_part["bound"].to_numpy(),
         )
 
-    group = ["cell", "block", "slice"]
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
+    best, visits, first, last = None, None, 0, 0
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
+    while True:
+        if best is None:
+            bounded = queries.withColumn("bound", F.lit(float("inf")))
+        else:
+            reached = best.groupBy("query").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("found"))
+            bounded = queries.join(reached, queries["key"] == reached["query"], "left").select(
+                "key", "vector", F.when(F.col("found") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("bound")
+            )
+        asked = reliable_checkpoint(bounded.mapInPandas(ask(first, last), "key long, vector array<double>, bound double, cell int, block int"))
+        load = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        if load.isEmpty() and (last or best is not None):
+            break
+        seen = asked.where("block = 0").select(F.col("key").alias("query"))
+        visits = seen if visits is None else visits.unionByName(seen)
+        # both sides of a full cell are cut: rows to blocks, queries to slices that each visit every block
+        slices = load.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("slices"))
+        left = held.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        right = asked.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
+        group = ["cell", "block", "slice"]
+        left = left.select("key", "vector", "label", *group).groupBy(*group)
+        found = left.cogroup(right.select("key", "vector", "bound", *group).groupBy(*group)).applyInPandas(compare, schema)
+        found = found if best is None else best.unionByName(found)
+        best = reliable_checkpoint(found.withColumn("__r", place).where(F.col("__r") <= k).drop("__r"))
+        first, last = last, max(4 * last, 4)
+        if first >= len(index):
+            break
+    counted = visits.groupBy("query").agg(F.count(F.lit(1)).alias("cells")).withColumn("of", F.lit(len(index)))
+    return best, counted
+
+
+def neighbour_weights(near: DataFrame) -> DataFrame:
+    """Neighbours with ``weight``: inverse distance; exact matches outweigh all others."""
+    exact = F.min("distance").over(Window.partitionBy("query")) == 0
+    weight = F.when(exact, F.when(F.col("distance") == 0, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.lit(1.0), F.col("distance")))
+    return near.withColumn("weight", weight)
 
 
 def knn_predict(
@@ -176,9 +253,7 @@ def knn_predict(
 ) -> DataFrame:
     """``(query, prediction)``: neighbours weighted by inverse distance; exact matches outweigh all others."""
     near = nearest_neighbours(train, test, features, key, label, k, **limits)
-    exact = F.min("distance").over(Window.partitionBy("query")) == 0
-    weight = F.when(exact, F.when(F.col("distance") == 0, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.lit(1.0), F.col("distance")))
-    weighted = near.withColumn("weight", weight)
+    weighted = neighbour_weights(near)
     if problem_type == "regression":
         mean = F.sum(F.col("weight") * F.col("label")) / F.sum("weight")
         return weighted.groupBy("query").agg(mean.alias("prediction"))

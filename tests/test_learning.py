@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelens.ml import preparation as Pr, training as Tr
 from tablelens.operators import advisor as A, metrics as Me, sampling as Sa, scoring as Sc
-from tablelens.operators.neighbours import knn_predict, nearest_neighbours
+from tablelens.operators.neighbours import knn_predict, nearest_neighbours, visited_cells
 
 PROFILE = "position int, name string, nonNull long, nullCount long, uniqueCount long, role string"
 
@@ -182,3 +182,46 @@ def test_parameters_reach_the_model(spark):
     table = spark.range(64).select(F.col("id").cast("double").alias("x"), (F.col("id") % 8).cast("double").alias("y"))
     flat = Tr.fit_model(table, ["x"], "y", "regression", "decision_tree", parameters={"maxDepth": 1})
     assert flat.transform(table).select("prediction").distinct().count() == 2
+
+
+def test_neighbours_are_a_model(people, spark, tmp_path):
+    table = people.withColumn("group", F.when(F.col("pay") > 130, "high").when(F.col("pay") > 115, "mid").otherwise("low"))
+    result = Tr.train(table, ["age", "city"], "group", "classification", "knn", ["id"], cv_folds=2, importance_repeats=1, parameters={"n_neighbors": 5})
+    row = result.metrics.first()
+    assert row.test_score > 0.7 and row.train_score > 0.95 and len(result.cv_scores) == 2
+    assert [r.name for r in result.importance.collect()][0] == "age"
+    Tr.save_model(spark, result.model, str(tmp_path / "m"))
+    loaded = Tr.load_model(spark, str(tmp_path / "m"))
+    assert loaded.options == {"n_neighbors": 5}
+    scored = Tr.predict_batch(loaded, people.unionByName(people.limit(3)))
+    assert scored.count() == 303 and scored.columns == [*people.columns, "prediction", "prediction_label", "probabilities", "confidence", "top_class"]
+    assert all(abs(sum(r.probabilities.values()) - 1) < 1e-5 and r.top_class == r.prediction_label for r in scored.collect())
+    table, best = Tr.compare_models(people, ["age", "city"], "pay", "regression", ["knn_regressor", "ridge_regression"], ["id"], cv_folds=0, importance_repeats=0)
+    scores = {r.model_type: r.test_score for r in table.collect()}
+    assert scores["knn_regressor"] > 0.4 and best.model.model_type == "ridge_regression"
+    with pytest.raises(ValueError, match="no parameters"):
+        Tr.fit_model(people, ["age"], "pay", "regression", "knn_regressor", parameters={"depth": 3})
+
+
+def test_few_cells_are_visited_on_clustered_rows(spark):
+    generator = np.random.default_rng(9)
+    centres = generator.normal(size=(40, 8)) * 100
+    points = np.repeat(centres, 100, axis=0) + generator.normal(size=(4000, 8))
+    queries = centres[:20] + generator.normal(size=(20, 8))
+    train = spark.createDataFrame([(i, p.tolist(), i % 3) for i, p in enumerate(points)], "k long, f array<double>, y int")
+    test = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "k long, f array<double>")
+    found = {(r["query"], r.neighbour) for r in nearest_neighbours(train, test, "f", "k", "y", broadcast_values=0).collect()}
+    expected = {(i, int(j)) for i, q in enumerate(queries) for j in np.argsort(((points - q) ** 2).sum(axis=1))[:7]}
+    assert found == expected
+    visits = visited_cells(train, test, "f", "k", "y").collect()
+    assert len(visits) == 20 and visits[0]["of"] > 30
+    assert sum(r.cells for r in visits) / 20 < visits[0]["of"] / 4
+
+
+def test_neighbours_of_few_rows_and_no_queries(spark):
+    train = spark.createDataFrame([(1, [0.0], 1), (2, [0.0], 2), (3, [5.0], 3)], "k long, f array<double>, y int")
+    test = spark.createDataFrame([(9, [1.0])], "k long, f array<double>")
+    for limits in ({}, {"broadcast_values": 0}):
+        rows = nearest_neighbours(train, test, "f", "k", "y", 5, **limits).orderBy("distance", "neighbour").collect()
+        assert [(r.distance, r.neighbour) for r in rows] == [(1.0, 1), (1.0, 2), (4.0, 3)]
+        assert nearest_neighbours(train, test.limit(0), "f", "k", "y", **limits).count() == 0

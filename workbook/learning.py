@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tablelens.ml import forecasting as Mf, preparation as Pr, training as Tr
 from tablelens.operators import metrics as Me, sampling as Sa, scoring as Sc, series as Se
 from tablelens.operators.neighbours import knn_predict
+from tablelens.session import small_table
 from workbook import query, scratch
 from workbook.fixtures import DIRTY_SQL, dirty_orders, union_all
-from workbook.series import KEYS, daily
+from workbook.series import DAILY, KEYS, SPLIT, daily
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 REG_FEATURES = ["l_quantity", "l_discount", "p_size", "p_retailprice", "p_brand"]
@@ -181,6 +182,26 @@ _register_classes("random_forest", NOISY_SQL)
 _register_classes("gradient_boosting", TWO_SQL)
 
 
+@query(
+    "estimator_gradient_boosting_classes",
+    "WITH c AS (SELECT substr(o_orderpriority, 1, 1)::DOUBLE AS priority, CASE WHEN o_orderkey % 5 < 4 THEN o_orderpriority ELSE '1-URGENT' END AS class FROM orders), "
+    "s AS (SELECT priority, class, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY priority) AS share FROM c GROUP BY 1, 2) "
+    "SELECT priority, class AS prediction, true AS near, true AS whole FROM s QUALIFY row_number() OVER (PARTITION BY priority ORDER BY share DESC) = 1",
+)
+def _(tables):
+    """Joint boosting of five classes: with one value per group the probabilities come near the shares of the group and sum to one."""
+    rows = tables.orders.selectExpr("cast(substr(o_orderpriority, 1, 1) AS double) AS priority", f"{NOISY_SQL} AS class")
+    shares = rows.groupBy("priority", "class").count()
+    shares = shares.join(rows.groupBy("priority").agg(F.count("*").alias("all")), "priority").selectExpr("priority", "class", "count / all AS share")
+    encoded, labels = Pr.encode_labels(rows, "class")
+    model = Tr.fit_model(encoded, ["priority"], "class", "classification", "gradient_boosting", labels=labels)
+    scored = Tr.predict_batch(model, rows.select("priority").distinct())
+    own = scored.join(shares, (scored["prediction_label"] == shares["class"]) & (scored["priority"] == shares["priority"]))
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, b: a + b)
+    near = (F.abs(F.col("confidence") - F.col("share")) < 0.02) & (F.col("top_class") == F.col("prediction_label"))
+    return own.select(scored["priority"], F.col("prediction_label").alias("prediction"), near.alias("near"), (F.abs(total - 1) < 1e-5).alias("whole"))
+
+
 @query("estimator_svm_classification", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'other' END AS prediction FROM orders")
 def _(tables):
     """Two classes with a wide gap between them."""
@@ -247,6 +268,17 @@ def _(tables):
     return knn_predict(train, test, "embedding", "vec_id", "label")
 
 
+@query(
+    "knn_classification_by_cells",
+    f"WITH {_NEAREST}, w AS (SELECT query, label, sum(1 / d) AS votes FROM k GROUP BY ALL) "
+    "SELECT query, label AS prediction FROM w QUALIFY row_number() OVER (PARTITION BY query ORDER BY votes DESC, label) = 1",
+)
+def _(tables):
+    """The search for training tables that do not fit a task."""
+    train, test = Sa.train_test_split(tables.embeddings, 0.2, ["vec_id"])
+    return knn_predict(train, test, "embedding", "vec_id", "label", broadcast_values=0)
+
+
 @query("knn_regression", f"WITH {_NEAREST} SELECT query, round(sum(label / d) / sum(1 / d), 6) AS prediction FROM k GROUP BY query")
 def _(tables):
     train, test = Sa.train_test_split(tables.embeddings, 0.2, ["vec_id"])
@@ -325,10 +357,30 @@ _FOLDED = (
 def _(tables):
     rows = Pr.prepare_training(tables.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "regression")
     scores = Tr.cross_validate(rows, ["o_custkey"], "o_totalprice", "regression", "ridge_regression", ["o_orderkey"], 3)
-    return tables.orders.limit(1).select(F.posexplode(F.array(*[F.lit(round(s, 4)) for s in scores])).alias("fold", "r2"))
+    return small_table(tables.spark, [(i, round(s, 4)) for i, s in enumerate(scores)], "fold int, r2 double")
+
+
+_MOVED = ("(SELECT ('0x' || substr(md5('42|0|' || k), 1, 15))::BIGINT % greatest((SELECT count(*) FROM t) - 1, 1) + 1 AS shift, k FROM range(3) r(k))")
 
 
-@query("permutation_importance")
+@query(
+    "permutation_importance",
+    "WITH t AS (SELECT l_orderkey, sum(l_quantity)::DOUBLE AS quantity, sum(l_extendedprice)::DOUBLE AS price FROM lineitem GROUP BY 1), "
+    f"k AS (SELECT *, row_number() OVER (ORDER BY {_order('l_orderkey', 42)}, l_orderkey) - 1 AS rank, count(*) OVER () AS n FROM t), "
+    "m AS (SELECT avg(quantity) AS xbar, stddev_pop(quantity) AS xsd, avg(price) AS ybar, var_pop(price) * count(*) AS sst FROM t), "
+    "w AS (SELECT sum((quantity - xbar) / xsd * (price - ybar)) / (count(*) + 1) AS w FROM t, m), "
+    f"v AS (SELECT a.rank, a.price, b.quantity, o.k FROM k a, {_MOVED} o, k b WHERE b.rank = (a.rank - o.shift + a.n) % a.n UNION ALL SELECT rank, price, quantity, -1 FROM k), "
+    "s AS (SELECT k, 1 - sum(power(price - ybar - w * (quantity - xbar) / xsd, 2)) / any_value(sst) AS r2 FROM v, m, w GROUP BY 1) "
+    "SELECT 'quantity' AS name, round((SELECT r2 FROM s WHERE k = -1) - avg(r2), 5) AS importance FROM s WHERE k >= 0",
+)
+def _(tables):
+    """The drop of R2 of a line when the moved quantities take the place of the own ones."""
+    rows = tables.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").cast("double").alias("quantity"), F.sum("l_extendedprice").cast("double").alias("price"))
+    model = Tr.fit_model(rows, ["quantity"], "price", "regression", "ridge_regression")
+    return Tr.permutation_importance(model, rows, ["l_orderkey"]).withColumn("importance", F.round("importance", 5))
+
+
+@query("permutation_importance_features")
 def _(tables):
     rows = reg_table(tables)
     model = Tr.fit_model(rows, ["l_quantity", "p_retailprice", "p_brand"], "l_extendedprice", "regression", "ridge_regression")
@@ -448,21 +500,75 @@ def _(tables):
     return points.select("step", F.round("prediction", 1).alias("predicted"))
 
 
-@query("regression_forecast_panel")
+_AHEAD = "(SELECT event_type, periods, max(period) AS last FROM t GROUP BY ALL), range(1, 7) r(i)"
+
+
+@query(
+    "regression_forecast_panel",
+    f"WITH {DAILY}, {SPLIT}, a AS (SELECT event_type, avg(value) AS level FROM t GROUP BY 1) "
+    "SELECT event_type, 'test' AS part, position::INT AS position, round(level + 2 * position, 1) AS predicted FROM t JOIN a USING (event_type) WHERE position > train_periods "
+    f"UNION ALL SELECT event_type, 'future', (periods + i)::INT, round(level + 2 * (periods + i), 1) FROM (SELECT * FROM {_AHEAD}) JOIN a USING (event_type)",
+)
+def _(tables):
+    """Daily values of each type laid on a line of its own; least squares must continue every line."""
+    series = daily(tables)
+    levels = series.groupBy("event_type").agg(F.avg("value").alias("level"))
+    lines = series.join(levels, "event_type").withColumn("value", F.col("level") + 2 * F.col("position")).select(*series.columns)
+    points = Mf.regression_forecast(lines, 6, keys=KEYS)["points"]
+    return points.select("event_type", "part", "position", F.round("prediction", 1).alias("predicted"))
+
+
+def _trend_sql(wanted: str) -> str:
+    """The pooled ridge line over positions after the three lags, for the backtest and for the future."""
+    return (
+        f"WITH {DAILY}, {SPLIT}, r AS (SELECT 'test' AS part, position, value FROM t WHERE position > 3 AND position <= train_periods UNION ALL SELECT 'future', position, value FROM t WHERE position > 3), "
+        "m AS (SELECT part, avg(position) AS xbar, avg(value) AS ybar FROM r GROUP BY 1), "
+        "w AS (SELECT part, any_value(xbar) AS xbar, any_value(ybar) AS ybar, sum((position - xbar) * (value - ybar)) / (sum(power(position - xbar, 2)) + 1) AS w FROM r JOIN m USING (part) GROUP BY 1) "
+        + wanted
+    )
+
+
+@query(
+    "ml_forecast_ridge_regression",
+    _trend_sql(
+        "SELECT event_type, part, position::INT AS position, round(greatest(ybar + w * (position - xbar), 0), 4) AS predicted FROM t, w WHERE part = 'test' AND position > train_periods "
+        f"UNION ALL SELECT event_type, part, (periods + i)::INT, round(greatest(ybar + w * (periods + i - xbar), 0), 4) FROM {_AHEAD}, w WHERE part = 'future'"
+    ),
+)
 def _(tables):
-    return Mf.regression_forecast(daily(tables), 6, keys=KEYS)["points"]
+    """One line through the days of all types."""
+    points = Mf.ml_forecast(daily(tables), 6, groups=["trend"], model_type="ridge_regression", keys=KEYS)["points"]
+    return points.select("event_type", "part", "position", F.round("prediction", 4).alias("predicted"))
 
 
-def _register_forecast(model_type: str) -> None:
-    @query(f"ml_forecast_{model_type}")
+def _register_forecast(model_type: str, kept: str) -> None:
+    """``kept``: the share of a day's distance to the mean that the model does not learn."""
+
+    @query(
+        f"ml_forecast_{model_type}",
+        f"WITH {DAILY}, {SPLIT}, a AS (SELECT isodow(period) > 5 AS rest, avg(value) AS level FROM t GROUP BY 1), "
+        "v AS (SELECT t.*, level FROM t JOIN a ON rest = (isodow(period) > 5)), "
+        "b AS (SELECT avg(CASE WHEN position > 3 AND position <= train_periods THEN level END) AS early, avg(CASE WHEN position > 3 THEN level END) AS whole FROM v) "
+        f"SELECT event_type, 'test' AS part, position::INT AS position, round(level + (early - level) * {kept}, 3) AS predicted FROM v, b WHERE position > train_periods "
+        f"UNION ALL SELECT event_type, 'future', (periods + i)::INT, round(level + (whole - level) * {kept}, 3) FROM {_AHEAD}, a, b WHERE rest = (isodow(last + INTERVAL 1 DAY * i) > 5)",
+    )
+    def _(tables):
+        """Values that depend on the weekend alone; trees over the calendar must find that split."""
+        series = daily(tables).withColumn("rest", F.weekday("period") > 4)
+        levels = series.groupBy("rest").agg(F.avg("value").alias("level"))
+        steps = series.join(levels, "rest").withColumn("value", F.col("level")).drop("rest", "level")
+        points = Mf.ml_forecast(steps, 6, groups=["calendar"], model_type=model_type, keys=KEYS)["points"]
+        return points.select("event_type", "part", "position", F.round("prediction", 3).alias("predicted"))
+
+    @query(f"ml_forecast_{model_type}_all_features")
     def _(tables):
         return Mf.ml_forecast(daily(tables), 6, model_type=model_type, keys=KEYS)["points"]
 
 
-for _model in Mf.FORECAST_MODELS:
-    _register_forecast(_model)
+_register_forecast("gradient_boosting", "power(0.95, 140)")
+_register_forecast("random_forest", "0")
 
 
-@query("forecast_importance")
+@query("forecast_importance", _trend_sql("SELECT 'trend_index' AS name, round_even(abs(w), 4) AS importance FROM w WHERE part = 'future'"))
 def _(tables):
-    return Mf.ml_forecast(daily(tables), 1, model_type="ridge_regression", keys=KEYS)["importance"]
+    return Mf.ml_forecast(daily(tables), 1, groups=["trend"], model_type="ridge_regression", keys=KEYS)["importance"]
