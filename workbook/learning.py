@@ -505,17 +505,20 @@ _AHEAD = "(SELECT event_type, periods, max(period) AS last FROM t GROUP BY ALL),
 
 @query(
     "regression_forecast_panel",
-    f"WITH {DAILY}, {SPLIT}, a AS (SELECT event_type, avg(value) AS level FROM t GROUP BY 1) "
-    "SELECT event_type, 'test' AS part, position::INT AS position, round(level + 2 * position, 1) AS predicted FROM t JOIN a USING (event_type) WHERE position > train_periods "
-    f"UNION ALL SELECT event_type, 'future', (periods + i)::INT, round(level + 2 * (periods + i), 1) FROM (SELECT * FROM {_AHEAD}) JOIN a USING (event_type)",
+    "WITH p AS (SELECT o_orderpriority, min(date_trunc('month', o_orderdate)) AS a, max(date_trunc('month', o_orderdate)) AS b, avg(o_totalprice) / 1000 AS level FROM orders GROUP BY 1), "
+    "g AS (SELECT o_orderpriority, level, unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS period FROM p), "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY period) AS position, count(*) OVER (PARTITION BY o_orderpriority) AS periods FROM g), "
+    f"{SPLIT} SELECT o_orderpriority, 'test' AS part, position::INT AS position, round(level + 3 * position, 1) AS predicted FROM t WHERE position > train_periods "
+    "UNION ALL SELECT o_orderpriority, 'future', (periods + i)::INT, round(level + 3 * (periods + i), 1) FROM (SELECT DISTINCT o_orderpriority, level, periods FROM t), range(1, 7) r(i)",
 )
 def _(tables):
-    """Daily values of each type laid on a line of its own; least squares must continue every line."""
-    series = daily(tables)
-    levels = series.groupBy("event_type").agg(F.avg("value").alias("level"))
-    lines = series.join(levels, "event_type").withColumn("value", F.col("level") + 2 * F.col("position")).select(*series.columns)
-    points = Mf.regression_forecast(lines, 6, keys=KEYS)["points"]
-    return points.select("event_type", "part", "position", F.round("prediction", 1).alias("predicted"))
+    """Monthly values of each priority laid on a line of its own; least squares must continue every line."""
+    keys = ["o_orderpriority"]
+    series = Se.prepare_series(tables.orders, "o_orderdate", "o_totalprice", keys, freq="month")[0]
+    levels = tables.orders.groupBy(*keys).agg((F.avg("o_totalprice") / 1000).alias("level"))
+    lines = series.join(levels, keys).withColumn("value", F.col("level") + 3 * F.col("position")).select(*series.columns)
+    points = Mf.regression_forecast(lines, 6, keys=keys)["points"]
+    return points.select(*keys, "part", "position", F.round("prediction", 1).alias("predicted"))
 
 
 def _trend_sql(wanted: str) -> str:
