@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,8 @@ from tablelens.llm.common import in_pieces, pin_batches, written
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 1
-REMEMBERED = 400_000  # words whose ids a task keeps before it starts anew
+REMEMBERED = 300_000  # parts of words in one generation of a worker's memory; there are two
+PIECE_BYTES = 4_000_000  # of text that is encoded at once
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, share int, worker int, bin long, "
     "slot int, offset long"
@@ -41,8 +41,8 @@ def _tokenizer(path: str):
 # How the tokenizer normalises and cuts; words of these characters can be cut here
 NORMALISES = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]*")  # no apostrophes, no <, no character that NFC or lower case would lengthen
-_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = "^[!-&(-;=-~À-ÖØ-öø-ÿ]*$"  # no apostrophes, no <, no character that NFC or lower case would lengthen
+_PARTS = "([a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,11 +53,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts from the ids of their words.
+    """Ids of texts from the ids of the parts of their words.
 
     The tokenizer drops white space and never merges over it, so the ids of a text are those
-    of its runs without blanks, tabs and line ends, in order; each distinct run is encoded once. With the
-    rules above, a run of plain characters is its lower-case letter, digit and other parts, in order.
+    of its runs without blanks, tabs and line ends, in order; each distinct run of a piece of text is looked at once. With the
+    rules above, a run of plain characters is its lower-case letter, digit and other parts, in order: those are cut by Arrow,
+    and only parts that the worker does not remember are encoded. Other runs are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -67,55 +68,72 @@ class Encoder:
         self.cuts = (rules.get("normalizer") or {}).get("normalizers") == NORMALISES and [
             before[0].get("pattern"), *[one.get("type") for one in before[1:]]
         ] == [{"Regex": CUTS}, "ByteLevel"]
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
-
-    def _add(self, word: str, ids: list[int]) -> None:
-        self.place[word] = len(self.ends) - 1
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-
-    def _learn(self, new: list[str]) -> None:
-        rest, parts, model, letters = [], self.parts, self.whole.model, self.letters
-        for word in new:
-            if not self.cuts or not _PLAIN.fullmatch(word):
-                rest.append(word)
-                continue
-            ids: list[int] = []
-            for part in _PARTS.findall(word.lower()):
-                known = parts.get(part)
-                if known is None:
-                    known = [one.id for one in model.tokenize("".join([letters[byte] for byte in part.encode()]))]
-                    parts[part] = known
-                ids += known
-            self._add(word, ids)
-        for word, one in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            self._add(word, one.ids)
+        self.recent: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+
+    def _part_ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part. Two generations are kept: parts not met while a new one fills are forgotten, never all at once."""
+        recent, older, model, letters = self.recent, self.older, self.whole.model, self.letters
+        out = []
+        for part in parts:
+            ids = recent.get(part)
+            if ids is None:
+                ids = older.get(part)
+                if ids is None:
+                    ids = [one.id for one in model.tokenize("".join([letters[byte] for byte in part.encode()]))]
+                recent[part] = ids
+            out.append(ids)
+        if len(recent) > REMEMBERED:
+            self.recent, self.older = {}, recent
+        return out
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after the other, and where each word's begin and end."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False) if self.cuts else np.zeros(len(words), bool)
+        lengths = np.zeros(len(words), np.int64)
+        marked = pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), _PARTS, "\\1\x01")
+        lists = pc.split_pattern(marked, "\x01")
+        coded = lists.flatten().dictionary_encode()
+        found = self._part_ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        code = coded.indices.to_numpy()
+        own = _gather(flat, (np.cumsum(sizes) - sizes)[code], sizes[code])
+        ends = np.concatenate([[0], np.cumsum(sizes[code])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        lengths[plain] = np.diff(ends)
+        rest = [one.ids for one in self.whole.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        lengths[~plain] = list(map(len, rest))
+        ids = np.zeros(int(lengths.sum()), np.uint32)
+        of_plain = np.repeat(plain, lengths)
+        ids[of_plain] = own
+        ids[~of_plain] = np.fromiter(chain.from_iterable(rest), np.uint32, len(ids) - len(own))
+        return ids, np.concatenate([[0], np.cumsum(lengths)])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         spaced = pc.replace_substring_regex(texts.cast(pa.large_string()), "[ \t\r\n]+", " ")
         lists = pc.split_pattern(spaced, " ")
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.place) + len(distinct) > REMEMBERED:
-            self.forget()
-        self._learn([word for word in distinct if word not in self.place])
-        known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
-        bounds = np.array(self.ends)
-        code = known[coded.indices.to_numpy()]
-        begins, lengths = bounds[code], bounds[code + 1] - bounds[code]
-        ends = np.cumsum(lengths)
-        source = np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        ids = np.array(self.ids, np.uint32)[source]
-        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        known, bounds = self._word_ids(coded.dictionary)
+        code = coded.indices.to_numpy()
+        lengths = np.diff(bounds)[code]
+        ids = _gather(known, bounds[:-1][code], lengths)
+        cuts = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder per Python worker: what it remembers serves all its tasks."""
+    return Encoder(path)
+
+
 def cut(tokens: int, capacity: int = CAPACITY, slack: float = 0.02) -> list[int]:
     """Lengths of the pieces of a document: whole sequences, then pieces that nearly fill a 1/k share.
 
@@ -138,7 +156,7 @@ def _fill(path: str, capacity: int, slack: float, with_ids: bool):
     """Tokenise, cut and fill the bins of each class inside one task."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, worker = Encoder(path), TaskContext.get().partitionId()
+        encoder, worker = _encoder(path), TaskContext.get().partitionId()
         waiting: dict[int, list[tuple]] = {}
         bins = 0
         done: list[tuple] = []
@@ -153,7 +171,7 @@ def _fill(path: str, capacity: int, slack: float, with_ids: bool):
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            for first, texts in in_pieces(batch.column(1)):
+            for first, texts in in_pieces(batch.column(1), PIECE_BYTES):
                 docs = batch.column(0).slice(first, len(texts)).to_pylist()
                 for doc_id, ids in zip(docs, encoder.encode(texts)):
                     ids = np.append(ids, np.uint32(END_ID))
