@@ -168,14 +168,16 @@ def to_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({name: safe_numeric(ref(name), types[name]) for name in columns})
 
 
-def finite_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Only the named numeric columns, as doubles without NaN and infinities."""
+def finite_values(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The named numeric columns as doubles, null instead of NaN and infinities."""
     types = field_types(df)
     floating = (T.DoubleType, T.FloatType)
-    return df.select(*[
-        (finite(ref(name)) if isinstance(types[name], floating) else ref(name).cast("double")).alias(name)
-        for name in columns
-    ])
+    return [finite(ref(name)) if isinstance(types[name], floating) else ref(name).cast("double") for name in columns]
+
+
+def finite_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Only the named numeric columns, as doubles without NaN and infinities."""
+    return df.select(*[value.alias(name) for name, value in zip(columns, finite_values(df, columns))])
 
 
 def json_safe(df: DataFrame) -> DataFrame:
