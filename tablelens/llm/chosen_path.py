@@ -20,9 +20,9 @@ BLOCK = 512  # larger ones that cannot be split are compared in blocks of about
 DEPTH = 4
 MARGIN = 0.45  # by which a sample's estimate may fall below the threshold
 COLUMNS = 2048  # shingles of a bucket that are multiplied at once
-_LINK = {"node": pa.binary(), "root": pa.binary(), "links": pa.int64()}
+_LINK = {"node": pa.int64(), "root": pa.int64(), "links": pa.int64()}
 _AT = pa.list_(pa.struct([("leaf", pa.int64()), ("members", pa.int64())]))
-_SET = {"node": pa.binary(), "copies": pa.int64(), "at": _AT, "shingles": pa.binary()}
+_SET = {"node": pa.int64(), "copies": pa.int64(), "at": _AT, "shingles": pa.binary()}
 
 
 def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(width: int, seed: int, sample: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("sample", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("size", pa.int64()), ("sample", pa.list_(pa.int64()))])
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +117,7 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(rows: dict[bytes, tuple], leaf: int, within: bool, threshold: float) -> list[tuple]:
+def compare(rows: dict[int, tuple], leaf: int, within: bool, threshold: float) -> list[tuple]:
     """(member, root, links) of one bucket's members with links; rows: node -> (block, copies, leaves, set).
 
     A pair that a bucket with a smaller number also holds is linked here, but counted there.
@@ -168,7 +168,7 @@ def _brute_force(threshold: float):
     return brute_force
 
 
-_PLACE = {"leaf": pa.int64(), "node": pa.binary(), "members": pa.int64()}
+_PLACE = {"leaf": pa.int64(), "node": pa.int64(), "members": pa.int64()}
 
 
 def _sketch_filter(threshold: float):
@@ -239,39 +239,39 @@ def _leaves(classes: DataFrame, threshold: float, recall: float, sample: int) ->
             squares = sizes.groupBy("parent").agg(F.sum(F.col("members") * F.col("members")).alias("squares"))
             before = large.select("node", F.col("path").alias("parent"), *same)
             dense = (
-                before.select("parent", *same).distinct().join(squares, "parent")
+                before.select("parent", *same).distinct().join(squares.hint("merge"), "parent")
                 .where(F.col("squares") >= 0.5 * BRANCHES * F.col("members") * F.col("members")).select("parent", *same)
             )
             dense = written(dense, "dense")
             one = dense.groupBy(*same).agg(F.min("parent").alias("parent"))
             done = done.unionByName(one.select(*same))
             found = found.unionByName(
-                before.join(one.select("parent"), "parent").select(F.col("parent").alias("leaf"), "node", "members")
+                before.join(one.select("parent").hint("merge"), "parent").select(F.col("parent").alias("leaf"), "node", "members")
             )
-            sizes = sizes.join(dense.select("parent"), "parent", "left_anti")
+            sizes = sizes.join(dense.select("parent").hint("merge"), "parent", "left_anti")
         # buckets with the same members are compared once, but split each on its own: runs stay independent
         last = level == DEPTH
         sizes = written(sizes.select("path", *same), "buckets")
         once = sizes.groupBy(*same).agg(F.min("path").alias("path"), F.count("*").alias("times"))
         if done is not None:
-            once = once.join(done, same, "left_anti")
+            once = once.join(done.hint("merge"), same, "left_anti")
         if not last:
             # members that meet again and again over tokens and runs are compared as they are
             once = once.where((F.col("members") <= SMALL) | (F.col("times") >= runs * (0.5 * BRANCHES) ** level))
         once = written(once.select("path", *same), "once")
         here = moved.select("node", "path").distinct() if level > 1 else moved.select("node", "path")
-        leaf = here.join(once.select("path", "members"), "path").select(F.col("path").alias("leaf"), "node", "members")
+        leaf = here.join(once.select("path", "members").hint("merge"), "path").select(F.col("path").alias("leaf"), "node", "members")
         found = leaf if found is None else found.unionByName(leaf)
         settled = once.where(F.col("members") > SMALL).select(*same)
         done = settled if done is None else done.unionByName(settled)
-        more = sizes.where(F.col("members") > SMALL).join(done, same, "left_anti")
+        more = sizes.where(F.col("members") > SMALL).join(done.hint("merge"), same, "left_anti")
         if last or not more.limit(1).count():
             break
-        large = written(here.join(more, "path"), "large")
-        members = large.select("node", "path").join(sets, "node")
+        large = written(here.join(more.hint("merge"), "path"), "large")
+        members = large.select("node", "path").hint("merge").join(sets, "node")
     found = written(found.distinct(), "found")
     lists = found.groupBy("node").agg(F.collect_list("leaf").alias("leaves"))
-    small = found.where(F.col("members") <= SMALL).join(sets.join(lists, "node"), "node")
+    small = found.where(F.col("members") <= SMALL).join(sets.join(lists.hint("merge"), "node"), "node")
     small = small.select("leaf", "node", "members", "size", "sample", "leaves")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = small.repartition(parts, "leaf").sortWithinPartitions("leaf")
@@ -333,19 +333,20 @@ def similarity_classes(
     docs = df.select(
         F.col(f"`{id_column}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("node", F.unhex(F.md5("text")))
+    ).withColumn("key", F.unhex(F.md5("text")))
     sampled, schema = _sampled(width, seed, sample)
-    rows = written(docs.select("doc_id", "node", "text").mapInArrow(sampled, schema), "samples")
-    classes = rows.groupBy("node").agg(
+    rows = written(docs.select("doc_id", "key", "text").mapInArrow(sampled, schema), "samples")
+    classes = rows.groupBy("key").agg(
         F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sample").alias("sample")
     )
-    classes = written(classes, "classes")
+    # a number for each text, fixed by writing it: all that follows carries 8 bytes instead of the digest
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     worded = classes.where("size > 0")
     leaves = _leaves(worded, threshold, recall, sample)
     of_node = leaves.groupBy("node").agg(F.collect_list(F.struct("leaf", "members")).alias("at"))
-    wanted = of_node.join(worded.select("node", "copy_of", "copies"), "node")
-    texts = docs.join(wanted, (docs["node"] == wanted["node"]) & docs["doc_id"].eqNullSafe(wanted["copy_of"])).select(
-        docs["node"], "copies", "at", "text"
+    wanted = of_node.hint("merge").join(worded.select("node", "key", "copy_of", "copies"), "node")
+    texts = docs.join(wanted.hint("merge"), (docs["key"] == wanted["key"]) & docs["doc_id"].eqNullSafe(wanted["copy_of"])).select(
+        wanted["node"], "copies", "at", "text"
     )
     sets = texts.mapInArrow(_sets(width), from_arrow_schema(pa.schema(_SET.items())))
     sets = sets.withColumn("place", F.explode("at")).select(
@@ -364,13 +365,13 @@ def similarity_classes(
     found = written(dealt.mapInArrow(_brute_force(threshold), from_arrow_schema(pa.schema(_LINK.items()))), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("linked"))
     roots = _components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    roots = classes.select("node", "copy_of", "copies").join(roots, "node", "left")
+    roots = classes.select("node", "key", "copy_of", "copies").join(roots, "node", "left")
     roots = roots.withColumn("root", F.coalesce("root", "node"))
-    best = F.struct(F.col("copy_of").isNull(), "copy_of", "node")
-    named = roots.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min_by("node", best).alias("class_node"))
+    best = F.struct(F.col("copy_of").isNull(), "copy_of", "key")
+    named = roots.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min_by("key", best).alias("class_node"))
     nodes = roots.join(named, "root").join(links, "node", "left")
-    joined = rows.select("doc_id", "node", "size").join(
-        nodes.select("node", "copy_of", "copies", "class_id", "class_node", "linked"), "node"
+    joined = rows.select("doc_id", "key", "size").join(
+        nodes.select("key", "copy_of", "copies", "class_id", "class_node", "linked"), "key"
     )
     worded_row = F.col("size") > 0
     return joined.select(
@@ -378,8 +379,8 @@ def similarity_classes(
         F.when(worded_row, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         "copy_of",
         F.when(worded_row, F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).alias("links"),
-        F.lower(F.hex("node")).alias("text_key"),
-        F.lower(F.hex(F.when(worded_row, F.col("class_node")).otherwise(F.col("node")))).alias("class_key"),
+        F.lower(F.hex("key")).alias("text_key"),
+        F.lower(F.hex(F.when(worded_row, F.col("class_node")).otherwise(F.col("key")))).alias("class_key"),
     )
 
 

@@ -86,7 +86,7 @@ def test_equal_buckets_are_split_each_on_its_own(frame, monkeypatch):
 
 def test_the_sample_filter_passes_unlucky_samples():
     common, a, b = range(22), range(100, 120), range(200, 213)  # an estimate of 0.45 for sets of 1000 and 820 elements
-    rows = [(7, node, 2, size, [*common, *own], [7]) for node, size, own in ((b"a", 1000, a), (b"b", 820, b))]
+    rows = [(7, node, 2, size, [*common, *own], [7]) for node, size, own in ((1, 1000, a), (2, 820, b))]
     names = ["leaf", "node", "members", "size", "sample", "leaves"]
     batch = C.pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows])
     assert sum(out.num_rows for out in C._sketch_filter(0.8)(iter([batch]))) == 2
