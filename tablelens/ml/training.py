@@ -6,9 +6,11 @@ import datetime as dt
 import hashlib
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,6 +28,7 @@ from tablelens.session import reliable_checkpoint, small_table
 from tablelens.sources.writers import read_metadata, write_metadata
 
 
+PARALLEL_FOLDS = 4  # folds that are fitted at the same time
 FOREST_PARAMETERS = {"numTrees", "minInstancesPerNode", "seed"}  # of a fully grown forest; others ask for Spark's
 NEIGHBOURS = ("knn", "knn_regressor")
 NEIGHBOUR_PARAMETERS = {"n_neighbors", "broadcast_values", "block_rows"}
@@ -191,12 +194,14 @@ def cross_validate(
         smallest = rows.groupBy("label").count().agg(F.min("count")).first()[0]
         folds = max(2, min(folds, smallest))
     folded = reliable_checkpoint(assign_folds(rows, folds, key, label, seed))
-    scores = []
-    for fold in range(folds):
+
+    def held_out(fold: int) -> float:
         model = fit_model(folded.filter(F.col("fold") != fold), features, target, problem_type, model_type, seed, labels, parameters)
-        held_out = score(model, folded.filter(F.col("fold") == fold)).first()
-        scores.append(held_out[main_metric(problem_type)])
-    return scores
+        return score(model, folded.filter(F.col("fold") == fold)).first()[main_metric(problem_type)]
+
+    # folds are independent: their jobs share the cluster instead of waiting for each other
+    with ThreadPoolExecutor(min(folds, PARALLEL_FOLDS)) as pool:
+        return list(pool.map(inheritable_thread_target(rows.sparkSession)(held_out), range(folds)))
 
 
 def offset_of(rows: int, feature: int, repeat: int, seed: int) -> int:

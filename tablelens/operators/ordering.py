@@ -72,13 +72,16 @@ def sample_systematic(df: DataFrame, n: int, order_by: Sequence[str], method: st
     total = df.count()
     if total <= n:
         return df
-    indexed = with_row_index(df, order_by)
+    # ranks are found on the order columns and a hash of the row; the table itself is neither sorted nor written
+    keys = [f"__key{i}" for i in range(len(order_by))]
+    row = F.xxhash64(*_hashable(df))
+    ranked = with_row_index(df.select(*[ref(c).alias(k) for c, k in zip(order_by, keys)], row.alias("__row")), keys)
     index = F.col("row_index")
     if method == "step":
         step = total // n
-        kept = indexed.filter((index % step == 0) & (index < F.lit(step) * n))
+        kept = ranked.filter((index % step == 0) & (index < F.lit(step) * n))
     elif n == 1:
-        kept = indexed.filter(index == 0)
+        kept = ranked.filter(index == 0)
     else:
         # a row is kept if some whole k has floor(k * spacing) == index
         spacing = (total - 1) / (n - 1)
@@ -86,8 +89,16 @@ def sample_systematic(df: DataFrame, n: int, order_by: Sequence[str], method: st
         hits = [F.floor((nearest + shift) * F.lit(spacing)) == index for shift in (-1, 0)]
         in_range = [(nearest + shift >= 0) & (nearest + shift <= n - 1) for shift in (-1, 0)]
         last = index == total - 1
-        kept = indexed.filter((hits[0] & in_range[0]) | (hits[1] & in_range[1]) | last)
-    return kept.drop("row_index")
+        kept = ranked.filter((hits[0] & in_range[0]) | (hits[1] & in_range[1]) | last)
+    wanted = kept.groupBy(*keys, "__row").agg(F.count(F.lit(1)).alias("__times"))
+    same = row == F.col("__row")
+    for name, key in zip(order_by, keys):
+        same = same & ref(name).eqNullSafe(F.col(key))
+    found = df.join(F.broadcast(wanted) if n <= BROADCAST_GROUPS else wanted, same)
+    # of equal rows as many as were chosen; tasks forward only their own first ones
+    turn = F.row_number().over(Window.partitionBy(*keys, "__row").orderBy("__times"))
+    chosen = found.withColumn("__turn", turn).where(F.col("__turn") <= F.col("__times"))
+    return chosen.select(*[ref(c) for c in df.columns])
 
 
 def hash_order(key: Sequence[str], seed: int) -> Column:

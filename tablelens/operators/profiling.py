@@ -180,8 +180,19 @@ def enrich_samples(profile: DataFrame, df: DataFrame, order_by: Sequence[str], s
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """One row ``duplicates``: rows beyond the first of each group of equal rows."""
-    groups = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+    """One row ``duplicates``: rows beyond the first of each group of equal rows.
+
+    Rows are first counted by two 64-bit hashes, which is all that is shuffled of them; whole rows are compared only where
+    several rows share both.
+    """
+    columns = [ref(c) for c in df.columns]
+    if not columns:
+        return df.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("duplicates"))
+    hashed = [F.to_json(ref(f.name)) if isinstance(f.dataType, T.MapType) else ref(f.name) for f in df.schema.fields]
+    keys = [F.xxhash64(F.lit(k), *hashed).alias(f"__h{k}") for k in (1, 2)]
+    shared = df.select(*keys).groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+    alike = df.select(*columns, *keys).join(shared.select("__h1", "__h2"), ["__h1", "__h2"], "left_semi")
+    groups = alike.groupBy("__h1", "__h2", *columns).agg(F.count(F.lit(1)).alias("__copies"))
     return groups.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicates"))
 
 

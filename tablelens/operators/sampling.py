@@ -7,22 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.operators.columns import ref
-from tablelens.operators.ordering import hash_rank, mark_lowest
+from tablelens.operators.ordering import BROADCAST_GROUPS, hash_rank, mark_lowest, with_row_index
+from tablelens.session import reliable_checkpoint
 
 
-def _quotas(df: DataFrame, label: str, share: Column, wanted: Column) -> DataFrame:
-    """``(label, quota)`` by largest remainder: whole parts first, then one more to the largest fractions."""
+def _quotas(df: DataFrame, label: str, share: Column, wanted: Column, groups: int) -> DataFrame:
+    """``(label, quota)`` by largest remainder: whole parts first, then one more to the largest fractions.
+
+    Up to 10,000 classes are ranked in one window; more are ranked by range partitions.
+    """
     classes = df.groupBy(ref(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per class: a handful in a classification target
-    everything = Window.partitionBy(F.lit(0))
-    sized = classes.withColumn("__total", F.sum("__n").over(everything))
+    if groups > BROADCAST_GROUPS:
+        classes = reliable_checkpoint(classes)
+    total = F.broadcast(classes.agg(F.sum("__n").alias("__total")))
+    sized = classes.join(total)
     exact = F.col("__n") * wanted / F.col("__total") if share is None else F.col("__n") * share
     sized = sized.withColumn("__exact", exact).withColumn("__whole", F.floor("__exact"))
     target = wanted if share is None else F.ceil(F.col("__total") * share)
-    left = target - F.sum("__whole").over(everything)
-    by_fraction = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("__exact") - F.col("__whole")), "__class")
-    extra = F.when(F.row_number().over(by_fraction) <= left, 1).otherwise(0)
-    return sized.select("__class", (F.col("__whole") + extra).alias("__quota"))
+    sized = sized.withColumn("__part", F.col("__whole") - F.col("__exact"))
+    left = F.broadcast(sized.groupBy("__total").agg(F.sum("__whole").alias("__given")).withColumn("__left", target - F.col("__given")))
+    if groups > BROADCAST_GROUPS:
+        ranked = with_row_index(sized, ["__part", "__class"], "__rank")
+    else:
+        place = F.row_number().over(Window.partitionBy("__total").orderBy("__part", "__class")) - 1
+        ranked = sized.withColumn("__rank", place)
+    ranked = ranked.join(left.select("__left"))
+    extra = F.when(F.col("__rank") < F.col("__left"), 1).otherwise(0)
+    return ranked.select("__class", (F.col("__whole") + extra).alias("__quota"))
 
 
 def _class_facts(df: DataFrame, label: str | None) -> tuple[int, int, int]:
@@ -45,7 +56,7 @@ def stratified_sample(df: DataFrame, n: int, key: Sequence[str], label: str | No
     if label is None:
         quotas = df.sparkSession.range(1).select(F.lit(0).alias("__class"), F.lit(n).alias("__quota"))
     else:
-        quotas = _quotas(df, label, None, F.lit(n))
+        quotas = _quotas(df, label, None, F.lit(n), groups)
     return mark_lowest(df, key, seed, quotas, label, groups, "__kept").filter("__kept").drop("__kept")
 
 
@@ -61,7 +72,7 @@ def mark_test_rows(
     if label is None:
         quotas = df.agg(F.lit(0).alias("__class"), F.ceil(F.count(F.lit(1)) * test_size).alias("__quota"))
     else:
-        quotas = _quotas(df, label, F.lit(test_size), F.lit(0))
+        quotas = _quotas(df, label, F.lit(test_size), F.lit(0), groups)
     return mark_lowest(df, key, seed, quotas, label, groups, "is_test")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # fixed values: the columns of the log
@@ -51,12 +52,50 @@ def list_activities(
     order: str = "created_at",
 ) -> DataFrame:
     """The newest events, optionally of one dataset or session."""
+    _check_limit(limit)
+    wanted = _wanted(log, dataset_id, client_session_id, server_session_id)
+    return wanted.orderBy(F.desc(order), F.desc("activity_id")).limit(limit)
+
+
+def _check_limit(limit: int) -> None:
     if not 1 <= limit <= 500:
         raise ValueError("limit must be between 1 and 500")
+
+
+def _wanted(log: DataFrame, dataset_id: str | None, client_session_id: str | None, server_session_id: str | None) -> DataFrame:
     wanted = {
         "dataset_id": dataset_id, "client_session_id": client_session_id, "server_session_id": server_session_id,
     }
     for name, value in wanted.items():
         if value:
             log = log.filter(F.col(name) == value)
-    return log.orderBy(F.desc(order), F.desc("activity_id")).limit(limit)
+    return log
+
+
+def recent_activities(
+    spark: SparkSession,
+    location: str,
+    dataset_id: str | None = None,
+    client_session_id: str | None = None,
+    server_session_id: str | None = None,
+    limit: int = 100,
+) -> DataFrame:
+    """The newest events of a written log, like ``list_activities``, without reading all of it.
+
+    The log has a folder per day. Days are read from the newest on, one, two, four, ... at a time, until ``limit`` events are
+    found; the file names tell which days there are. A log without events of the wanted kind is read once.
+    """
+    _check_limit(limit)
+    log = spark.read.parquet(location)
+    days = sorted({name.split("day=", 1)[1].split("/", 1)[0] for name in log.inputFiles() if "day=" in name}, reverse=True)
+    found, start, width = None, 0, 1
+    while start < len(days):
+        some = log.where(F.col("day").cast("string").isin(days[start:start + width])).drop("day")
+        left = limit - (0 if found is None else found.num_rows)
+        rows = list_activities(_wanted(some, dataset_id, client_session_id, server_session_id), limit=left).toArrow()
+        found = rows if found is None else pa.concat_tables([found, rows])
+        if found.num_rows >= limit:
+            break
+        start, width = start + width, 2 * width
+    empty = log.drop("day").limit(0)
+    return empty if found is None else spark.createDataFrame(found, empty.schema)

@@ -129,6 +129,18 @@ def _(tables):
     return activity.list_activities(log, client_session_id="8").select("activity_id", "action")
 
 
+@query(
+    "recent_activities",
+    "SELECT lpad(event_id::VARCHAR, 10, '0') AS activity_id, event_type AS action FROM events WHERE user_id = 8 "
+    "ORDER BY ts DESC, event_id DESC LIMIT 100",
+)
+def _(tables):
+    """The same rows from a written log, read from its newest day on."""
+    place = scratch(tables.spark)
+    activity.append_activity(_events_as_activity(tables), place)
+    return activity.recent_activities(tables.spark, place, client_session_id="8").select("activity_id", "action")
+
+
 @query(
     "prediction_history_rows",
     "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS \"Timestamp\", event_type AS \"Prediction\", "
