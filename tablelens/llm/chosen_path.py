@@ -239,35 +239,35 @@ def _leaves(classes: DataFrame, threshold: float, recall: float, sample: int) ->
             squares = sizes.groupBy("parent").agg(F.sum(F.col("members") * F.col("members")).alias("squares"))
             before = large.select("node", F.col("path").alias("parent"), *same)
             dense = (
-                before.select("parent", *same).distinct().join(squares.hint("merge"), "parent")
+                before.select("parent", *same).distinct().join(squares.hint("shuffle_hash"), "parent")
                 .where(F.col("squares") >= 0.5 * BRANCHES * F.col("members") * F.col("members")).select("parent", *same)
             )
             dense = written(dense, "dense")
             one = dense.groupBy(*same).agg(F.min("parent").alias("parent"))
             done = done.unionByName(one.select(*same))
             found = found.unionByName(
-                before.join(one.select("parent").hint("merge"), "parent").select(F.col("parent").alias("leaf"), "node", "members")
+                before.join(one.select("parent").hint("shuffle_hash"), "parent").select(F.col("parent").alias("leaf"), "node", "members")
             )
-            sizes = sizes.join(dense.select("parent").hint("merge"), "parent", "left_anti")
+            sizes = sizes.join(dense.select("parent").hint("shuffle_hash"), "parent", "left_anti")
         # buckets with the same members are compared once, but split each on its own: runs stay independent
         last = level == DEPTH
         sizes = written(sizes.select("path", *same), "buckets")
         once = sizes.groupBy(*same).agg(F.min("path").alias("path"), F.count("*").alias("times"))
         if done is not None:
-            once = once.join(done.hint("merge"), same, "left_anti")
+            once = once.join(done.hint("shuffle_hash"), same, "left_anti")
         if not last:
             # members that meet again and again over tokens and runs are compared as they are
             once = once.where((F.col("members") <= SMALL) | (F.col("times") >= runs * (0.5 * BRANCHES) ** level))
         once = written(once.select("path", *same), "once")
         here = moved.select("node", "path").distinct() if level > 1 else moved.select("node", "path")
-        leaf = here.join(once.select("path", "members").hint("merge"), "path").select(F.col("path").alias("leaf"), "node", "members")
+        leaf = here.join(once.select("path", "members").hint("shuffle_hash"), "path").select(F.col("path").alias("leaf"), "node", "members")
         found = leaf if found is None else found.unionByName(leaf)
         settled = once.where(F.col("members") > SMALL).select(*same)
         done = settled if done is None else done.unionByName(settled)
-        more = sizes.where(F.col("members") > SMALL).join(done.hint("merge"), same, "left_anti")
+        more = sizes.where(F.col("members") > SMALL).join(done.hint("shuffle_hash"), same, "left_anti")
         if last or not more.limit(1).count():
             break
-        large = written(here.join(more.hint("merge"), "path"), "large")
+        large = written(here.join(more.hint("shuffle_hash"), "path"), "large")
         members = large.select("node", "path").hint("merge").join(sets, "node")
     found = written(found.distinct(), "found")
     lists = found.groupBy("node").agg(F.collect_list("leaf").alias("leaves"))
