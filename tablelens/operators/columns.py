@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -64,12 +65,52 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[Column] = ()
     return cells.unpivot(ids, [ref(name) for name in columns], "name", "value")
 
 
+HEAD_ROWS = 4  # times the wanted number of values, of rows looked at first
+
+
 def first_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` non-empty values of each column by ``order_by``: ``(name, place, value)``."""
-    cells = long_form(df, columns, [ref(c) for c in order_by]).filter(F.col("value").isNotNull() & (F.col("value") != ""))
+    """The first ``n`` non-empty values of each column by ``order_by``: ``(name, place, value)``; ties go to the smaller value.
+
+    The first rows of the table settle most columns: each task keeps a bounded heap of rows, and nothing is sorted. A
+    column is settled if it has ``n`` values before the last of those rows. The others are looked for once more among rows that
+    have a value in one of them; what is still open is ranked column by column.
+    """
+    found, left = [], list(dict.fromkeys(columns))
+    for turn in range(2):
+        if left:
+            settled = _head_values(df, left, order_by, n, every=turn == 0)
+            found += [(name, place, value) for name, values in settled.items() for place, value in enumerate(values, 1)]
+            left = [name for name in left if name not in settled]
+    known = small_table(df.sparkSession, found, "name string, place int, value string")
+    if not left:
+        return known
+    cells = long_form(df, left, [ref(c) for c in order_by]).filter(F.col("value").isNotNull() & (F.col("value") != ""))
     order = [F.col(f"__keep{i}") for i in range(len(order_by))] + [F.col("value")]
     place = F.row_number().over(Window.partitionBy("name").orderBy(*order))
-    return cells.withColumn("place", place).filter(F.col("place") <= n).select("name", "place", "value")
+    return known.unionByName(cells.withColumn("place", place).filter(F.col("place") <= n).select("name", "place", "value"))
+
+
+def _head_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int, every: bool) -> dict[str, list[str]]:
+    """The first values of the columns that the first rows settle."""
+    cells = [F.when(ref(name).cast("string") != "", ref(name).cast("string")).alias(f"v{i}") for i, name in enumerate(columns)]
+    keys = [ref(name).alias(f"k{i}") for i, name in enumerate(order_by)]
+    rows = df.select(*keys, *cells)
+    if not every:
+        rows = rows.where(F.coalesce(*[F.col(f"v{i}") for i in range(len(columns))]).isNotNull())
+    most = max(HEAD_ROWS * n, 20)
+    # rows that tie with the last one may have ties behind it, so they settle nothing
+    table = rows.orderBy(*[F.col(f"k{i}") for i in range(len(keys))]).limit(most).collect()
+    whole = len(table) < most
+    plain = lambda value: value + 0.0 if isinstance(value, float) else value
+    key = lambda row: repr([plain(row[f"k{i}"]) for i in range(len(keys))])
+    last = None if whole or not table else key(table[-1])
+    blocks = [list(rows) for same, rows in groupby(table, key) if whole or same != last]
+    settled = {}
+    for i, name in enumerate(columns):
+        values = [value for block in blocks for value in sorted(row[f"v{i}"] for row in block if row[f"v{i}"] is not None)][:n]
+        if whole or len(values) == n:
+            settled[name] = values
+    return settled
 
 
 # ---------------------------------------------------------------- names

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelens.operators import ordering as O, profiling as P, sampling as Sa
+from tablelens.operators.columns import first_values
 from tablelens.sources import activity
 
 
@@ -53,3 +54,27 @@ def test_recent_activities_read_from_the_newest_day(spark, tmp_path):
         assert got == [r.activity_id for r in activity.list_activities(every, **options).collect()]
     with pytest.raises(ValueError):
         activity.recent_activities(spark, place, limit=0)
+
+
+def test_first_values_of_dense_sparse_and_tied_columns(spark):
+    table = spark.range(2000).select(
+        (F.col("id") % 400).alias("k"), F.col("id").alias("dense"), F.when(F.col("id") % 97 == 5, F.col("id")).alias("sparse"),
+        F.when(F.col("id") == 1999, "only").alias("rare"), F.lit("").alias("blank"), F.lit(1.5).alias("same"),
+    ).repartition(5)
+    names = ["dense", "sparse", "rare", "blank", "same"]
+    rows = sorted(table.collect(), key=lambda r: r.k)
+    for n in (1, 5, 40):
+        got = {}
+        for r in sorted(first_values(table, names, ["k"], n).collect()):
+            got.setdefault(r.name, []).append(r.value)
+        for name in names:
+            cells = sorted((r.k, str(r[name])) for r in rows if r[name] not in (None, ""))
+            assert got.get(name, []) == [value for _, value in cells[:n]], (name, n)
+    assert first_values(table.limit(0), names, ["k"], 3).count() == 0
+    assert first_values(table, [], ["k"], 3).count() == 0
+
+
+def test_first_values_need_no_sort_of_the_cells(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = first_values(orders, orders.columns, ["o_orderkey"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Expand" not in plan

@@ -356,6 +356,28 @@ def _(tables):
     return parts["histogram"].groupBy("column").agg(F.sum("count").alias("n")).join(parts["box"].select("column"), "column")
 
 
+def _kde_sql(name: str, source: str) -> str:
+    return (
+        f"SELECT '{name}' AS \"column\", p::INT AS point, sum(c * exp(-0.5 * power((lo + p * (hi - lo) / 159 - v) / h, 2))) / (n * h * sqrt(2 * pi())) AS density "
+        f"FROM (SELECT {name} AS v, count(*) AS c FROM {source} WHERE {name} IS NOT NULL GROUP BY 1), (SELECT count({name}) AS n, min({name}) AS lo, max({name}) AS hi, "
+        f"1.06 * stddev_pop({name}) * power(count({name}), -0.2) AS h FROM {source}), range(160) g(p) GROUP BY p, n, h"
+    )
+
+
+@query("distributions_parts", union_all([
+    "SELECT 'histogram' AS part, bin AS place, round(density, 9) AS number FROM (" + _hist_sql("value", "events") + ")",
+    "SELECT 'kde', point, round(density, 9) FROM (" + _kde_sql("value", "events") + ")",
+    "SELECT 'box', 0, round(median, 4) FROM (" + _box_sql("value", "events") + ")",
+]))
+def _(tables):
+    parts = D.distributions(tables.events.select("value"))
+    return (
+        parts["histogram"].select(F.lit("histogram").alias("part"), F.col("bin").alias("place"), F.round("density", 9).alias("number"))
+        .union(parts["kde"].select(F.lit("kde"), "point", F.round("density", 9)))
+        .union(parts["box"].select(F.lit("box"), F.lit(0), F.round("median", 4)))
+    )
+
+
 LABEL = "CASE WHEN {0} IS NULL THEN 'Missing' WHEN trim({0}) = '' THEN '(blank)' ELSE {0} END"
 
 
@@ -403,12 +425,41 @@ def _(tables):
     return sample_systematic(table, 1000, ["o_totalprice", "o_orderkey"], "step").select("o_orderkey")
 
 
-@query("advanced_eda")
-def _(tables):
-    """Row count of every section of the whole analysis."""
-    sections = advanced_eda(dirty_orders(tables), ["o_orderkey", "o_orderdate"])
-    parts = [frame.agg(F.lit(name).alias("section"), F.count(F.lit(1)).alias("rows")) for name, frame in sections.items()]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+_EDA_NUMBERS, _EDA_TEXT = ("o_orderkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority")
+
+
+@query("advanced_eda", union_all([
+    f"SELECT 'total_missing' AS section, '' AS name, (count(*) * 3 - count(o_orderstatus) - count(o_totalprice) - count(o_orderpriority))::DOUBLE AS number FROM {DIRTY_SQL}",
+    "SELECT 'missingness', \"column\" || ':' || bucket, missing_percent FROM (" + _missing_sql(["o_orderstatus", "o_totalprice", "o_orderpriority"]) + ")",
+    "SELECT 'histogram', \"column\" || ':' || bin, count::DOUBLE FROM (" + union_all(_hist_sql(n, DIRTY_SQL) for n in _EDA_NUMBERS) + ")",
+    "SELECT 'box', \"column\", median FROM (" + union_all(_box_sql(n, DIRTY_SQL) for n in _EDA_NUMBERS) + ")",
+    "SELECT 'kde', \"column\" || ':' || point, round(density * 1000, 6) FROM (" + union_all(_kde_sql(n, DIRTY_SQL) for n in _EDA_NUMBERS) + ")",
+    *[f"SELECT 'categories', '{n}:' || {LABEL.format(n)}, count(*)::DOUBLE FROM {DIRTY_SQL} GROUP BY 2" for n in _EDA_TEXT],
+]))
+def _(tables):
+    """The rows of the sections of the whole analysis, one number each."""
+    found = advanced_eda(dirty_orders(tables), ["o_orderkey", "o_orderdate"])
+    name = lambda *parts: F.concat_ws(":", *parts).alias("name")
+    rows = [
+        found["total_missing"].select(F.lit("total_missing").alias("section"), F.lit("").alias("name"), F.col("total_missing").cast("double").alias("number")),
+        found["missingness"].select(F.lit("missingness"), name("column", "bucket"), F.col("missing_percent")),
+        found["distribution_histogram"].select(F.lit("histogram"), name("column", "bin"), F.col("count").cast("double")),
+        found["distribution_box"].select(F.lit("box"), name("column"), F.round("median", 4)),
+        found["distribution_kde"].select(F.lit("kde"), name("column", "point"), F.round(F.col("density") * 1000, 6)),
+        found["categories"].select(F.lit("categories"), name("column", "label"), F.col("count").cast("double")),
+    ]
+    result = rows[0]
+    for part in rows[1:]:
+        result = result.union(part)
     return result
+
+
+@query("advanced_eda_findings", union_all([
+    f"SELECT 'o_orderkey vs o_totalprice' AS pair, round(corr(o_orderkey, o_totalprice), 3) AS correlation, count(CASE WHEN o_totalprice IS NOT NULL THEN 1 END) AS rows FROM {DIRTY_SQL}",
+    f"SELECT '', NULL, count(*) FROM {DIRTY_SQL}",
+]))
+def _(tables):
+    """The only pair of numbers, and the rows that were analysed."""
+    found = advanced_eda(dirty_orders(tables), ["o_orderkey", "o_orderdate"])
+    pairs = found["interactions"].select("pair", F.round("correlation", 3).alias("correlation"), F.col("n").alias("rows"))
+    return pairs.union(found["counts"].select(F.lit(""), F.lit(None).cast("double"), "sampled_row_count"))
