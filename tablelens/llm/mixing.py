@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablelens.llm.infilling import unused
 from tablelens.session import small_table
 
 TEMPERATURE = 0.7
@@ -81,25 +82,31 @@ def mix_sources(
     names = [c for c in df.columns if c.lower() not in ("replica", "copies", "shuffle_key")]
     rates = source_rates(df, source_column, text_column, weights, temperature, epochs)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int")
-    rates = rates.withColumn("__parts", parts).select(
-        F.col("source").alias("__source"), F.col("rate").alias("__rate"), "__parts",
-        _distribution(F.col("rate") / F.col("__parts")).alias("__sums"),
+    # names that no column of the table has
+    own = {name: unused(name, df.columns) for name in ("known_source", "rate", "parts", "sums", "salt", "own_salt")}
+    made = {name: F.col(own[name]) for name in own}
+    rates = rates.withColumn("parts_", parts).select(
+        F.col("source").alias(own["known_source"]), F.col("rate").alias(own["rate"]), F.col("parts_").alias(own["parts"]),
+        _distribution(F.col("rate") / F.col("parts_")).alias(own["sums"]),
     )
     rows = df.select(*[F.col(f"`{c}`") for c in names])
     source = F.col(f"`{source_column}`").cast("string")
     if df.select(source.alias("source")).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(rates), source.eqNullSafe(F.col("__source")))
+        rows = rows.join(F.broadcast(rates), source.eqNullSafe(made["known_source"]))
     else:
-        rates = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__own", F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(SALTS)))
-        rows = rows.join(rates, source.eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt")))
+        rates = rates.withColumn(own["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(own["own_salt"], F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(SALTS)))
+        rows = rows.join(rates, source.eqNullSafe(made["known_source"]) & (made["own_salt"] == made["salt"]))
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     name = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.md5(text))
-    draw = lambda part: F.size(
-        F.filter("__sums", lambda least: least <= uniform(F.lit(str(seed)), name, part.cast("string")))
-    )
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda total, part: total + draw(part))
-    rows = rows.withColumn("copies", F.when(F.col("__rate") > 0, copies).otherwise(0)).where("copies > 0")
+
+    def draw(part: Column) -> Column:
+        # the number is bound as the element of an array: inside the inner lambda it would be hashed anew for every term
+        drawn = F.array(uniform(F.lit(str(seed)), name, part.cast("string")))
+        return F.element_at(F.transform(drawn, lambda u: F.size(F.filter(made["sums"], lambda least: least <= u))), 1)
+
+    copies = F.aggregate(F.sequence(F.lit(1), made["parts"]), F.lit(0), lambda total, part: total + draw(part))
+    rows = rows.withColumn("copies", F.when(made["rate"] > 0, copies).otherwise(0)).where("copies > 0")
     rows = rows.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), name, F.col("replica").cast("string")))
     rows = rows.withColumn("shuffle_key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long"))

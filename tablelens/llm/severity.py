@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tablelens.llm.common import in_pieces, pin_batches, written
 from tablelens.llm.features import labelled_sample, terms
+from tablelens.llm.infilling import unused
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 12000  # labelled rows that the model is fitted on, at most
 TERMS = 4096  # terms with a weight, at most
@@ -174,8 +175,9 @@ def score_severity(df: DataFrame, model: SeverityModel, text_column: str = "text
         ends = np.arange(len(texts) + 1, dtype=np.int32) * chances.shape[1]
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(chances.ravel()))
 
-    scored = df.withColumn("__above", above(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
+    name = unused("above", df.columns)
+    scored = df.withColumn(name, above(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
     return (
-        scored.withColumn("p_mild", F.col("__above")[0]).withColumn("p_severe", F.col("__above")[1])
-        .withColumn("severity", F.col("p_mild") + F.col("p_severe")).drop("__above")
+        scored.withColumn("p_mild", F.col(name)[0]).withColumn("p_severe", F.col(name)[1])
+        .withColumn("severity", F.col("p_mild") + F.col("p_severe")).drop(name)
     )

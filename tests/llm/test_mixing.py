@@ -61,3 +61,13 @@ def test_nulls_repeated_rows_and_clashing_names(frame):
     assert same and {r["count"] for r in same} == {2}
     assert mix_sources(table.limit(0)).count() == 0
     assert mix_sources(table.where("text IS NULL")).count() == 0  # nothing to weigh
+
+
+def test_helper_names_are_free_for_users(frame):
+    names = ["known_source", "rate", "parts", "sums", "salt", "own_salt", "source_", "__source", "__sums", "mass"]
+    rows = [(i, "some text", "ab"[i % 2], *range(10)) for i in range(40)]
+    table = frame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    plain = {(r.doc_id, r.replica) for r in mix_sources(table.select("doc_id", "text", "source"), epochs=3.0).collect()}
+    mixed = mix_sources(table, epochs=3.0).collect()
+    assert {(r.doc_id, r.replica) for r in mixed} == plain and plain
+    assert all([r[n] for n in names] == list(range(10)) for r in mixed)

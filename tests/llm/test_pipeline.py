@@ -23,7 +23,7 @@ def test_matches_sql(spark, connection, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_stages_keep_the_columns_and_clean_documents(spark):
@@ -43,6 +43,17 @@ def test_stages_keep_the_columns_and_clean_documents(spark):
     assert packed.agg(F.countDistinct("doc_id")).first()[0] == docs.select("doc_id").distinct().count()
 
 
+def test_columns_of_users_come_through_every_stage(spark):
+    names = ["severity", "p_mild", "p_severe", "quality_score", "text_key", "turn", "copies", "replica", "shuffle_key", "above", "__source", "kept_id", "class_id"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, FOLDER)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names), name
+
+
 def test_one_row_of_each_class_stays(frame, spark):
     long = " ".join(f"w{i}" for i in range(80))
     rows = [(5, long, "b"), (3, long, "a"), (3, long, "a"), (9, long.replace("w40", "x"), "c"), (8, "alone", None), (1, None, "d"), (2, None, "d"), (None, "no id", "e")]

@@ -53,3 +53,10 @@ def test_odd_rows(frame):
     rows = S.score_severity(docs, S.train(docs, labels)).collect()
     assert len(rows) == 5 and all(0 <= r.severity <= 2 for r in rows) and len(rows[0]) == 5
     assert S.score_severity(docs.limit(0), S.train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_a_column_called_like_the_helper_stays(frame):
+    docs = frame([(1, "some words", "mine", 7)], "doc_id long, text string, above string, __above int")
+    labels = frame([(1, 0)], "doc_id long, toxic int")
+    row = S.score_severity(docs, S.train(docs, labels)).first()
+    assert row["above"] == "mine" and row["__above"] == 7
