@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tablelens.llm import passages, severity
@@ -10,6 +12,7 @@ from tablelens.llm.common import pin_batches, written
 from tablelens.llm.mixing import mix_sources
 from tablelens.llm.packing import pack
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None  # SQL cannot express the learned stages
 
 
@@ -17,18 +20,34 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _shielded(stage):
+    """Give columns besides those of ``documents`` other names inside a stage, so that no operator's column meets them."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        given = docs.columns
+        own = {name: f"carried_column_{place}" for place, name in enumerate(given) if name not in COLUMNS}
+        result = stage(spark, docs.withColumnsRenamed(own), sf_dir)
+        return result.withColumnsRenamed({new: old for old, new in own.items()}).select(*[F.col(f"`{name}`") for name in given])
+
+    return run_stage
+
+
+@_shielded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity stays below 0.5."""
+    """Documents whose expected severity stays below 0.25."""
     scored = severity.score_severity(docs, severity.train(docs, _labels(spark, sf_dir)))
     return scored.where(F.col("severity") < severity.REJECT).select(*docs.columns)
 
 
+@_shielded
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least 0.7."""
     scored = passages.score_quality(docs, passages.train(docs, _labels(spark, sf_dir)), name="quality_score")
     return scored.where(F.col("quality_score") >= passages.KEEP).select(*docs.columns)
 
 
+@_shielded
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of linked documents the one with the smallest id; of its repeated rows, one."""
     classes = similarity_classes(docs)
@@ -42,6 +61,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("turn", turn).where("turn = 1").select(*docs.columns)
 
 
+@_shielded
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents replicated to tempered source weights, in a global random order."""
     return mix_sources(docs).select(*docs.columns)
