@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.operators import ordering as O, profiling as P, sampling as Sa
+from tablelens.operators import ordering as O, profiling as P, sampling as Sa, series as Se
 from tablelens.operators.columns import first_values
 from tablelens.sources import activity
 
@@ -78,3 +78,39 @@ def test_first_values_need_no_sort_of_the_cells(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     plan = first_values(orders, orders.columns, ["o_orderkey"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "Expand" not in plan
+
+
+def brute_label(moments):
+    days = sorted({m.timestamp() / 86_400 for m in moments})
+    if len(days) < 2:
+        return "month"
+    gaps = sorted(b - a for a, b in zip(days, days[1:]))
+    middle = len(gaps) // 2
+    median = gaps[middle] if len(gaps) % 2 else (gaps[middle - 1] + gaps[middle]) / 2
+    limits = (("day", 2), ("week", 10), ("month", 45), ("quarter", 120))
+    return next((label for label, limit in limits if median <= limit), "year")
+
+
+def test_frequencies_from_day_and_month_summaries(spark):
+    from random import Random
+
+    rng, utc, rows = Random(3), dt.timezone.utc, []
+    for key in range(120):
+        at = dt.datetime(2020, 1, 30, tzinfo=utc)
+        for _ in range(rng.randint(1, 9)):
+            rows.append((key, at))
+            hours = rng.choice([0.001, 1, 20, 23, 24, 30, 48, 49, 80, 84, 86, 92, 24 * 10, 24 * 19.5, 24 * 44, 24 * 46, 24 * 89, 24 * 119, 24 * 130, 24 * 300])
+            at += dt.timedelta(hours=hours)
+    # half of the gaps lie within days, and the longest of them decides
+    rows += [(200, dt.datetime(2020, 1, 1, h, tzinfo=utc)) for h in (0, 1, 21)]
+    rows += [(200, dt.datetime(2020, 1, 1, 21, tzinfo=utc) + dt.timedelta(days=d)) for d in (3.5, 7.0)]
+    rows += [(201, dt.datetime(2020, 1, 1, tzinfo=utc) + dt.timedelta(seconds=i)) for i in range(3000)] + [(None, dt.datetime(2020, 5, 1, tzinfo=utc))]
+    table = spark.createDataFrame([(k, m.replace(tzinfo=None)) for k, m in rows], "k long, at timestamp")
+    got = {r.k: (r.label, r.dates) for r in Se.infer_frequency(table, "at", ["k"]).collect()}
+    assert set(got) == {k for k, _ in rows}
+    for key in got:
+        moments = [m for k, m in rows if k == key]
+        assert got[key] == (brute_label(moments), len(set(moments))), key
+    whole = Se.infer_frequency(table, "at").first()
+    assert (whole.label, whole.dates) == (brute_label([m for _, m in rows]), len({m for _, m in rows}))
+    assert Se.infer_frequency(table.limit(0), "at").count() == 0
