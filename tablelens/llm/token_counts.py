@@ -150,13 +150,33 @@ def _parts(frequent):
     return parts
 
 
+def _threshold(counts: DataFrame, most: int) -> int | None:
+    """The smallest count that at most ``most`` pre-tokens reach, from a histogram of counts; None if there is none.
+
+    Counts from 128 on share a bin with those within a 64th of their power of two, so the histogram has at most some
+    4,000 rows, and no task sees more than its own bins.
+    """
+    shift = F.greatest(F.floor(F.log2("n")) - 6, F.lit(0)).cast("int")
+    edge = F.expr("shiftleft(shiftright(n, shift), shift)")
+    bins = counts.withColumn("shift", shift).groupBy(edge.alias("edge")).agg(F.count("*").alias("rows")).collect()
+    reached, least = 0, None
+    for row in sorted(bins, key=lambda r: -r["edge"]):
+        reached += row["rows"]
+        if reached > most:
+            break
+        least = row["edge"]
+    return least
+
+
 def _send_frequent(spark: SparkSession, counts: DataFrame, most: int):
-    top = counts.where(F.octet_length("cell") <= FREQUENT_BYTES).orderBy(F.desc("n"), "cell").limit(most)
-    table = top.select("cell", "pieces", "n").toArrow().combine_chunks()
+    """The frequent pre-tokens at every task, and a condition for all others."""
+    short = F.octet_length("cell") <= FREQUENT_BYTES
+    least = _threshold(counts.where(short), most)
+    often = short & (F.col("n") >= least) if least is not None else F.lit(False)
+    table = counts.where(often).select("cell", "pieces").toArrow().combine_chunks()
     cells = table["cell"].combine_chunks() if len(table) else pa.array([], pa.string())
     pieces = table["pieces"].to_numpy() if len(table) else np.zeros(0, np.int32)
-    least = int(pc.min(table["n"]).as_py()) if len(table) == most else 0
-    return spark.sparkContext.broadcast(Frequent(cells, pieces)), least
+    return spark.sparkContext.broadcast(Frequent(cells, pieces)), ~often
 
 
 def count_tokens(
@@ -188,8 +208,8 @@ def count_tokens(
     )
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     counts = written(pre_token_counts(docs, "text", path), "pre-tokens")
-    sent, least = _send_frequent(spark, counts, frequent)
-    rare = counts.where((F.col("n") <= least) | (F.octet_length("cell") > FREQUENT_BYTES)).select("cell", "pieces")
+    sent, others = _send_frequent(spark, counts, frequent)
+    rare = counts.where(others).select("cell", "pieces")
     parts = docs.mapInArrow(_parts(sent), PARTS)
     tokens = F.col("times") * F.coalesce("pieces", F.lit(0)) + F.col("tokens")
     sums = (

@@ -32,3 +32,15 @@ def test_nulls_and_repeated_rows(frame):
     two, other = len(MODEL.encode("two words")), len(MODEL.encode("other"))
     assert got == sorted([(0, 0), (0, two), (1, two), (1, two), (1, other)])
     assert K.count_tokens(table.limit(0)).count() == 0
+
+
+def test_the_threshold_is_reached_by_at_most_so_many(frame):
+    rows = [(f"w{i}", 1 + i * i // 50) for i in range(600)]
+    table = frame(rows, "cell string, n long")
+    for most in (0, 1, 10, 99, 600, 10_000):
+        least = K._threshold(table, most)
+        reached = sum(n >= least for _, n in rows) if least is not None else 0
+        assert reached <= most and (most < 600 or reached == 600)
+        if 10 <= most < 600:
+            assert reached > 0.8 * most
+    assert K._threshold(table.limit(0), 5) is None
