@@ -115,14 +115,23 @@ class _Tree:
     def __init__(self):
         self.tags, self.parents, self.dropped, self.marks = ["html"], [-1], [False], [NONE]
         self.texts: list[tuple[int, int, bool, str]] = []  # block element, run, in a link, text
-        self.stack = [0]
+        # of each element: the block its texts belong to, whether it is in a link of that block, whether in an article
+        self.blocks, self.linked, self.inside = [0], [False], [False]
+        self.stack, self.fences = [0], [0]  # open elements, and the depth of the innermost container up to each
+        self.depths: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
         self.run = 0  # texts of one run belong to one block of the page
 
+    def cut(self, depth: int) -> None:
+        """End all elements from this depth on; each element is ended once, so a page costs as much as it has elements."""
+        for node in self.stack[depth:]:
+            self.depths[self.tags[node]].pop()
+        del self.stack[depth:], self.fences[depth:]
+
     def end_head(self) -> None:
         """What may not stand in a head ends an open one: its end tag may be left out."""
         for depth in range(1, min(len(self.stack), 3)):
             if self.tags[self.stack[depth]] == "head":
-                del self.stack[depth:]
+                self.cut(depth)
                 self.run += 1
                 return
 
@@ -140,44 +149,40 @@ class _Tree:
         parent = self.stack[-1]
         given = _attributes(rest) if rest.strip() and tag not in ("html", "body") else {}
         gone = self.dropped[parent] or tag in DROPPED or tag not in ("article", "main") and _is_hidden(given)
-        if tag == "header" and not any(self.tags[k] in ("article", "main") for k in self.stack):
+        if tag == "header" and not self.inside[parent]:
             gone = True
         self.tags.append(tag)
         self.parents.append(parent)
         self.dropped.append(gone)
         mark = _mark(tag, given) if given and not gone else NONE
         self.marks.append(max(mark, LAYOUT) if tag in ("form", "fieldset") and not gone else mark)
-        self.stack.append(len(self.tags) - 1)
+        node, inline = len(self.tags) - 1, tag in INLINE
+        self.blocks.append(self.blocks[parent] if inline else node)
+        self.linked.append(inline and (tag == "a" or self.linked[parent]))
+        self.inside.append(self.inside[parent] or tag in ("article", "main"))
+        self.depths[tag].append(len(self.stack))
+        self.fences.append(len(self.stack) if tag in FENCES else self.fences[-1])
+        self.stack.append(node)
 
     def close_open(self, kinds: set[str]) -> None:
         """End the nearest open element of these kinds, unless a container lies between."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tags[self.stack[depth]]
-            if tag in kinds:
-                del self.stack[depth:]
-                self.run += 1
-                return
-            if tag in FENCES:
-                return
+        depth = max((self.depths[kind][-1] for kind in kinds if self.depths[kind]), default=0)
+        if depth and depth >= self.fences[-1]:
+            self.cut(depth)
+            self.run += 1
 
     def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.run += 1
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.tags[self.stack[depth]] == tag:
-                del self.stack[depth:]
-                return
+        if self.depths[tag]:
+            self.cut(self.depths[tag][-1])
 
     def say(self, text: str) -> None:
         if self.tags[self.stack[-1]] == "head" and text.strip():
             self.end_head()
-        node, linked = self.stack[-1], False
-        if self.dropped[node]:
-            return
-        while self.tags[node] in INLINE and self.parents[node] >= 0:
-            linked |= self.tags[node] == "a"
-            node = self.parents[node]
-        self.texts.append((node, self.run, linked, text))
+        node = self.stack[-1]
+        if not self.dropped[node]:
+            self.texts.append((self.blocks[node], self.run, self.linked[node], text))
 
 
 def _read(page: str) -> _Tree:
@@ -335,7 +340,7 @@ def _widened(tree: _Tree, best: int, total: list[int], linked: list[int], points
             share = linked[node] / total[node]
             listing = tree.tags[node] in LISTS and share > 0.6
             sure = node == best or points.get(node, 0) >= max(enough, 0.1) and share < 0.5 or tree.tags[node] == "p" and total[node] > 80 and share < 0.25
-            parts.append((first.get(node, 0), node, sure and not listing, share < (0.5 if tree.tags[node] in HEADINGS else 0.25)))
+            parts.append((first.get(node, 0), node, node == best or sure and not listing, share < (0.5 if tree.tags[node] in HEADINGS else 0.25)))
         for key in of_parent[parent]:
             size, by_link = loose[key]
             parts.append((key[1], key, False, by_link < 0.25 * size))
@@ -343,6 +348,8 @@ def _widened(tree: _Tree, best: int, total: list[int], linked: list[int], points
         kept = [sure for _, _, sure, _ in parts]
         light = [ok for *_, ok in parts]
         certain = [k for k, sure in enumerate(kept) if sure]
+        if not certain:  # the container itself holds no text that stays
+            break
         for k in range(certain[0], certain[-1]):  # between kept ones
             kept[k] |= light[k]
         for step, order in ((1, range(len(parts))), (-1, range(len(parts) - 1, -1, -1))):  # next to kept ones

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import html
 import pytest
@@ -132,3 +134,24 @@ def test_rows_nulls_and_clashing_names(frame):
     rows = extract_main_text(table).orderBy("html").collect()
     assert [(r.text, r.n_chars) for r in rows] == [("", 0), ("a", 1), ("a", 1)] and len(rows[0]) == 4
     assert extract_main_text(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<b>x" * 250_000, "<div>" * 60_000 + "</span>" * 60_000 + "end", "<p><div>" + "<b>x" * 60_000 + "<p>y" * 60_000, "<a href=q>x" * 90_000,
+    "<header>x" * 60_000, "<ul><li>x" * 60_000, "</b>" * 250_000, "<table><tr><td>x" * 40_000,
+])
+def test_a_megabyte_of_unclosed_or_unmatched_tags_takes_seconds(page):
+    started = time.process_time()
+    assert isinstance(main_text(page), str)
+    assert time.process_time() - started < 5
+
+
+def test_random_markup_never_fails():
+    rng = random.Random(1)
+    tags = "p div b a i span ul li h1 h2 table tr td article main header footer nav form section head body html blockquote pre br img em dl dt".split()
+    for _ in range(3000):
+        parts = []
+        for _ in range(rng.randint(1, 60)):
+            tag, kind = rng.choice(tags), rng.random()
+            parts.append(f"<{tag}>" if kind < 0.45 else f"</{tag}>" if kind < 0.7 else rng.choice(["word, two words " * rng.randint(1, 9), "x", "\n"]))
+        assert isinstance(main_text("".join(parts)), str)
