@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,7 +23,7 @@ from tablelens.llm.common import in_pieces, pin_batches, written
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 1
-REMEMBERED = 300_000  # parts of words in one generation of a worker's memory; there are two
+REMEMBERED = 120_000  # parts of words in one generation of a worker's memory; there are two, about 50 MB together
 PIECE_BYTES = 4_000_000  # of text that is encoded at once
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, share int, worker int, bin long, "
@@ -68,11 +69,11 @@ class Encoder:
         self.cuts = (rules.get("normalizer") or {}).get("normalizers") == NORMALISES and [
             before[0].get("pattern"), *[one.get("type") for one in before[1:]]
         ] == [{"Regex": CUTS}, "ByteLevel"]
-        self.recent: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _part_ids(self, parts: list[str]) -> list[list[int]]:
-        """Ids of each part. Two generations are kept: parts not met while a new one fills are forgotten, never all at once."""
+    def _part_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, four bytes each. Two generations are kept: parts not met while a new one fills are forgotten, never all at once."""
         recent, older, model, letters = self.recent, self.older, self.whole.model, self.letters
         out = []
         for part in parts:
@@ -80,7 +81,7 @@ class Encoder:
             if ids is None:
                 ids = older.get(part)
                 if ids is None:
-                    ids = [one.id for one in model.tokenize("".join([letters[byte] for byte in part.encode()]))]
+                    ids = array("I", [one.id for one in model.tokenize("".join([letters[byte] for byte in part.encode()]))]).tobytes()
                 recent[part] = ids
             out.append(ids)
         if len(recent) > REMEMBERED:
@@ -95,8 +96,8 @@ class Encoder:
         lists = pc.split_pattern(marked, "\x01")
         coded = lists.flatten().dictionary_encode()
         found = self._part_ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         code = coded.indices.to_numpy()
         own = _gather(flat, (np.cumsum(sizes) - sizes)[code], sizes[code])
         ends = np.concatenate([[0], np.cumsum(sizes[code])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
