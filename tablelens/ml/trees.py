@@ -386,7 +386,7 @@ def choose(table: np.ndarray, cuts: list[np.ndarray], min_leaf: int, tries: int,
     return f, float(cuts[f][b]), float(max(gain, 0.0)), left[f, b], right[f, b]
 
 
-def _summed(table: DataFrame, make, numbers: int) -> dict[int, list]:
+def _summed(table: DataFrame, make, numbers: int) -> pa.Table:
     """Histogram rows of all tasks, summed by Spark and collected by slot: a bounded number of cells."""
     names = [f"s{k}" for k in range(numbers)]
     schema = "slot int, feature int, bin int, " + ", ".join(f"{name} double" for name in names)
