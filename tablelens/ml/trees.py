@@ -275,6 +275,19 @@ def _matrix(column: pa.Array, features: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), features)
 
 
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists."""
+    size, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * width, pa.int32()), pa.array(matrix.ravel()))
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a matrix of doubles and the place of each row among them."""
+    rows = np.ascontiguousarray(rows + 0.0)  # -0.0 is 0.0
+    _, first, at = np.unique(rows.view(f"V{rows.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+    return rows[first], at.ravel()
+
+
 def _outputs(y: np.ndarray, classes: int | None) -> np.ndarray:
     return y[:, None].astype(float) if classes is None else np.eye(classes)[y.astype(np.int64)]
 
@@ -598,23 +611,24 @@ def _class_trees(trees: list[list], classes: int, base: np.ndarray) -> Ensemble:
 
 
 class _Held:
-    """Histograms of a matrix in memory."""
+    """Histograms of a matrix in memory; ``weight`` is the number of rows behind each of its lines."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], base: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], base: np.ndarray, weight: np.ndarray | None = None):
         self.x, self.y, self.classes = x, y, len(base)
+        self.weight = np.ones(len(y)) if weight is None else weight
         self.bins, self.width = _bins(x, cuts), max(map(len, cuts)) + 1
         self.scores = np.tile(base, (len(y), 1))
         self.residual, self.curve = _residuals(self.scores, self.y)
 
     def __call__(self, nodes: list[list], wanted: list[tuple[int, int]]) -> list[np.ndarray]:
-        return list(round_histograms(self.x, self.bins, self.residual, self.curve, nodes, wanted, self.width))
+        return list(round_histograms(self.x, self.bins, self.residual, self.curve, self.weight, nodes, wanted, self.width))
 
     def close(self, nodes: list[list]) -> None:
         self.scores += _class_trees(nodes, self.classes, np.zeros(self.classes)).evaluate(self.x)
         self.residual, self.curve = _residuals(self.scores, self.y)
 
 
-def round_histograms(x, bins, residual, curve, nodes, wanted, width) -> np.ndarray:
+def round_histograms(x, bins, residual, curve, weight, nodes, wanted, width) -> np.ndarray:
     classes = residual.shape[1]
     ensemble = _class_trees(nodes, classes, np.zeros(classes))
     leaves = ensemble.leaves(x)
@@ -626,17 +640,17 @@ def round_histograms(x, bins, residual, curve, nodes, wanted, width) -> np.ndarr
                 slots[ensemble.roots[k] + node] = place
         slot = slots[leaves[:, k]]
         rows = slot >= 0
-        one = np.ones(rows.sum())
-        out += histogram(bins[rows], slot[rows], np.stack([one, one, residual[rows, k], curve[rows, k]], axis=1), len(wanted), width)
+        w = weight[rows]
+        out += histogram(bins[rows], slot[rows], np.stack([w, w, w * residual[rows, k], w * curve[rows, k]], axis=1), len(wanted), width)
     return out
 
 
 class _Spread:
-    """Histograms of a table, one job each; scores are written every ``REST`` rounds."""
+    """Histograms of a table of ``_binned`` lines, one job each; scores are written every ``REST`` rounds."""
 
     def __init__(self, table: DataFrame, features: int, cuts: list[np.ndarray], base: np.ndarray):
         self.features, self.cuts, self.base = features, cuts, base
-        self.table = table.select("x", "y", F.array(*[F.lit(float(b)) for b in base]).alias("s"))
+        self.table = table.select("x", "y", "n", F.array(*[F.lit(float(b)) for b in base]).alias("s"))
         self.recent: list[list] = []
         self.width, self.rounds = max(map(len, cuts)) + 1, 0
 
@@ -652,9 +666,9 @@ class _Spread:
             total = np.zeros((len(wanted), features, width, 4))
             for batch in batches:
                 x, y = _matrix(batch.column(0), features), batch.column(1).to_numpy()
-                scores = _matrix(batch.column(2), classes)
+                scores = _matrix(batch.column(3), classes)
                 scores = scores if ensemble is None else scores + ensemble.evaluate(x)
-                total += round_histograms(x, _bins(x, cuts), *_residuals(scores, y), nodes, wanted, width)
+                total += round_histograms(x, _bins(x, cuts), *_residuals(scores, y), batch.column(2).to_numpy(), nodes, wanted, width)
             yield _cell_batch(total)
 
         return list(_cells(_summed(self.table, make, 4), len(wanted), features, width, 4))
@@ -664,10 +678,35 @@ class _Spread:
         self.rounds += 1
         if self.rounds % REST == 0:
             scores = scorer(self._ensemble())
-            self.table = reliable_checkpoint(self.table.select("x", "y", F.zip_with("s", scores(F.col("x")), lambda a, b: a + b).alias("s")))
+            self.table = reliable_checkpoint(self.table.select("x", "y", "n", F.zip_with("s", scores(F.col("x")), lambda a, b: a + b).alias("s")))
             self.recent = []
 
 
+def _binned(table: DataFrame, features: int, cuts: list[np.ndarray], classes: int) -> DataFrame:
+    """``(x, y, n)``: rows that no split can tell apart as one line, with the largest values of their bins and their number.
+
+    Trees see a row through its bins alone. Classes make lines of their own; of a number a line has the mean, from which the sum of
+    the residuals follows.
+    """
+    ends = [np.append(c, np.inf) for c in cuts]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = _matrix(batch.column(0), features), batch.column(1).to_numpy()
+            group = y if classes > 1 else np.zeros(len(y))
+            lines, at = _distinct(np.column_stack([_bins(x, cuts), group]))
+            place = lines[:, :-1].astype(np.int64)
+            held = np.stack([ends[f][place[:, f]] for f in range(features)], axis=1)
+            columns = [_lists(held), pa.array(lines[:, -1]), pa.array(np.bincount(at, minlength=len(lines)).astype(float)), pa.array(np.bincount(at, y, len(lines)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "n", "total"])
+
+    folded = table.select("x", "y").mapInArrow(fold, "x array<double>, y double, n double, total double")
+    added = folded.groupBy("x", "y").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return added.select("x", F.col("y") if classes > 1 else (F.col("total") / F.col("n")).alias("y"), "n")
+
+
 def fit_boosting(
     rows: DataFrame, classes: int | None, label: str = "label", rounds: int = 100, rate: float = 0.05, depth: int = 3, min_leaf: int = 1,
     seed: int = 42, local_values: int = LOCAL_VALUES,
@@ -675,8 +714,8 @@ def fit_boosting(
     """Class scores by joint boosting of all classes, whose softmax are the probabilities; without ``classes`` boosting of a number.
 
     Scores start at the logarithms of the class shares, or at the mean. Splits are chosen from histograms over at most 128 quantile bins a
-    feature. A matrix of at most ``local_values`` numbers is boosted in one task; of a larger one each level of a round is
-    one sum over the table, and the trees are the same up to rounding.
+    feature, so rows of equal bins (and class) are counted as one line. Lines of at most ``local_values`` numbers are boosted in one
+    task; of more each level of a round is one sum over their table, and the trees are the same up to rounding.
     """
     table, n, features = _numbered(rows, label)
     if classes is None:
@@ -685,18 +724,19 @@ def fit_boosting(
         counts = {int(r["y"]): r["count"] for r in table.groupBy("y").count().collect()}
         base = np.log(np.maximum([counts.get(k, 0) for k in range(classes)], 1e-9 * n) / n)
     cuts = feature_cuts(table, features)
-    if n * features > local_values:
-        return _class_trees(boost(_Spread(table, features, cuts, base), cuts, base, rounds, rate, depth, min_leaf, seed), classes, base)
+    lines = reliable_checkpoint(_binned(table, features, cuts, classes))
+    if lines.count() * features > local_values:
+        return _class_trees(boost(_Spread(lines, features, cuts, base), cuts, base, rounds, rate, depth, min_leaf, seed), classes, base)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), _matrix(b.column(1), features), b.column(2).to_numpy()) for b in batches if len(b)]
-        ids, x, y = (np.concatenate(p) for p in zip(*parts))
-        order = np.argsort(ids)
-        trees = boost(_Held(x[order], y[order], cuts, base), cuts, base, rounds, rate, depth, min_leaf, seed)
+        parts = [(_matrix(b.column(0), features), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if len(b)]
+        x, y, weight = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((y, *x.T))  # lines come in any order; sums must not depend on it
+        trees = boost(_Held(x[order], y[order], cuts, base, weight[order]), cuts, base, rounds, rate, depth, min_leaf, seed)
         for t, nodes in enumerate(trees):
             yield from _node_table({t: [[*node[:4], [node[4]], node[5]] for node in nodes]}).to_batches()
 
-    nodes = table.coalesce(1).mapInArrow(whole, NODES).toArrow().sort_by([("tree", "ascending"), ("node", "ascending")]).to_pylist()
+    nodes = lines.coalesce(1).mapInArrow(whole, NODES).toArrow().sort_by([("tree", "ascending"), ("node", "ascending")]).to_pylist()
     trees: list[list] = [[] for _ in range(rounds * classes)]
     for r in nodes:
         trees[r["tree"]].append([r["feature"], r["threshold"], r["low"], r["high"], r["value"][0], r["gain"]])

@@ -115,6 +115,25 @@ def test_boosting_is_the_same_in_one_task_and_spread(points):
     assert (one.evaluate(x).argmax(axis=1) == kind).mean() > 0.97
 
 
+def test_boosting_works_on_lines_of_equal_bins(spark, monkeypatch):
+    """Rounds must not depend on the number of rows behind a line of bins and class."""
+    table = spark.range(6000).select(
+        (F.col("id") % 6).cast("double").alias("a"), F.when(F.col("id") % 5 == 0, 0.0).otherwise((F.col("id") % 3).cast("double")).alias("kind")
+    )
+    table = VectorAssembler(inputCols=["a"], outputCol="features").transform(table)
+
+    class Never:
+        def __init__(self, *args):
+            raise AssertionError("12 lines need no job a level")
+
+    monkeypatch.setattr(trees, "_Spread", Never)
+    found = trees.fit_boosting(table, 3, "kind", rounds=60, rate=0.3, local_values=100).evaluate(np.arange(6.0)[:, None])
+    shares = np.full((6, 3), 0.0)
+    for i in range(6000):
+        shares[i % 6, 0 if i % 5 == 0 else i % 3] += 1 / 1000
+    assert np.allclose(trees._softmax(found), shares, atol=0.01)
+
+
 def test_boosting_of_a_number_nears_group_means(points):
     table, x, y, _ = points
     halves = table.withColumn("y", F.when(F.col("a") > 0, 8.0).otherwise(2.0))
