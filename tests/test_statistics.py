@@ -196,3 +196,14 @@ def test_csv_keeps_line_ends(frame, spark, tmp_path):
     writers.export_csv(table, f"{tmp_path}/csv")
     again = readers.read_csv(spark, f"{tmp_path}/csv", schema="i int, t string", multi_line=True)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_large_keys_of_many_orders(spark, tmp_path):
+    import workbook
+
+    workbook.load()
+    keys = [5, 900_000, 923_000, 9_000_000, 922_337_203_685_477]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    row = workbook.QUERIES["describe_numeric_large_keys"](spark, str(tmp_path)).first()
+    products = [float(k * 10**13) for k in keys]
+    assert (row["column"], row["count"], row["min"], row["q1"], row["q3"], row["max"]) == ("snowflake", 5, products[0], products[1], products[3], products[4])
