@@ -147,7 +147,7 @@ def _scores(weight: np.ndarray, sums: np.ndarray) -> np.ndarray:
 
 def grow_tree(
     x: np.ndarray, y: np.ndarray, w: np.ndarray, min_leaf: int, tries: int, generator: np.random.Generator,
-    depth: int | None = None,
+    depth: int | None = None, many: np.ndarray | None = None, squares: np.ndarray | None = None,
 ) -> dict[str, np.ndarray]:
     """Grow a tree on rows with weights until its leaves are pure, too small to split or equal in all features.
 
@@ -155,8 +155,12 @@ def grow_tree(
     minimises Gini impurity) over every threshold between two values. All nodes of a level are split together: rows are kept sorted
     by each feature and regrouped by node. Each node looks at ``tries`` features that can split it, in random order;
     a side has at least ``min_leaf`` rows. Ties go to the first feature and the smallest threshold.
+
+    A line may stand for ``many`` rows of equal features, with their mean as ``y`` and their weighted sum of squares in ``squares``.
     """
     some = w > 0
+    many = np.ones(some.sum(), np.int64) if many is None else many[some]
+    squares = (w * (y**2).sum(axis=1) if squares is None else squares)[some]
     x, y, w = x[some], y[some], w[some].astype(float)
     count, features = x.shape
     wy = y * w[:, None]
@@ -186,15 +190,18 @@ def grow_tree(
             sizes = np.bincount(at, minlength=nodes)
             ends = np.cumsum(sizes)
             starts = ends - sizes
+            upto = np.cumsum(many[rows])
+            before = np.concatenate([[0], upto])[starts]
+            held = upto[ends - 1] - before
             left_w, left_y = np.cumsum(w[rows]), np.cumsum(wy[rows], axis=0)
             before_w = np.concatenate([[0.0], left_w])[starts]
             before_y = np.concatenate([np.zeros((1, y.shape[1])), left_y])[starts]
             all_w, all_y = left_w[ends - 1] - before_w, left_y[ends - 1] - before_y
             left_w, left_y = left_w - before_w[at], left_y - before_y[at]
-            inner = np.arange(len(rows)) - starts[at] + 1
+            inner = upto - before[at]
             valid = np.zeros(len(rows), bool)
             valid[:-1] = (at[1:] == at[:-1]) & (cell[1:] > cell[:-1])
-            valid &= (inner >= min_leaf) & (sizes[at] - inner >= min_leaf)
+            valid &= (inner >= min_leaf) & (held[at] - inner >= min_leaf)
             score = np.full(len(rows), -np.inf)
             v = np.flatnonzero(valid)
             score[v] = _scores(left_w[v], left_y[v]) + _scores(all_w[at[v]] - left_w[v], all_y[at[v]] - left_y[v])
@@ -207,7 +214,7 @@ def grow_tree(
             cuts[f, owner] = np.where(middle < cell[place + 1], middle, cell[place])
         parent = np.array([np.sum(value[n] ** 2) for n in names])
         weight = np.bincount(node[node >= 0], w[node >= 0], nodes)
-        mixed_y = np.bincount(node[node >= 0], (w * (y**2).sum(axis=1))[node >= 0], nodes) - weight * parent
+        mixed_y = np.bincount(node[node >= 0], squares[node >= 0], nodes) - weight * parent
         impure = mixed_y > 1e-12 * np.maximum(weight * parent, 1e-300)
         usable = np.isfinite(best)
         if tries < features:
@@ -309,20 +316,27 @@ def fit_forest(
     """A forest of fully grown trees on resampled rows; values are means, or class shares with ``classes``.
 
     A regression split looks at all features, a classification split at the square root of their number. A feature matrix
-    of at most ``local_values`` numbers goes to the tasks and each grows whole trees. Of a larger one Spark grows
+    of at most ``local_values`` numbers goes to the tasks and each grows whole trees. Of a larger one whose distinct rows are fewer than a
+    quarter and keep that limit Spark sums each tree's resample by distinct row, and tasks grow whole trees on the sums. Otherwise Spark grows
     the upper levels: histograms of all nodes with more rows than that are summed over the table, level by level, with up to 128
     candidate splits a feature. Then each row goes, once per tree, to its node, and every node is finished in
     one task by exact growth, so no depth is set. Rows of eight trees are dealt at a time.
 
-    A full tree has about a node per row; a forest that would pass 50 million nodes is refused. Bound it by ``min_leaf`` or use
+    A full tree has about a node per distinct row; a forest that would pass 50 million nodes is refused. Bound it by ``min_leaf`` or use
     Spark's forests with ``maxDepth``.
     """
     table, n, features = _numbered(rows, label)
-    if trees * n // max(min_leaf, 1) > NODE_LIMIT:
-        raise ValueError(f"a fully grown forest of {trees} trees on {n} rows has too many nodes; set minInstancesPerNode or maxDepth")
+    most, lines = n // max(min_leaf, 1), n
+    if n * features > local_values or trees * most > NODE_LIMIT:
+        lines = table.select("x", *(["y"] if classes else [])).distinct().count()
+        points = table.select("x").distinct().count() if classes else lines
+        if trees * min(most, points) > NODE_LIMIT:
+            raise ValueError(f"a fully grown forest of {trees} trees on {n} rows has too many nodes; set minInstancesPerNode or maxDepth")
     spark = rows.sparkSession
     tries = features if classes is None else max(1, int(np.sqrt(features)))
-    if n * features <= local_values:
+    if lines * features <= local_values and 4 * lines < n:
+        nodes = _grown_on_sums(table, features, trees, min_leaf, tries, classes, seed)
+    elif n * features <= local_values:
         held = table.toArrow().combine_chunks()
         sent = spark.sparkContext.broadcast((
             held["id"].to_numpy(), _matrix(held["x"].combine_chunks(), features), held["y"].to_numpy(),
@@ -348,6 +362,39 @@ def fit_forest(
     return Ensemble.from_nodes(nodes, [1.0 / trees] * trees, np.zeros(1 if classes is None else classes))
 
 
+def _grown_on_sums(table: DataFrame, features: int, trees: int, min_leaf: int, tries: int, classes: int | None, seed: int) -> pa.Table:
+    """Whole trees on the resample of each, summed by distinct features (and class): ``NODES`` as grown on the single rows."""
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, x, y = batch.column(0).to_numpy(), _matrix(batch.column(1), features), batch.column(2).to_numpy()
+            lines, at = _distinct(np.column_stack([x, y if classes else np.zeros(len(y))]))
+            held, group = _lists(lines[:, :-1]), pa.array(lines[:, -1])
+            for t in range(trees):
+                w = draws(ids, t, seed)
+                sums = [np.bincount(at, v, len(lines)) for v in (w > 0, w, w * y, w * y**2)]
+                rows = pa.array(np.flatnonzero(sums[0]))
+                columns = [pa.array(np.full(len(rows), t, np.int32)), held.take(rows), group.take(rows), *[pa.array(v).take(rows) for v in sums]]
+                yield pa.RecordBatch.from_arrays(columns, names=["tree", "x", "y", *names])
+
+    def grow(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        part, tree = part.combine_chunks(), key[0].as_py()
+        x, y = _matrix(part["x"].combine_chunks(), features), part["y"].to_numpy()
+        order = np.lexsort((y, *x.T))  # lines come in any order; sums must not depend on it
+        many, w, total, squares = (part[name].to_numpy()[order] for name in names)
+        outputs = _outputs(y[order], classes) if classes else (total / w)[:, None]
+        generator = np.random.default_rng([seed, tree])
+        grown = grow_tree(x[order], outputs, w, min_leaf, tries, generator, None, many.astype(np.int64), None if classes else squares)
+        return pa.Table.from_batches([_node_batch(tree, grown)])
+
+    names = ["many", "w", "total", "squares"]
+    resampled = table.mapInArrow(resample, "tree int, x array<double>, y double, " + ", ".join(f"{name} double" for name in names))
+    summed = resampled.groupBy("tree", "x", "y").agg(*[F.sum(name).alias(name) for name in names])
+    return summed.groupBy("tree").applyInArrow(grow, NODES).toArrow()
+
+
 def feature_cuts(table: DataFrame, features: int, bins: int = BINS) -> list[np.ndarray]:
     """Candidate thresholds of each feature: up to ``bins`` - 1 quantiles, without the largest value."""
     shares = F.array(*[F.lit(k / bins) for k in range(1, bins)])

@@ -107,6 +107,25 @@ def test_forest_of_one_value_per_row_equals_a_local_tree(points):
         assert np.allclose(forest.value[at], single.evaluate(rows))
 
 
+@pytest.mark.parametrize("classes", [None, 3])
+def test_forest_of_many_rows_with_few_distinct_features(spark, monkeypatch, classes):
+    """Nodes follow the distinct rows, so many rows are no reason to refuse; trees on sums equal trees on rows."""
+    table = spark.range(4000).select(
+        (F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 7 % 3 - 1.5).alias("b"), ((F.col("id") * 31) % 101 / 10).cast("double").alias("y"),
+        ((F.col("id") % 4 + F.col("id") % 7 % 3) % 3).cast("double").alias("kind"),
+    )
+    table = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(table)
+    label = "y" if classes is None else "kind"
+    rows = table.select("a", "b").distinct().toPandas().to_numpy()
+    whole = trees.fit_forest(table, label, 6, classes=classes)
+    monkeypatch.setattr(trees, "NODE_LIMIT", 100)
+    summed = trees.fit_forest(table, label, 6, classes=classes, local_values=200)
+    assert np.allclose(summed.evaluate(rows), whole.evaluate(rows)) and len(summed.feature) == len(whole.feature)
+    assert np.allclose(summed.importance(2), whole.importance(2))
+    with pytest.raises(ValueError, match="nodes"):
+        trees.fit_forest(table, label, 12, classes=classes, local_values=200)
+
+
 def test_boosting_is_the_same_in_one_task_and_spread(points):
     table, x, _, kind = points
     one = trees.fit_boosting(table, 3, "kind", rounds=12, rate=0.2)
