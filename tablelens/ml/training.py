@@ -32,6 +32,7 @@ PARALLEL_FOLDS = 4  # folds that are fitted at the same time
 FOREST_PARAMETERS = {"numTrees", "minInstancesPerNode", "seed"}  # of a fully grown forest; others ask for Spark's
 NEIGHBOURS = ("knn", "knn_regressor")
 NEIGHBOUR_PARAMETERS = {"n_neighbors", "broadcast_values", "block_rows"}
+ROW_PARAMETERS = {"minInstancesPerNode", "subsamplingRate", "weightCol", "validationIndicatorCol"}  # that look at single rows
 BOOSTING_PARAMETERS = {"maxIter", "stepSize", "maxDepth", "minInstancesPerNode", "seed"}  # of joint boosting
 
 
@@ -126,7 +127,12 @@ def fit_model(
         )
     ensemble, fitted = _fit_trees(vectors, label, problem_type, model_type, facts.classes, seed, dict(parameters or {})), []
     if ensemble is None:
-        built = estimator(problem_type, model_type, facts, seed, parameters, featuresCol="features", labelCol=label)
+        columns = {"featuresCol": "features", "labelCol": label}
+        if model_type == "gradient_boosting" and not set(parameters or {}) & ROW_PARAMETERS:
+            lines = _equal_rows(vectors, label, problem_type, facts.rows)
+            if lines is not None:
+                vectors, columns = lines, columns | {"weightCol": "__weight"}
+        built = estimator(problem_type, model_type, facts, seed, parameters, **columns)
         fitted = [built.fit(vectors)]
     return TrainedModel(
         PipelineModel([*preparation.stages, *fitted]), list(features), target, problem_type, model_type, list(labels),
@@ -155,6 +161,21 @@ def _fit_trees(
     return None
 
 
+def _equal_rows(vectors: DataFrame, label: str, problem_type: str, rows: int) -> DataFrame | None:
+    """Rows of equal features (and class) as one line with the mean target and their number as ``__weight``.
+
+    Boosting reads its rows hundreds of times; the gradients of such rows add up to the same sums. None where the lines are more than half
+    of the rows, or a target is missing.
+    """
+    target = F.col(f"`{label}`")
+    keys = ["features"] if problem_type == "regression" else ["features", label]
+    value = F.avg(target.cast("double")).alias(label) if problem_type == "regression" else None
+    lines = vectors.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__weight"), *([] if value is None else [value]))
+    lines = reliable_checkpoint(lines)
+    facts = lines.agg(F.count(F.lit(1)).alias("n"), F.sum("__weight").alias("rows")).first()
+    return lines if facts["rows"] == rows and 2 * facts["n"] <= rows else None
+
+
 def knn_batch(
     train: DataFrame, test: DataFrame, features: Sequence[str], target: str, problem_type: str, key: str, k: int = 7
 ) -> DataFrame:
