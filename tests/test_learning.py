@@ -225,3 +225,53 @@ def test_neighbours_of_few_rows_and_no_queries(spark):
         rows = nearest_neighbours(train, test, "f", "k", "y", 5, **limits).orderBy("distance", "neighbour").collect()
         assert [(r.distance, r.neighbour) for r in rows] == [(1.0, 1), (1.0, 2), (4.0, 3)]
         assert nearest_neighbours(train, test.limit(0), "f", "k", "y", **limits).count() == 0
+
+
+@pytest.mark.parametrize("problem_type", ["regression", "classification"])
+def test_boosting_fits_lines_of_equal_rows(spark, monkeypatch, problem_type):
+    rows = spark.range(900).select(
+        F.col("id"), (F.col("id") % 3).cast("double").alias("a"), F.concat(F.lit("c"), F.col("id") % 4).alias("c"),
+        ((F.col("id") * F.col("id") * 7919) % 101 / 10 + F.col("id") % 3 * 4 + F.col("id") % 4 * F.col("id") % 4).cast("double").alias("y"), F.when(F.col("id") % 7 < F.col("id") % 3 + 2, "u").otherwise("v").alias("g"),
+    )
+    target = "y" if problem_type == "regression" else "g"
+    encoded, labels = (rows, []) if problem_type == "regression" else Pr.encode_labels(rows, "g")
+    plain, seen = Tr.estimator, []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, table):
+            seen.append(table.count())
+            return self.inner.fit(table)
+
+    monkeypatch.setattr(Tr, "estimator", lambda *a, **k: Watched(plain(*a, **k)))
+    fitted = [
+        Tr.fit_model(encoded, ["a", "c"], target, problem_type, "gradient_boosting", labels=labels, parameters={"maxIter": 4, "seed": 1, **more})
+        for more in ({}, {"minInstancesPerNode": 1})
+    ]
+    assert seen[0] <= 24 and seen[1] == 900
+    one, each = (sorted((r.id, r.prediction) for r in m.transform(encoded).select("id", "prediction").collect()) for m in fitted)
+    assert np.allclose(one, each)
+
+
+def test_many_pairs_are_met_by_cells_in_blocks(spark, monkeypatch):
+    """Where distances rule nothing out, rows are sent once per block of the other side, whatever the number of cells."""
+    from tablelens.operators import neighbours as Ne
+
+    generator = np.random.default_rng(3)
+    points, queries = generator.normal(size=(900, 24)), generator.normal(size=(90, 24))
+    needed = np.ones((30, 30), bool)
+    assert Ne._merge(needed, np.full(30, 3), np.full(30, 30), 2_000) >= 30
+    assert Ne._merge(np.eye(300, dtype=bool), np.full(300, 5_000), np.full(300, 20_000), 20_000) == 1
+    train = spark.createDataFrame([(i, p.tolist(), i % 3) for i, p in enumerate(points)], "k long, f array<double>, y int")
+    test = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "k long, f array<double>")
+    expected = {(i, int(j)) for i, q in enumerate(queries) for j in np.argsort(((points - q) ** 2).sum(axis=1))[:7]}
+    monkeypatch.setattr(Ne, "BROADCAST_PAIRS", 1000)  # more pairs than that, though the points would fit a task
+    plain, used = Ne._search_cells, []
+    monkeypatch.setattr(Ne, "_search_cells", lambda *a: used.append(1) or plain(*a))
+    found = nearest_neighbours(train, test, "f", "k", "y", block_rows=200).collect()
+    assert used and {(r["query"], r.neighbour) for r in found} == expected and len(found) == 7 * 90
+    texts = knn_predict(train.withColumn("y", F.concat(F.lit("t"), "y")), test, "f", "k", "y").collect()
+    numbers = {r["query"]: r.prediction for r in knn_predict(train, test, "f", "k", "y").collect()}
+    assert {r["query"]: r.prediction for r in texts} == {q: f"t{p}" for q, p in numbers.items()}
