@@ -35,11 +35,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float)
 
 
-def _plain(column: pd.Series) -> pd.Series:
-    """Texts as objects: a column of Arrow texts may come in pieces, which Spark does not take back."""
-    return column if pd.api.types.is_numeric_dtype(column) else column.astype(object)
-
-
 def _chunks(queries: np.ndarray, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Squared distances by a matrix product, some queries at a time to bound memory, and how wrong a row of them may be."""
     squares, most = (points**2).sum(axis=1), float((points**2).sum(axis=1).max())
@@ -117,7 +112,7 @@ def nearest_neighbours(
                     yield _nearest(batch["key"].to_numpy(), _matrix(batch["vector"]), keys, matrix, labels, k)
 
         return queries.mapInPandas(search, schema)
-    return _search_cells(points, queries, size["n"], size["d"], k, block_rows, schema)[0]
+    return _search_cells(points, queries, size["n"], size["d"], k, block_rows)[0]
 
 
 def visited_cells(
@@ -126,8 +121,7 @@ def visited_cells(
     """``(query, cells, of)``: how many of all cells the search of a large training table visits for each test row."""
     points, queries = _vectors(train, features, key, label), _vectors(test, features, key)
     size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
-    schema = NEIGHBOUR.format(label=field_types(points)["label"].simpleString())
-    return _search_cells(points, queries, size["n"], size["d"], k, block_rows, schema)[1]
+    return _search_cells(points, queries, size["n"], size["d"], k, block_rows)[1]
 
 
 def _side_by_side(points: np.ndarray) -> np.ndarray:
@@ -187,7 +181,7 @@ def _merge(needed: np.ndarray, asking: np.ndarray, counts: np.ndarray, block_row
         merged *= 2
 
 
-def _search_cells(points: DataFrame, queries: DataFrame, n: int, d: int, k: int, block_rows: int, schema: str) -> tuple[DataFrame, DataFrame]:
+def _search_cells(points: DataFrame, queries: DataFrame, n: int, d: int, k: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Bound-first search over cells around pivots, in two waves.
 
     Each query lives in the cell of its nearest pivot. The first wave compares it with that cell's rows; the k-th distance there, or the
@@ -197,6 +191,9 @@ def _search_cells(points: DataFrame, queries: DataFrame, n: int, d: int, k: int,
     that a row is sent once per block of the other side and not once per query or cell.
     """
     spark = points.sparkSession
+    # labels of any type stay behind; numbers of their rows go through the search
+    given = reliable_checkpoint(points.withColumn("row", F.monotonically_increasing_id()))
+    points, schema = given.select("key", "vector", F.col("row").alias("label")), NEIGHBOUR.format(label="long")
     block_rows = max(1, min(block_rows, BLOCK_VALUES // max(d, 1)))
     pivots = _pivots(points, n, d)
     sent = spark.sparkContext.broadcast(pivots)
@@ -207,8 +204,6 @@ def _search_cells(points: DataFrame, queries: DataFrame, n: int, d: int, k: int,
                 continue
             vectors = _matrix(batch["vector"])
             cell = np.concatenate([squares.argmin(axis=1) for _, squares, _ in _chunks(vectors, sent.value)]).astype(np.int32)
-            if "label" in batch.columns:
-                batch = batch.assign(label=_plain(batch["label"]))
             yield batch.assign(cell=cell, reach=_exact(vectors, sent.value, np.arange(len(vectors)), cell))
 
     added = [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]
@@ -259,7 +254,7 @@ def _search_cells(points: DataFrame, queries: DataFrame, n: int, d: int, k: int,
         parts = list(_near_slices(query_part, train_part, k)) if len(train_part) and len(query_part) else []
         if not parts:
             return pd.DataFrame({"query": [], "distance": [], "neighbour": [], "label": []})
-        return pd.DataFrame({c: _plain(pd.Series(np.concatenate([part[c].to_numpy() for part in parts]))) for c in parts[0].columns})
+        return pd.concat(parts)
 
     def meet(bounded: DataFrame, needed: np.ndarray, merged: int) -> DataFrame:
         """The ``k`` nearest rows of each query in the cells its home needs, ``merged`` neighbouring cells at a time."""
@@ -289,7 +284,8 @@ def _search_cells(points: DataFrame, queries: DataFrame, n: int, d: int, k: int,
     listed = own.mapInPandas(pairs_of, "home int, cell int").distinct().toPandas()
     needed = np.zeros((len(counts), len(counts)), bool)
     needed[listed["home"], listed["cell"]] = True
-    best = meet(own, needed, _merge(needed, asked, counts, block_rows))
+    best = meet(own, needed, _merge(needed, asked, counts, block_rows)).withColumnRenamed("label", "row")
+    best = best.join(given.select("row", "label"), "row").select("query", "distance", "neighbour", "label")
     return best, own.select(F.col("key").alias("query"), "cells", F.lit(int((counts > 0).sum())).alias("of"))
 
 
