@@ -134,6 +134,21 @@ def fit_preparation(df: DataFrame, features: Sequence[str], output: str = "featu
     return PipelineModel(stages)
 
 
+def split_preparation(pipeline: PipelineModel, features: Sequence[str]) -> tuple[PipelineModel, list[str], PipelineModel]:
+    """The stages that turn every feature into one number, the columns of these numbers in feature order, and all later stages."""
+    stages = pipeline.stages
+    place = 2 if len(stages) > 1 and isinstance(stages[1], StringIndexerModel) else 1
+    given = next(stage for stage in stages if isinstance(stage, VectorAssembler)).getInputCols()
+    numbers = [c for c in given if c.startswith("__n")]
+    # numeric features lead the statement, before any category
+    statement = stages[0].getStatement()
+    leading = statement[: statement.index(f" AS {numbers[-1]}")] if numbers else ""
+    numeric = [name for name in features if f"try_cast({quote_name(name)} AS DOUBLE)" in leading]
+    other = [name for name in features if name not in numeric]
+    column = {name: f"__n{i}" for i, name in enumerate(numeric)} | {name: f"__i{i}" for i, name in enumerate(other)}
+    return PipelineModel(stages[:place]), [column[name] for name in features], PipelineModel(stages[place:])
+
+
 def feature_names(prepared: DataFrame, output: str = "features") -> list[str]:
     """Names of the assembled vector's slots, from the column metadata."""
     groups = prepared.schema[output].metadata["ml_attr"]["attrs"]

@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablelens.functions import half_even
 from tablelens.ml.estimators import CLASSIFICATION_MODELS, REGRESSION_MODELS, estimator, target_facts
-from tablelens.ml.preparation import encode_labels, fit_preparation, normal_form, prepare_training
+from tablelens.ml.permutation import moved_variants, packed_ranks
+from tablelens.ml.preparation import encode_labels, fit_preparation, normal_form, prepare_training, split_preparation
 from tablelens.ml.trees import Ensemble, fit_boosting, fit_forest, load_ensemble, probabilities, save_ensemble, scorer
-from tablelens.operators.columns import field_types, ref
+from tablelens.operators.columns import ref
 from tablelens.operators.metrics import classification_metrics, overfit_verdict, regression_metrics
 from tablelens.operators.neighbours import knn_predict, nearest_neighbours, neighbour_weights
-from tablelens.operators.ordering import hash_rank
+from tablelens.operators.ordering import hash_order
 from tablelens.operators.sampling import assign_folds, mark_test_rows
 from tablelens.session import reliable_checkpoint, small_table
 from tablelens.sources.writers import read_metadata, write_metadata
@@ -59,14 +60,18 @@ class TrainedModel:
         """Rows with ``prediction``; helper columns of the preparation dropped."""
         rows = normal_form(df, self.features)
         kept = {c: f"__kept_{i}" for i, c in enumerate(rows.columns) if c not in self.features}
-        scored = self.pipeline.transform(rows.withColumnsRenamed(kept))
+        scored = self.predict_prepared(self.pipeline.transform(rows.withColumnsRenamed(kept)))
+        made = [c for c in scored.columns if c in ("prediction", "probability", "rawPrediction")]
+        given = [ref(c).alias(c) if c in self.features else F.col(kept[c]).alias(c) for c in rows.columns if c not in made]
+        return scored.select(*given, *made)
+
+    def predict_prepared(self, scored: DataFrame) -> DataFrame:
+        """What the pipeline gave, with the predictions of models that follow it."""
         if self.ensemble is not None:
             scored = self._by_trees(scored)
         if self.memory is not None:
             scored = self._by_neighbours(scored)
-        made = [c for c in scored.columns if c in ("prediction", "probability", "rawPrediction")]
-        given = [ref(c).alias(c) if c in self.features else F.col(kept[c]).alias(c) for c in rows.columns if c not in made]
-        return scored.select(*given, *made)
+        return scored
 
     def _by_trees(self, prepared: DataFrame) -> DataFrame:
         scored = prepared.withColumn("__outputs", scorer(self.ensemble)(vector_to_array("features")))
@@ -237,38 +242,34 @@ def permutation_importance(
     """``(name, importance)``: mean drop of the main metric when one feature's values are exchanged.
 
     Rows get exact pseudo-random ranks once. A repeat moves a feature's values by an offset of its own along the
-    ranks, round the end. All moved values, narrow rows of rank, feature, repeat and value, meet the rows in one exchange, and all
-    variants are scored in one job, so the number of jobs does not depend on features or repeats.
+    ranks, round the end. Features are imputed, scaled and looked up once per row; their numbers meet the moved ones as packed blocks in
+    one exchange, and all variants are scored in one job, so the number of jobs does not depend on features or repeats.
     """
     metric = main_metric(model.problem_type)
     label = model.target if model.problem_type == "regression" else "label"
-    needed = rows.select(*{c: None for c in [*key, *model.features, label]})
-    ranked = reliable_checkpoint(hash_rank(needed, key, seed, name="__rank").select(
-        "__rank", *[ref(c) for c in dict.fromkeys([*model.features, label])]
+    preparing, columns, scoring = split_preparation(model.pipeline, model.features)
+    ties = [f"__key{i}" for i in range(len(key))]
+    needed = normal_form(rows.select(
+        *[ref(c) for c in dict.fromkeys(model.features)], hash_order(key, seed).alias("__order"),
+        *[ref(c).alias(t) for c, t in zip(key, ties)], ref(label).cast("double").alias("__actual"),
+    ), model.features)
+    # a missing target is told by a number of its own: numbers travel packed
+    numbers = preparing.transform(needed).select("__order", *ties, *columns, F.coalesce("__actual", F.lit(0.0)).alias("__actual"), (
+        F.col("__actual").isNotNull().cast("double").alias("__known")
     ))
-    total = ranked.count()
+    chunks, starts = packed_ranks(numbers, "__order", ties, [*columns, "__actual", "__known"])
+    total = starts[-1]
     if not total:
         raise ValueError("permutation importance needs at least one row")
-    moves = [
-        F.struct(
-            F.lit(f).alias("feature"), F.lit(k).alias("repeat"),
-            ((F.col("__rank") + offset_of(total, f, k, seed)) % total).alias("rank"), ref(name).cast("string").alias("cell"),
-        )
-        for f, name in enumerate(model.features) for k in range(repeats)
-    ]
-    moved = ranked.select(F.explode(F.array(*moves)).alias("m")).select(F.col("m.rank").alias("__rank"), F.struct("m.feature", "m.repeat", "m.cell").alias("__m"))
-    own = F.struct(F.lit(-1).alias("feature"), F.lit(0).alias("repeat"), F.lit(None).cast("string").alias("cell"))
-    # each rank takes its features x repeats moved values and one row that stays as it is
-    cells = moved.groupBy("__rank").agg(F.collect_list("__m").alias("__cells"))
-    variants = ranked.join(cells, "__rank").withColumn("__m", F.explode(F.array_append("__cells", own)))
-    types = field_types(ranked)
-    replaced = {
-        name: F.when(F.col("__m.feature") == f, F.col("__m.cell").cast(types[name])).otherwise(ref(name))
-        for f, name in enumerate(model.features)
-    }
-    variants = variants.withColumns(replaced | {"feature__": F.col("__m.feature"), "repeat__": F.col("__m.repeat")})
-    variants = variants.drop("__rank", "__cells", "__m")
-    scores = {(r["feature__"], r["repeat__"]): r[metric] for r in score(model, variants, ["feature__", "repeat__"]).collect()}
+    moves = [(f, offset_of(total, f, k, seed)) for f in range(len(model.features)) for k in range(repeats)]
+    variants = moved_variants(chunks, starts, len(columns) + 2, moves)
+    actual, known = f"c{len(columns)}", f"c{len(columns) + 1}"
+    prepared = scoring.transform(variants.select(
+        "variant", F.when(F.col(known) == 1.0, F.col(actual)).alias("__actual"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
+    ))
+    measure = regression_metrics if model.problem_type == "regression" else classification_metrics
+    found = measure(model.predict_prepared(prepared), "__actual", "prediction", ["variant"]).collect()
+    scores = {divmod(r["variant"] - 1, max(repeats, 1)) if r["variant"] else (-1, 0): r[metric] for r in found}
     base = scores[-1, 0]
     records = [
         (name, base - sum(scores[f, k] for k in range(repeats)) / repeats) for f, name in enumerate(model.features)

@@ -283,3 +283,50 @@ def test_permutation_importance_equals_a_loop(spark):
             drops.append(base - r2(moved))
         assert got[name] == pytest.approx(np.mean(drops), abs=2e-6)
     assert got["a"] > got["s"] > abs(got["t"])
+
+
+def test_moved_variants_equal_rolled_columns(spark, monkeypatch):
+    from tablelens.ml import permutation as Pe
+
+    monkeypatch.setattr(Pe, "BLOCK_ROWS", 50)
+    table = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("order"), "id", F.col("id").cast("double").alias("a"), (
+        F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("id") * 0.5).alias("b")
+    ))
+    chunks, starts = Pe.packed_ranks(table, "order", ["id"], ["a", "b"])
+    assert starts[-1] == 5000 and chunks.agg(F.sum("size")).first()[0] == 5000
+    moves = [(0, 1), (1, 4999), (1, 2600)]
+    found = Pe.moved_variants(chunks, starts, 2, moves).toPandas()
+    own = table.orderBy("order").select("a", "b").toPandas()
+    for variant, move in enumerate([(0, 0), *moves]):
+        expected = own.copy()
+        expected.iloc[:, move[0]] = np.roll(own.iloc[:, move[0]].to_numpy(), move[1])
+        got = found[found.variant == variant][["c0", "c1"]].to_numpy()
+        rows = np.round(np.nan_to_num(expected.to_numpy(), nan=-1.0), 1)
+        assert sorted(map(tuple, np.round(np.nan_to_num(got, nan=-1.0), 1))) == sorted(map(tuple, rows))
+
+
+def test_permutation_importance_prepares_every_row_once(spark, monkeypatch):
+    """Variants are built from prepared numbers: raw rows do not pass the whole model once per feature and repeat."""
+    rows = [(i, "u" if i % 3 else None, i % 2 == 0, float(i % 5), None if i % 11 == 0 else float(i % 3 + i % 5)) for i in range(200)]
+    table = spark.createDataFrame(rows, "id long, `s x` string, flag boolean, a double, y double")
+    features = ["s x", "a", "flag"]
+    model = Tr.fit_model(table.where("y IS NOT NULL"), features, "y", "regression", "decision_tree")
+    expected = {}
+    from tablelens.operators.ordering import hash_rank
+
+    ranked = hash_rank(table, ["id"], 42, name="rank").toPandas().sort_values("rank").reset_index(drop=True)
+
+    def r2(frame):
+        given = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "id long, `s x` string, flag boolean, a double, y double, rank long")
+        return Tr.score(model, given).first()["r2"]
+
+    base = r2(ranked)
+    for f, name in enumerate(features):
+        moved = ranked.copy()
+        moved[name] = np.roll(ranked[name].to_numpy(), Tr.offset_of(200, f, 0, 42))
+        expected[name] = base - r2(moved)
+    monkeypatch.setattr(Tr.TrainedModel, "transform", lambda *_: pytest.fail("whole model on raw rows"))
+    got = {r.name: r.importance for r in Tr.permutation_importance(model, table, ["id"], repeats=1).collect()}
+    assert got == pytest.approx(expected, abs=2e-6) and got["a"] > 0.1
+    with pytest.raises(ValueError, match="at least one row"):
+        Tr.permutation_importance(model, table.limit(0), ["id"])
