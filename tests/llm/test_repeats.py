@@ -137,6 +137,59 @@ def test_merges_sort_and_mend_collisions(monkeypatch):
             start += size
 
 
+def compared(monkeypatch):
+    """The numbers of pairs that later calls of common_extension compare."""
+    pairs, plain = [], R.common_extension
+    monkeypatch.setattr(R, "common_extension", lambda prefixes, one, other, width: pairs.append(len(one)) or plain(prefixes, one, other, width))
+    return pairs
+
+
+@pytest.mark.parametrize("suffixes", [10_000, R.SUFFIXES])
+def test_windows_that_no_other_segment_has_are_not_sorted(monkeypatch, suffixes):
+    rng = random.Random(6)
+    text = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    anchor = text(24)
+    contents = [text(40) + anchor + text(75) for _ in range(1500)]
+    for k in range(0, 300, 10):  # windows 11 to 25 of one occur in another
+        contents[k + 1] = contents[k + 1][:11] + contents[k][11:125] + contents[k + 1][125:]
+    order = rng.sample(range(len(contents)), len(contents))
+    pairs = compared(monkeypatch)
+    monkeypatch.setattr(R, "SUFFIXES", suffixes)
+    same = lambda value: np.full(len(contents), value)
+    segment, step = R.later_windows(contents, same(9), np.array(order), same(0), same(40), same(40), 100)
+    expected, seen = [], {}
+    for k in np.argsort(order):
+        for start in range(40):
+            if seen.setdefault((start, contents[k][start : start + 100]), k) != k:
+                expected.append((k, start))
+    assert list(zip(segment, step)) == sorted(expected) and len(expected) >= 30 * 15
+    assert sum(pairs) < 10_000  # of 60,000 windows about 900 occur twice
+
+
+def test_equal_suffixes_are_merged_as_one(monkeypatch):
+    rng = np.random.default_rng(12)
+    raw = rng.integers(97, 123, 4000).astype(np.uint8)
+    at, sizes = rng.choice(rng.permutation(3900)[:30], 9000), np.array([1, 4999, 4000])
+    pairs = compared(monkeypatch)
+    order, equal = R.sort_suffixes(raw, R.Prefixes(raw), at, sizes, 50)
+    text = [raw[a : a + 50].tobytes() for a in at]
+    starts = np.cumsum(sizes) - sizes
+    expected = [k for a, n in zip(starts, sizes) for k in sorted(range(a, a + n), key=lambda k: text[k])]
+    assert order.tolist() == expected
+    assert equal.tolist() == [k not in starts and text[expected[k]] == text[expected[k - 1]] for k in range(len(at))]
+    assert sum(pairs) < 2000
+
+
+def test_small_blocks_give_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    raw, offsets = rng.integers(97, 101, 3000).astype(np.uint8), np.array([0, 0, 700, 730, 2000, 3000])
+    whole, sums = R.segments(raw, offsets, 100, 24), R.Prefixes(raw).sums
+    monkeypatch.setattr(R, "BLOCK", 128)
+    parts = R.segments(raw, offsets, 100, 24)
+    assert (R.Prefixes(raw).sums == sums).all() and all((parts[name] == whole[name]).all() for name in whole)
+    assert whole["windows"].sum() == 601 + 1171 + 901
+
+
 def test_common_extension_equals_counting():
     rng = np.random.default_rng(8)
     raw = rng.integers(97, 99, 500).astype(np.uint8)
