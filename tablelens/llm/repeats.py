@@ -486,15 +486,24 @@ def _compare(width: int):
     return compare
 
 
-def cut_repeats(raw: bytes, places: np.ndarray, windows: np.ndarray, width: int) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """What is left of ``raw``, and starts and lengths of the maximal removed runs."""
-    change = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(change, places, 1)
-    np.add.at(change, places + windows + width - 1, -1)
-    gone = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
-    edges = np.flatnonzero(gone[1:] != gone[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    return np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes(), starts, ends - starts
+def cut_repeats(
+    raws: list[bytes], owner: np.ndarray, places: np.ndarray, windows: np.ndarray, width: int
+) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """What is left of each of ``raws``; where its maximal removed runs begin and end in the lists of their starts and lengths."""
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws)) + 1  # runs of two texts never touch
+    base = np.cumsum(sizes) - sizes
+    starts = base[owner] + places
+    order = np.argsort(starts)
+    starts, ends = starts[order], np.maximum.accumulate((starts + windows + width - 1)[order])
+    head = np.flatnonzero(np.append(True, starts[1:] > ends[:-1])[: len(starts)])
+    starts, ends = starts[head], ends[np.append(head[1:], len(ends))[: len(head)] - 1]
+    bounds = np.searchsorted(starts, np.append(base, sizes.sum()))
+    row = np.repeat(np.arange(len(raws)), np.diff(bounds))
+    starts, lengths = starts - base[row], ends - starts
+    left, first, last, cuts = [], starts.tolist(), (starts + lengths).tolist(), bounds.tolist()
+    for raw, a, b in zip(raws, cuts, cuts[1:]):
+        left.append(b"".join(raw[x:y] for x, y in zip([0, *last[a:b]], [*first[a:b], len(raw)])) if a < b else raw)
+    return left, bounds, starts, lengths
 
 
 def remove_repeats(
@@ -552,8 +561,10 @@ def remove_repeats(
     packed = texts.select("doc", "tie", _packed("text").alias("packed"))
     contents = packed.join(asked, ["doc", "tie"]).select("doc", "tie", "packed", "asked").mapInArrow(_contents(width), CONTENTS)
     parts = contents.repartition("class").sortWithinPartitions("class").mapInArrow(_compare(width), REPEATS)
-    sure = marks.where("class IS NULL").select("doc", "tie", "place", (F.col("shape").bitwiseAND(255)).alias("windows"))
-    repeats = sure.unionByName(parts).groupBy("doc", "tie").agg(F.collect_list(F.struct("place", "windows")).alias("repeats"))
+    run = "shiftleft(CAST(place AS bigint), 8) | {} AS run"  # one number, which is gathered faster than a pair
+    sure = marks.where("class IS NULL").selectExpr("doc", "tie", run.format("(shape & 255)"))
+    repeats = sure.unionByName(parts.selectExpr("doc", "tie", run.format("windows")))
+    repeats = repeats.groupBy("doc", "tie").agg(F.collect_list("run").alias("repeats"))
     carried, made = unused("repeats", df.columns), unused("made", df.columns)
     repeats = repeats.select(F.col("doc").alias(own[0]), F.col("tie").alias(own[1]), F.col("repeats").alias(carried))
     # the texts travel compressed, and once
@@ -573,17 +584,21 @@ def _finish(width: int, with_text: bool):
 
     @F.arrow_udf(made)
     def finish(packed: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for raw, repeat in zip(_unpacked(packed), lists):
-            cells = repeat.values if repeat.is_valid else None
-            places, windows = (
-                cells.field(k).to_numpy().astype(np.int64) if cells is not None else np.zeros(0, np.int64) for k in (0, 1)
-            )
-            left, starts, lengths = cut_repeats(raw or b"", places, windows, width)
-            spans = [{"start": a, "length": b} for a, b in zip(starts.tolist(), lengths.tolist())]
-            row = {"n_bytes": len(raw or b""), "n_removed": int(lengths.sum()), "spans": spans, "kept": left}
-            out.append(row | {"text": raw.decode("utf-8") if raw is not None else None} if with_text else row)
-        return pa.array(out, kind)
+        texts = list(_unpacked(packed))
+        raws = [raw or b"" for raw in texts]
+        runs = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(raws)), lists.value_lengths().fill_null(0).to_numpy())
+        left, bounds, starts, lengths = cut_repeats(raws, owner, runs >> 8, runs & 255, width)
+        sums = np.append(0, np.cumsum(lengths))[bounds]
+        spans = kind.field("spans").type
+        cells = pa.StructArray.from_arrays([pa.array(starts), pa.array(lengths)], fields=list(spans.value_type))
+        columns = [
+            pa.array([len(raw) for raw in raws], pa.int64()), pa.array(np.diff(sums)),
+            pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), cells, type=spans), pa.array(left, pa.binary()),
+        ]
+        if with_text:
+            columns.append(pa.array([raw if raw is None else raw.decode("utf-8") for raw in texts], pa.string()))
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
 
     return finish
 
